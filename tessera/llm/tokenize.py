@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import chain
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,8 @@ SPACES = re.compile(f"[{SPACE}]+")
 #: str.split() also cuts at these, which are not white space here.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Words kept in a worker's cache before it is emptied, and characters taken at a time.
-CACHE_WORDS, SLICE_CHARS = 250_000, 2_000_000
+CACHE_WORDS, SLICE_CHARS = 300_000, 2_000_000
+NO_RANK = np.int32(2**31 - 1)
 _KEPT: dict = {}
 
 
@@ -95,12 +96,14 @@ class ByteBPE:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in merges]
         keys = np.array([vocab[a] * self.size + vocab[b] for a, b in pairs], np.int64)
         _, first = np.unique(keys, return_index=True)
-        self.keys, self.rank = keys[first], first.astype(np.int64)
+        self.keys, self.rank = keys[first], first.astype(np.int32)
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)[first]
         self.byte_id = np.zeros(256, np.int64)
+        suffix = j["model"].get("end_of_word_suffix")
+        self.end_id = np.array([vocab[c + suffix] for c in sorted(alphabet, key=alphabet.get)], np.int64) if suffix else None
         text = [b""] * self.size
         for token, i in vocab.items():
-            text[i] = bytes(alphabet[c] for c in token)
+            text[i] = bytes(alphabet[c] for c in token.removesuffix(suffix or "\0"))
             if len(token) == 1:
                 self.byte_id[alphabet[token]] = i
         for token, i in self.special.items():
@@ -111,32 +114,48 @@ class ByteBPE:
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.cache = WordCache(self.merge)
 
+    def look_up(self, sym: np.ndarray, word: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and merged symbol of the pairs that begin at these places."""
+        after = np.minimum(where + 1, len(sym) - 1)
+        key = sym[where] * self.size + sym[after]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (word[where] == word[after]) & (after > where), self.rank[at], NO_RANK), self.merged[at]
+
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        none = np.int64(1 << 40)
-        raw = [w.encode() for w in words]
+        raw = [b"" if w == "\n" and self.end_id is not None else w.encode() for w in words]  # there it ends a word
         lengths = np.fromiter(map(len, raw), np.int64, len(raw))
         sym, word = self.byte_id[np.frombuffer(b"".join(raw), np.uint8)], np.repeat(np.arange(len(raw)), lengths)
+        if self.end_id is not None and len(sym):
+            last = np.cumsum(lengths)[lengths > 0] - 1
+            sym[last] = self.end_id[np.frombuffer(b"".join(raw), np.uint8)[last]]
+        rank, into = self.look_up(sym, word, np.arange(len(sym)))
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(sym):
-            key = sym[:-1] * self.size + sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.full(len(sym), none)
-            rank[:-1] = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.rank[at], none)
-            new_word = np.flatnonzero(np.diff(word, prepend=-1))
-            least = np.repeat(np.minimum.reduceat(rank, new_word), np.diff(new_word, append=len(sym)))
-            over = least == none
-            hit = (rank == least) & ~over
+            starts = np.flatnonzero(word[1:] != word[:-1]) + 1
+            starts = np.concatenate([[0], starts])
+            size = np.diff(starts, append=len(sym))
+            least = np.minimum.reduceat(rank, starts)
+            if (least == NO_RANK).any():
+                over = np.repeat(least == NO_RANK, size)
+                done.append((word[over], sym[over]))
+                sym, word, rank, into = (x[~over] for x in (sym, word, rank, into))
+                size, least = size[least != NO_RANK], least[least != NO_RANK]
+                if not len(sym):
+                    break
+            idx = np.flatnonzero(rank == np.repeat(least, size))
             # Of touching hits (a run of one symbol) every second is taken, from the left.
-            idx = np.flatnonzero(hit)
             run = np.flatnonzero(np.diff(idx, prepend=-2) > 1)
-            nth = np.arange(len(idx)) - np.repeat(run, np.diff(run, append=len(idx)))
-            idx = idx[nth % 2 == 0]
-            sym[idx] = self.merged[at[idx]]
-            keep = ~over
+            if len(run) < len(idx):
+                nth = np.arange(len(idx)) - np.repeat(run, np.diff(run, append=len(idx)))
+                idx = idx[nth % 2 == 0]
+            sym[idx] = into[idx]
+            keep = np.ones(len(sym), bool)
             keep[idx + 1] = False
-            if over.any():
-                done.append((word[over], sym[over]))
-            sym, word = sym[keep], word[keep]
+            idx = idx - np.arange(len(idx))  # their places without what goes
+            sym, word, rank, into = (x[keep] for x in (sym, word, rank, into))
+            before = idx[np.diff(idx, prepend=-1) > 1] - 1  # a merged symbol's left neighbour, if that was not merged itself
+            changed = np.concatenate([idx, before])
+            rank[changed], into[changed] = self.look_up(sym, word, changed)
         if not done:
             return np.zeros(0, np.uint32), lengths * 0
         word, sym = np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
@@ -154,14 +173,20 @@ class ByteBPE:
                 else:
                     words += BYTE_LEVEL.findall(part)
             counts.append(len(words) - n)
-        ids, per_word = self.cache.ids(words)
+        ids, per_word = self.with_special(self.cache, words, special)
+        ends = np.concatenate([[0], np.cumsum(per_word)])[np.cumsum([0, *counts])]
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    @staticmethod
+    def with_special(cache: WordCache, words: list[str], special: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' ids, with special tokens at the places of the empty words that stand for them."""
+        ids, per_word = cache.ids(words)
         if special:
             place = np.array([p for p, _ in special])
             ends = np.cumsum(per_word)
             ids = np.insert(ids, ends[place] - per_word[place], np.array([i for _, i in special], ids.dtype))
             per_word[place] = 1
-        ends = np.concatenate([[0], np.cumsum(per_word)])[np.cumsum([0, *counts])]
-        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+        return ids, per_word
 
     def decode(self, ids: np.ndarray) -> str:
         ids = ids.astype(np.int64)
@@ -169,19 +194,30 @@ class ByteBPE:
         return gather(self.text_flat, self.text_start[ids], self.text_len[ids]).tobytes().decode("utf-8", "replace")
 
 
-class LibraryWords:
-    """Ids of a tokenizer that drops white space, so that a text's ids are those of its white-space-separated words one after another."""
+class Words(ByteBPE):
+    """A vocabulary of lower-cased words with word ends. It drops white space, so a text's ids are those of its
+    white-space-separated words one after another; these are cut into runs of letters, single numbers and other runs."""
 
-    def __init__(self, spec: bytes):
-        from tokenizers import Tokenizer
+    PARTS = regex.compile(rf"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 
-        self.tokenizer = Tokenizer.from_str(spec.decode())
-        self.cache = WordCache(self.look)
+    def __init__(self, spec: bytes):
+        super().__init__(spec)
+        self.parts, self.cache = WordCache(self.merge), WordCache(self.look)
 
     def look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
+        text = "\n".join([*words, ""])
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")  # each letter is lower-cased for itself
+        parts, special = [], []
+        for k, x in enumerate(self.split.split(text) if "<|" in text else [text]):
+            if k % 2:
+                special.append((len(parts), self.special[x]))
+                parts.append("")
+            else:
+                parts += self.PARTS.findall(x.lower())
+        ids, per = self.with_special(self.parts, parts, special)
+        ends = np.cumsum(per)[np.fromiter((p == "\n" for p in parts), bool, len(parts))]
+        return ids, np.diff(ends, prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words, counts = [], []
@@ -225,7 +261,7 @@ def _encode(docs: DataFrame, kind: type, path: str, id_col: str, text_col: str,
 
     def run(batches):
         coder = _worker(kind, shared)
-        for b in batches:
+        for b in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             texts = b.column(1).to_pylist()
             for i, j in slices(texts):
                 ids = [x.astype("<u4", copy=False).tobytes() + tail for x in coder.encode([t or "" for t in texts[i:j]])]
@@ -241,7 +277,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
 def word_encode(docs: DataFrame, path: str, end: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids of a tokenizer of words, each document followed by the id ``end``."""
-    return _encode(docs, LibraryWords, path, id_col, text_col, end)
+    return _encode(docs, Words, path, id_col, text_col, end)
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
