@@ -1,7 +1,7 @@
 """Queries and reference SQL of this subpackage."""
 
-from tessera.llm import langid, packing, quality, sharding, tokenize, urlfilter
+from tessera.llm import langid, packing, quality, sharding, tokenize, urlfilter, vectors
 
-MODULES = (urlfilter, tokenize, packing, sharding, langid, quality)
+MODULES = (urlfilter, tokenize, packing, sharding, langid, quality, vectors)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}

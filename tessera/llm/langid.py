@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.llm.ngrams import LETTERS_ONLY, blocks, gram_keys, held_out, narrow, share
 from tessera.session import ship
 
-BUCKETS, ORDERS, SAMPLE, CENTROIDS = 4096, (2, 3), 6000, 4
+BUCKETS, ORDERS, SAMPLE, CENTROIDS = 4096, (2, 3), 3000, 4
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -57,7 +57,7 @@ class Model:
 def fit(rows: list[tuple[str, np.ndarray]], k: int = CENTROIDS, margin: float = 0.5) -> Model:
     """rows: language and bucket counts, in a fixed order."""
     langs = sorted({x for x, _ in rows})
-    tf = np.sqrt(np.stack([c for _, c in rows])).astype(np.float32)
+    tf = np.sqrt(np.stack([c for _, c in rows]), dtype=np.float32)
     idf = (np.log((1 + len(rows)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
     x, y = unit(tf * idf), np.array([langs.index(a) for a, _ in rows])
     centroids, of, least = [], [], np.zeros(len(langs))
@@ -101,7 +101,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     full = []
     for lang, rs in taken.items():
         for r in rs[:: max(1, -(-len(rs) // each))] if len(rs) > 2 * each else rs[:each]:
-            c = np.zeros(BUCKETS, np.int64)
+            c = np.zeros(BUCKETS, np.float32)
             c[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["count"], "<u4")
             full.append((lang, c))
     return fit(full) if full else None
