@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -46,6 +47,21 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark clean up shuffle files that no frame refers to any more; else they stay until the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a materialised frame whose results have been written, and shuffle files that are no longer needed."""
+    spark = df.sparkSession
+    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(spark)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a materialised frame for broadcast if its row count is within the bound; else leaves the join to shuffle."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
