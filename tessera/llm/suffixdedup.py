@@ -24,6 +24,7 @@ each judged against smaller ids. Empty tables give none; other columns are not c
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -32,11 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import materialize, ship, small
+from tessera.session import discard, materialize, release, ship, small
 
 DEPTH, GRAM = 50, 24
 #: Bytes of text of a shard, of a suffix array, and of a slice that is hashed at once; bits of the bitmap at most.
-SHARD, ARRAY, SLICE, BITS = 12_000_000, 1_500_000, 400_000, 28
+SHARD, ARRAY, SLICE, BITS = 8_000_000, 1_500_000, 400_000, 28
 U = np.uint64
 ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93))
 
@@ -183,13 +184,36 @@ def open_spans(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<u4").reshape(-1, 2).astype(np.int64)
 
 
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids as places in their sorted distinct values, compressed."""
+    values, at = np.unique(ids, return_inverse=True)
+    return zlib.compress(np.array([len(values)], "<i8").tobytes() + np.diff(values, prepend=0).tobytes() + at.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes(), 1)
+
+
+def unpack_ids(b: bytes) -> np.ndarray:
+    raw = zlib.decompress(b)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    at = np.ascontiguousarray(np.frombuffer(raw, "<u2", offset=8 + 8 * n).reshape(2, -1).T).view("<u4").ravel()
+    return np.cumsum(np.frombuffer(raw, "<i8", n, 8))[at]
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as differences, byte by byte, compressed."""
+    return zlib.compress(np.ascontiguousarray(np.diff(keys, prepend=U(0)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, ::-1].T).tobytes(), 1)
+
+
+def unpack_sorted(b: bytes) -> np.ndarray:
+    raw = np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(raw.T[:, ::-1]).view("<u8").ravel().astype(U), dtype=U)
+
+
 def bucketed(bucket: np.ndarray, *columns: np.ndarray):
     """Yields (bucket, columns' parts as bytes)."""
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
     for i, j in zip(cut, [*cut[1:], len(b)]):
-        yield (int(b[i]), *(c[order[i:j]].tobytes() for c in columns))
+        yield (int(b[i]), *(c[order[i:j]] for c in columns))
 
 
 class Shards:
@@ -237,7 +261,7 @@ def shared_anchors(docs: DataFrame, bits: int, buckets: int) -> np.ndarray:
             anchor = anchor[~(again & np.concatenate([[False], again[:-1]])[: len(anchor)])]
             rest = (anchor & U((1 << 48) - 1)).astype("<u8").view("<u2").reshape(-1, 4)[:, :3]
             for b, x in bucketed((anchor >> U(64 - buckets.bit_length() + 1)).astype(np.int64) if buckets > 1 else np.zeros(len(anchor), np.int64), rest):
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x], pa.binary())], names=["bucket", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["bucket", "x"])
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         b = int(pdf["bucket"].iloc[0])
@@ -247,7 +271,8 @@ def shared_anchors(docs: DataFrame, bits: int, buckets: int) -> np.ndarray:
         a = np.sort(a.view(U).ravel())
         twice = np.unique(a[1:][a[1:] == a[:-1]])
         field = np.zeros(1 << step, bool)
-        field[(twice >> U(48 - step)).astype(np.int64) if step <= 48 else twice.astype(np.int64)] = True
+        for place in places(twice, step):
+            field[place] = True
         return pd.DataFrame({"bucket": [b], "x": [np.packbits(field, bitorder="little").tobytes()]})
 
     got = docs.mapInArrow(emit, "bucket int, x binary").groupBy("bucket").applyInPandas(mark, "bucket int, x binary").collect()
@@ -258,11 +283,20 @@ def shared_anchors(docs: DataFrame, bits: int, buckets: int) -> np.ndarray:
     return out
 
 
-def bitmap_index(anchor: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+def places(rest: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """An anchor's two bits in its bucket's part of the bitmap, from its low 48 bits."""
+    return (rest >> U(48 - step)).astype(np.int64), (((rest * ODD[1]) >> U(64 - step)) if step else rest * U(0)).astype(np.int64)
+
+
+def in_bitmap(bitmap: np.ndarray, anchor: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     lead = buckets.bit_length() - 1
     step = bits - lead
-    b = (anchor >> U(64 - lead)) if lead else np.zeros(len(anchor), U)
-    return ((b << U(step)) | ((anchor & U((1 << 48) - 1)) >> U(48 - step))).astype(np.int64)
+    base = ((anchor >> U(64 - lead)) << U(step) if lead else np.zeros(len(anchor), U)).astype(np.int64)
+    hit = np.ones(len(anchor), bool)
+    for place in places(anchor & U((1 << 48) - 1), step):
+        at = base | place
+        hit &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return hit
 
 
 def candidate_rows(docs: DataFrame, bitmap, bits: int, lead: int, buckets: int) -> DataFrame:
@@ -273,8 +307,7 @@ def candidate_rows(docs: DataFrame, bitmap, bits: int, lead: int, buckets: int)
             keep, spans, pieces = [], [], []
             for i in range(0, len(texts), 200):
                 row, start, end, anchor, _ = blocks(texts[i : i + 200], False)
-                at = bitmap_index(anchor, bits, lead)
-                hit = (bitmap.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                hit = in_bitmap(bitmap.value, anchor, bits, lead)
                 row, start, end = row[hit], start[hit], end[hit]
                 cut = np.searchsorted(row, np.arange(len(texts[i : i + 200]) + 1))
                 for r in np.unique(row):
@@ -299,7 +332,7 @@ def candidate_rows(docs: DataFrame, bitmap, bits: int, lead: int, buckets: int)
                 [pa.array([0] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array(ids), pa.array([pack_spans(s) for s in spans], pa.binary()), pa.array([b"".join(x.tobytes() for x in p) for p in pieces], pa.binary()), pa.array([np.packbits(local[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([None] * n, pa.int32())], names=NAMES
             )
             for b, k, v, d in bucketed((anchor[first] % U(buckets)).astype(np.int64), key[first], anchor[first], ids[row[first]]):
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([shard], pa.int64()), pa.array([None], pa.int64()), pa.array([k], pa.binary()), pa.array([v], pa.binary()), pa.array([d], pa.binary()), pa.array([b], pa.int32())], names=NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([shard], pa.int64()), pa.array([None], pa.int64()), pa.array([pack_sorted(k)], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([pack_ids(d)], pa.binary()), pa.array([b], pa.int32())], names=NAMES)
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -324,9 +357,9 @@ def cut_pieces(spans: np.ndarray, text: bytes) -> list[np.ndarray]:
 
 def judge_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of each shard's blocks: those that a smaller document has too, and those that may partly repeat because their anchor has other blocks."""
-    sizes = [len(k) // 8 for k in pdf["x"]]
-    key, anchor = (np.frombuffer(b"".join(pdf[c]), U) for c in "xy")
-    doc, shard = np.frombuffer(b"".join(pdf["z"]), np.int64), np.repeat(pdf["shard"].to_numpy(), sizes)
+    keys = [unpack_sorted(k) for k in pdf["x"]]
+    key, anchor = np.concatenate(keys), np.frombuffer(b"".join(pdf["y"]), U)
+    doc, shard = np.concatenate([unpack_ids(x) for x in pdf["z"]]), np.repeat(pdf["shard"].to_numpy(), [len(k) for k in keys])
     order = np.lexsort((doc, key, anchor))
     k, v, d = key[order], anchor[order], doc[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
@@ -369,7 +402,7 @@ def open_rows(rows: pd.DataFrame, answers: pd.DataFrame, buckets: int) -> pd.Dat
     key, doc = shard_classes(pieces, ids)
     out = [(0, shard, i, pack_spans(r), pack_spans(s), b"".join(x.tobytes() for x in p), None) for i, r, s, p in zip(ids, removed, spans, pieces)]
     # What a smaller document of the shard has is known already; the classes' least ids go on, with the shard's documents that hold the class later.
-    out += [(1, shard, None, k, d, None, b) for b, k, d in bucketed((key >> U(33)).astype(np.int64) % buckets, key, doc)]
+    out += [(1, shard, None, pack_sorted(k), pack_ids(d), None, b) for b, k, d in bucketed((key >> U(33)).astype(np.int64) % buckets, key, doc)]
     return pd.DataFrame(out, columns=NAMES).astype({"doc_id": "Int64", "bucket": "Int32"})
 
 
@@ -409,19 +442,19 @@ def shard_classes(pieces: list[list[np.ndarray]], ids: np.ndarray) -> tuple[np.n
 
 
 def merge_classes(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each shard, its classes with the least id that holds them anywhere: shards' sorted keys are merged into one and looked up in it."""
-    key, doc = np.frombuffer(b"".join(pdf["x"]), U), np.frombuffer(b"".join(pdf["y"]), np.int64)
+    """For each shard, its classes that a smaller document of another shard holds: the shards' sorted keys are merged into one and looked up in it."""
+    keys, docs = [unpack_sorted(x) for x in pdf["x"]], [unpack_ids(y) for y in pdf["y"]]
+    key, doc = np.concatenate(keys), np.concatenate(docs)
     order = np.lexsort((doc, key))
     k, d = key[order], doc[order]
     new = np.concatenate([[True], k[1:] != k[:-1]])
     k, d, count = k[new], d[new], np.diff(np.flatnonzero(new), append=len(new))
     out = []
-    for shard, x, y in zip(pdf["shard"], pdf["x"], pdf["y"]):
-        mine = np.frombuffer(x, U)
+    for shard, mine, own in zip(pdf["shard"], keys, docs):
         at = np.searchsorted(k, mine)
-        known = (count[at] > 1) & (d[at] < np.frombuffer(y, np.int64))
-        out.append((shard, mine[known].tobytes(), d[at][known].tobytes()))
-    return pd.DataFrame(out, columns=["shard", "x", "y"])
+        known = (count[at] > 1) & (d[at] < own)
+        out.append((shard, mine[known].tobytes()))
+    return pd.DataFrame(out, columns=["shard", "x"])
 
 
 def final_rows(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -464,11 +497,14 @@ def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
     lead = 1 << int(np.clip(np.ceil(np.log2(max(total_bytes, 1) / 16e6)), 5, min(14, bits - 3)))  # buckets of the first exchange, a power of two
     buckets = int(np.clip(total_bytes // 8_000_000, 32, 1 << 20))
     bitmap = spark.sparkContext.broadcast(shared_anchors(docs, bits, lead))
+    release(spark)
     rows = materialize(candidate_rows(docs, bitmap, bits, lead, buckets), "blocks")
     answers = rows.where("kind = 1").groupBy("bucket").applyInPandas(judge_blocks, "shard long, done binary, open binary")
     opened = rows.where("kind = 0").groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(lambda a, b: open_rows(a, b, buckets), SCHEMA)
-    rows = materialize(opened, "open")
-    answers = rows.where("kind = 1").groupBy("bucket").applyInPandas(merge_classes, "shard long, x binary, y binary")
+    opened = materialize(opened, "open")
+    discard(rows)
+    rows = opened
+    answers = rows.where("kind = 1").groupBy("bucket").applyInPandas(merge_classes, "shard long, x binary")
     return rows.where("kind = 0").groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(final_rows, "doc_id long, spans binary")
 
 
