@@ -180,6 +180,16 @@ def pack_spans(s: np.ndarray) -> bytes:
     return s.astype("<u4").tobytes()
 
 
+def squeeze_spans(s: np.ndarray) -> bytes:
+    """For what is only passed on: differences, compressed."""
+    return zlib.compress(np.diff(s.ravel(), prepend=0).astype("<u4").view("<u2").reshape(-1, 2).T.tobytes(), 1)
+
+
+def unsqueeze_spans(b: bytes) -> np.ndarray:
+    x = np.ascontiguousarray(np.frombuffer(zlib.decompress(b), "<u2").reshape(2, -1).T).view("<u4")
+    return np.cumsum(x.ravel(), dtype=np.uint32).astype(np.int64).reshape(-1, 2)  # differences may be negative: spans can overlap
+
+
 def open_spans(b: bytes) -> np.ndarray:
     return np.frombuffer(b, "<u4").reshape(-1, 2).astype(np.int64)
 
@@ -329,7 +339,7 @@ def candidate_rows(docs: DataFrame, bitmap, bits: int, lead: int, buckets: int)
             cut = np.searchsorted(row, np.arange(len(keep) + 1))
             n = len(keep)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array(ids), pa.array([pack_spans(s) for s in spans], pa.binary()), pa.array([b"".join(x.tobytes() for x in p) for p in pieces], pa.binary()), pa.array([np.packbits(local[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([None] * n, pa.int32())], names=NAMES
+                [pa.array([0] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array(ids), pa.array([squeeze_spans(s) for s in spans], pa.binary()), pa.array([b"".join(x.tobytes() for x in p) for p in pieces], pa.binary()), pa.array([np.packbits(local[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([None] * n, pa.int32())], names=NAMES
             )
             for b, k, v, d in bucketed((anchor[first] % U(buckets)).astype(np.int64), key[first], anchor[first], ids[row[first]]):
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([shard], pa.int64()), pa.array([None], pa.int64()), pa.array([pack_sorted(k)], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([pack_ids(d)], pa.binary()), pa.array([b], pa.int32())], names=NAMES)
@@ -386,7 +396,7 @@ def open_rows(rows: pd.DataFrame, answers: pd.DataFrame, buckets: int) -> pd.Dat
     ids = rows["doc_id"].to_numpy(np.int64)
     removed, spans, pieces = [], [], []
     for span, text, local in zip(rows["x"], rows["y"], rows["z"]):
-        span = open_spans(span)
+        span = unsqueeze_spans(span)
         part = cut_pieces(span, text)
         row, start, end, _, key = blocks(part, True)
         local = np.unpackbits(np.frombuffer(local, np.uint8), count=len(key)).astype(bool)
@@ -400,7 +410,7 @@ def open_rows(rows: pd.DataFrame, answers: pd.DataFrame, buckets: int) -> pd.Dat
         where = np.searchsorted(span[:, 0], s[:, 0], side="right") - 1
         pieces.append([part[w][a - span[w, 0] : b - span[w, 0]] for w, (a, b) in zip(where, s)])
     key, doc = shard_classes(pieces, ids)
-    out = [(0, shard, i, pack_spans(r), pack_spans(s), b"".join(x.tobytes() for x in p), None) for i, r, s, p in zip(ids, removed, spans, pieces)]
+    out = [(0, shard, i, squeeze_spans(r), squeeze_spans(s), b"".join(x.tobytes() for x in p), None) for i, r, s, p in zip(ids, removed, spans, pieces)]
     # What a smaller document of the shard has is known already; the classes' least ids go on, with the shard's documents that hold the class later.
     out += [(1, shard, None, pack_sorted(k), pack_ids(d), None, b) for b, k, d in bucketed((key >> U(33)).astype(np.int64) % buckets, key, doc)]
     return pd.DataFrame(out, columns=NAMES).astype({"doc_id": "Int64", "bucket": "Int32"})
@@ -466,7 +476,7 @@ def final_rows(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     known = np.sort(known)
     parts = []
     for doc, spans, text in zip(rows["doc_id"], rows["y"], rows["z"]):
-        spans = open_spans(spans)
+        spans = unsqueeze_spans(spans)
         for (start, _), x in zip(spans, cut_pieces(spans, text)):
             parts.append((doc, start, window_keys(grams(x))))
     # Within the shard: a window's class belongs to the first document that has it, as ids are in order.
@@ -482,7 +492,7 @@ def final_rows(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     cut = np.searchsorted(doc, rows["doc_id"].to_numpy(np.int64)), np.searchsorted(doc, rows["doc_id"].to_numpy(np.int64), side="right")
     out = []
     for d, r, a, b in zip(rows["doc_id"], rows["x"], *cut):
-        r = open_spans(r)
+        r = unsqueeze_spans(r)
         s = merge_spans(np.concatenate([r[:, 0], place[a:b]]), np.concatenate([r[:, 1], place[a:b] + DEPTH]))
         if len(s):
             out.append((d, pack_spans(s)))
@@ -508,17 +518,19 @@ def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
     return rows.where("kind = 0").groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(final_rows, "doc_id long, spans binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, spans (packed offset pairs), kept (the bytes that stay) of each row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, spans (packed offset pairs), kept (the bytes that stay) of each row, and the columns to carry."""
     ship(docs.sparkSession)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    carry = carry or []
+    all_docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
+    docs = all_docs.select("doc_id", "text")
     long = docs.where((F.octet_length("text") >= DEPTH) & F.col("doc_id").isNotNull()).select("doc_id", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha"))
     long = materialize(long, "hashes")
     total = long.agg(F.sum("n")).first()[0] or 0
     first = materialize(long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sha", "first"), "copies")
     copies = materialize(long.join(small(first), "sha").where("doc_id > first").select("doc_id", "sha").distinct(), "later")
-    keyed = docs.withColumn("sha", F.when(F.octet_length("text") >= DEPTH, F.unhex(F.sha2(F.encode("text", "UTF-8"), 256))))
-    rest = keyed.join(small(copies), ["doc_id", "sha"], "left_anti").select("doc_id", "text")
+    sha = F.when(F.octet_length("text") >= DEPTH, F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
+    rest = docs.withColumn("sha", sha).join(small(copies), ["doc_id", "sha"], "left_anti").select("doc_id", "text")
     spans = materialize(repeated_spans(rest, total).groupBy("doc_id").agg(F.first("spans").alias("spans")), "spans")
 
     def cut(batches):
@@ -529,10 +541,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 s = np.array([[0, len(x)]]) if copy else open_spans(s or b"")
                 ends = [0, *s.ravel().tolist(), len(x)]
                 out.append((len(x), int((s[:, 1] - s[:, 0]).sum()), len(s), pack_spans(s), b"".join(x[i:j] for i, j in zip(ends[::2], ends[1::2]))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.binary()] * 2))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.binary()] * 2)), *b.columns[4:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", *carry])
 
+    keyed = all_docs.withColumn("sha", sha)
     marked = keyed.join(small(copies.withColumn("copy", F.lit(True))), ["doc_id", "sha"], "left").join(small(spans), "doc_id", "left")
-    return marked.select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy")).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, spans binary, kept binary")
+    types = dict(all_docs.dtypes)
+    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, spans binary, kept binary", *(f"`{c}` {types[f'carry_{c}']}" for c in carry)])
+    return marked.select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"), *(f"carry_{c}" for c in carry)).mapInArrow(cut, schema)
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
