@@ -39,3 +39,20 @@ def components(edges: DataFrame) -> DataFrame:
         e = materialize(_neighbours_to_least(e, True).distinct(), "edges")
         e = materialize(_neighbours_to_least(e, False).distinct(), "edges")
     raise RuntimeError("the components did not settle")
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(node, degree) of an undirected edge table (a, b)."""
+    return edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+
+
+def degree_census(edges: DataFrame) -> DataFrame:
+    """How many nodes have one, two, or three and more edges."""
+    return degrees(edges).groupBy(F.least("degree", F.lit(3)).cast("int").alias("degree")).agg(F.count("*").alias("n"))
+
+
+def neighbour_smooth(edges: DataFrame, values: DataFrame, strength: float) -> DataFrame:
+    """Moves each node's value towards the mean of its neighbours; nodes without one stay. values: (node, value)."""
+    both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    mean = both.join(values.select(F.col("node").alias("b"), "value"), "b").groupBy(F.col("a").alias("node")).agg(F.avg("value").alias("mean"))
+    return values.join(mean, "node", "left").select("node", F.coalesce(F.col("value") * (1 - strength) + F.col("mean") * strength, "value").alias("value"))
