@@ -49,8 +49,8 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that a document with a smaller id has too; characters that a cut leaves in parts go, and documents left without a letter or digit go."""
     docs = _rows(docs)
     kept = suffixdedup.remove_repeats(docs, carry=["lang", "source"])
-    text = F.regexp_replace(F.decode("kept", "UTF-8"), "�", "")
-    whole = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(text)
+    cut = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
+    whole = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(cut)
     return kept.withColumn("text", whole).where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 

@@ -60,3 +60,12 @@ def test_odd_rows(spark, sf):
         docs = spark.createDataFrame(stage(spark, docs, sf).collect(), docs.schema)
         assert docs.columns == cp.COLUMNS
     assert cp.packed(spark, docs, sf).count() >= docs.count()
+
+
+def test_cut_characters(spark, sf):
+    """A cut inside a character leaves valid text."""
+    common = "\u00e8" * 30
+    docs = spark.createDataFrame([(1, "a\u00e9" + common, "fr", "s", 1), (2, "b\u00f9 xyz " + common + "\u00e9 the end", "fr", "s", 1), (3, "clean \ufffd text", "fr", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = as_dict(cp.repeats(spark, docs, sf))
+    assert got[2].text.startswith("b\u00f9 xyz ") and got[2].text.endswith(" the end") and "\ufffd" not in got[2].text
+    assert got[3].text == "clean \ufffd text" and got[1].text == "a\u00e9" + common
