@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import shutil
@@ -17,6 +19,8 @@ BROADCAST_ROWS = 300_000
 
 def ship(spark: SparkSession) -> None:
     """Makes this package importable on executors that do not have it on their path."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # whole texts are long rows
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     sc = spark.sparkContext
     if root in os.environ.get("PYTHONPATH", "").split(":") or getattr(sc, "_tessera_shipped", False):
@@ -26,6 +30,15 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+def tidy() -> None:
+    """On a worker: hands memory that earlier tasks have freed back to the system."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is named (tests)."""
     sc = spark.sparkContext
