@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.ngrams import LETTERS_ONLY, blocks, gram_keys, held_out, narrow, share
-from tessera.session import ship
+from tessera.session import ship, tidy
 
 BUCKETS, ORDERS, SAMPLE, CENTROIDS = 4096, (2, 3), 3000, 4
 LETTER = regex.compile(r"\p{L}")
@@ -85,6 +85,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     table = F.create_map(*[x for k, v in n.items() for x in (F.lit(k), F.lit(min(1.0, 1.1 * each / v + 10 / v)))])
 
     def gather(batches):
+        tidy()
         for b in batches:
             langs, ids, texts = (b.column(i).to_pylist() for i in range(3))
             for part, t in blocks(list(zip(langs, ids)), [fold(x) for x in texts]):
@@ -113,6 +114,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        tidy()
         m = shared.value
         for b in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             texts = b.column(1).to_pylist()

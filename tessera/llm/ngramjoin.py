@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
 from tessera.llm.ngrams import narrow
-from tessera.session import materialize, ship, small
+from tessera.session import materialize, ship, small, tidy
 
 #: Counters of the document-frequency sketch, its parts when it is summed, and the number of least-token orders that draw copies together.
 SKETCH_BITS, PARTS, LEAST = 22, 64, 4
@@ -99,6 +99,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
     """A row for each text: doc_id, n tokens, 128-bit hash of the set, least tokens under several orders; and each task's part of the sketch."""
 
     def run(batches):
+        tidy()
         cache, counts, held, waiting = Hashes(), np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
         for b in _batches(batches):
             out = []
@@ -108,7 +109,7 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                 d = xxhash.xxh3_128_digest(t.tobytes())
                 least = [int(mix(t, 4 + k).min().view(np.int64)) for k in range(LEAST)] if len(t) else None
                 out.append((len(t), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), least))
-                if waiting > 2_000_000:
+                if waiting > 1_000_000:
                     counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
                     held, waiting = [], 0
             yield _row_batch([b.column(0), *zip(*out), [None] * len(out), [None] * len(out)])
@@ -162,6 +163,7 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, frequency)
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
 
     def run(batches):
+        tidy()
         cache = Hashes()
         for b in _batches(batches):
             sets = list(token_sets(b.column(1).to_pylist(), n, cache))
@@ -202,6 +204,7 @@ def candidates(docs: DataFrame, known: DataFrame, n: int, percent: int, frequenc
     """(a, b), a < b: documents of different components that share a prefix token under the first order. known: (doc_id, rep, comp) where they are not the id itself."""
 
     def emit(batches):
+        tidy()
         cache = Hashes()
         for b in _batches(batches):
             ids, comp = b.column(0).to_numpy(), b.column(2).to_numpy()
@@ -216,6 +219,7 @@ def candidates(docs: DataFrame, known: DataFrame, n: int, percent: int, frequenc
             )
 
     def pair(batches):
+        tidy()
         held = None
         for b in _with_end(batches):
             rows = [b.column(i).to_numpy() for i in range(5)] if b is not None else [np.zeros(0, np.int64)] * 5

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import discard, materialize, release, ship, small
+from tessera.session import discard, materialize, release, ship, small, tidy
 
 DEPTH, GRAM = 50, 24
 #: Bytes of text of a shard, of a suffix array, and of a slice that is hashed at once; bits of the bitmap at most.
@@ -230,6 +230,7 @@ class Shards:
     """Collects (id, text) rows until a shard is full."""
 
     def __init__(self):
+        tidy()
         self.number, self.rows, self.size = TaskContext.get().partitionId() << 24, [], 0
 
     def feed(self, batches):
@@ -390,6 +391,7 @@ def open_rows(rows: pd.DataFrame, answers: pd.DataFrame, buckets: int) -> pd.Dat
     """kind 0: a document's repeated spans so far, its open spans and their bytes; kind 1: the shard's classes of open windows by bucket."""
     if not len(rows):
         return pd.DataFrame({n: [] for n in NAMES})
+    tidy()
     shard = int(rows["shard"].iloc[0])
     rows = rows.sort_values("doc_id", kind="stable")
     done, open_ = (np.sort(np.frombuffer(b"".join(answers[c]), U)) for c in ("done", "open"))

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship
+from tessera.session import ship, tidy
 
 #: White space as the tokenizers' patterns mean it, in a form that all Python versions read alike.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -260,6 +260,7 @@ def _encode(docs: DataFrame, kind: type, path: str, id_col: str, text_col: str,
     tail = np.array([] if end is None else [end], "<u4").tobytes()
 
     def run(batches):
+        tidy()
         coder = _worker(kind, shared)
         for b in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             texts = b.column(1).to_pylist()
@@ -287,6 +288,7 @@ def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
         shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
+        tidy()
         coder = _worker(ByteBPE, shared)
         for b in batches:
             for i in range(0, b.num_rows, 64):
