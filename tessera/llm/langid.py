@@ -105,7 +105,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
             c = np.zeros(BUCKETS, np.float32)
             c[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["count"], "<u4")
             full.append((lang, c))
-    return fit(full) if full else None
+    model = fit(full) if full else None
+    del full, taken
+    tidy()
+    return model
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:

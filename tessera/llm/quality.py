@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tessera.llm.ngrams import blocks, gram_keys, held_out, narrow, share
 from tessera.session import ship, tidy
 
-BUCKETS, ORDERS, SAMPLE = 1 << 14, (1, 2, 3, 4), 6000
+BUCKETS, ORDERS, SAMPLE = 1 << 14, (1, 2, 3, 4), 3500
 
 
 def present(texts: list[bytes]) -> np.ndarray:
@@ -46,7 +46,9 @@ class Model:
 
 def svm(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights for indicators (rows: the buckets that each text has), the squares for their lengths, and the constant: hinge loss by dual coordinate descent."""
-    p, q = (1 + np.bincount(np.concatenate([r for r, v in zip(rows, y) if v == sign]), minlength=BUCKETS) for sign in (1, -1))
+    p, q = np.ones(BUCKETS), np.ones(BUCKETS)
+    for r, v in zip(rows, y):
+        (p if v > 0 else q)[r] += 1
     r = np.log((p / p.sum()) / (q / q.sum()))
     values = [(r[i] / max(np.linalg.norm(r[i]), 1e-9)).astype(np.float32) for i in rows]
     w, bias, alpha, order = np.zeros(BUCKETS), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
@@ -102,7 +104,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     got = narrow(docs, "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "q", "text").mapInArrow(gather, "doc_id long, q int, bits binary").collect()
     got.sort(key=lambda r: (r.doc_id, r.bits))
     rows = [np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8), count=BUCKETS)).astype(np.int32) for r in got]
-    return fit(rows, np.array([r.q for r in got]))
+    got = np.array([r.q for r in got])
+    tidy()
+    model = fit(rows, got)
+    del rows
+    tidy()
+    return model
 
 
 def score(self, x: np.ndarray) -> np.ndarray:
@@ -111,7 +118,9 @@ def score(self, x: np.ndarray) -> np.ndarray:
 
 def svm(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, rounds: int = 12, seed: int = 1) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights for indicators (rows: the buckets that each text has), the squares for their lengths, and the constant: hinge loss by dual coordinate descent."""
-    p, q = (1 + np.bincount(np.concatenate([r for r, v in zip(rows, y) if v == sign]), minlength=BUCKETS) for sign in (1, -1))
+    p, q = np.ones(BUCKETS), np.ones(BUCKETS)
+    for r, v in zip(rows, y):
+        (p if v > 0 else q)[r] += 1
     r = np.log((p / p.sum()) / (q / q.sum()))
     values = [(r[i] / max(np.linalg.norm(r[i]), 1e-9)).astype(np.float32) for i in rows]
     w, bias, alpha, order = np.zeros(BUCKETS), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
