@@ -30,10 +30,16 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
-def tidy() -> None:
-    """On a worker: hands memory that earlier tasks have freed back to the system."""
+#: What a worker keeps between tasks of one operator, such as a tokenizer's cache.
+KEPT: dict = {}
+
+
+def tidy(keep: bool = False) -> None:
+    """On a worker: hands memory that earlier tasks have freed back to the system, what another operator kept included."""
     import pyarrow
 
+    if not keep:
+        KEPT.clear()
     pyarrow.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL("libc.so.6").malloc_trim(0)
