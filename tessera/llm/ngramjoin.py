@@ -95,6 +95,11 @@ def _batches(batches, rows: int = 1000):
             yield b.slice(k, rows)
 
 
+def add(counts: np.ndarray, held: list[np.ndarray]) -> None:
+    which, times = np.unique(np.concatenate(held), return_counts=True)
+    counts[which] += times.astype(np.uint32)
+
+
 def signed(docs: DataFrame, n: int) -> DataFrame:
     """A row for each text: doc_id, n tokens, 128-bit hash of the set, least tokens under several orders; and each task's part of the sketch."""
 
@@ -110,11 +115,11 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                 least = [int(mix(t, 4 + k).min().view(np.int64)) for k in range(LEAST)] if len(t) else None
                 out.append((len(t), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), least))
                 if waiting > 1_000_000:
-                    counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
+                    add(counts, held)
                     held, waiting = [], 0
             yield _row_batch([b.column(0), *zip(*out), [None] * len(out), [None] * len(out)])
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=len(counts)).astype(np.uint32)
+            add(counts, held)
         blobs = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, PARTS)]
         none = [None] * PARTS
         yield _row_batch([pa.array(none, pa.int64()), none, none, none, none, list(range(PARTS)), blobs])
@@ -131,15 +136,15 @@ def _row_batch(columns: list) -> pa.RecordBatch:
 def document_frequencies(rows: DataFrame) -> np.ndarray:
     """The whole corpus's sketch as logarithms in a byte; summed in two levels, of fixed size whatever the corpus."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << SKETCH_BITS) // PARTS, np.uint32)
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros((1 << SKETCH_BITS) // PARTS, np.uint32)
         for x in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+            out += np.frombuffer(zlib.decompress(x), np.uint32)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [zlib.compress(out.tobytes(), 1)]})
 
     parts = rows.where("part is not null").select("part", "counts", F.pmod(F.xxhash64("counts"), F.lit(16)).alias("salt"))
-    some = parts.groupBy("part", "salt").applyInPandas(add, "part int, counts binary")
-    whole = sorted(some.groupBy("part").applyInPandas(add, "part int, counts binary").collect())
+    some = parts.groupBy("part", "salt").applyInPandas(total, "part int, counts binary")
+    whole = sorted(some.groupBy("part").applyInPandas(total, "part int, counts binary").collect())
     counts = np.concatenate([np.frombuffer(zlib.decompress(r.counts), np.uint32) for r in whole]) if whole else np.zeros(1 << SKETCH_BITS, np.uint32)
     return np.minimum(np.log2(counts + 1.0) * 8, 255).astype(np.uint8)
 

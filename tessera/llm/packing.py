@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.tokenize import word_encode
+from tessera.llm.tokenize import Words, encoder
 from tessera.session import ship
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -28,11 +28,10 @@ def piece_lengths(n: int, capacity: int, cut: bool) -> list[int]:
     return [capacity] * (n // capacity) + ([1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1] if cut else [rest] * (rest > 0))
 
 
-def pack(encoded: DataFrame, capacity: int = 4096, cut: bool = True) -> DataFrame:
-    """Pieces of (doc_id, n_tokens, ids): doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+def packer(capacity: int = 4096, cut: bool = True):
+    """A function from batches of (doc_id, n_tokens, ids) to batches of pieces."""
     if cut and capacity & (capacity - 1):
         raise ValueError("cutting needs a capacity that is a power of two")
-    ship(encoded.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches):
@@ -79,13 +78,21 @@ def pack(encoded: DataFrame, capacity: int = 4096, cut: bool = True) -> DataFram
         if out:
             yield flush()
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, SCHEMA)
+    return run
+
+
+def pack(encoded: DataFrame, capacity: int = 4096, cut: bool = True) -> DataFrame:
+    """Pieces of (doc_id, n_tokens, ids): doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
+    ship(encoded.sparkSession)
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(packer(capacity, cut), SCHEMA)
 
 
 def pack_texts(docs: DataFrame, path: str | None = None, capacity: int = 4096, end: int = 2) -> DataFrame:
+    """Tokenises and packs whole texts in one pass through the workers."""
     import public_tokenizers
 
-    return pack(word_encode(docs, path or public_tokenizers.path("word_bpe_49k.json"), end), capacity)
+    encode, fill = encoder(docs.sparkSession, Words, path or public_tokenizers.path("word_bpe_49k.json"), end), packer(capacity)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda batches: fill(encode(batches)), SCHEMA)
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

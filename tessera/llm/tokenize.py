@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import ship, tidy
+from tessera.session import KEPT, ship, tidy
 
 #: White space as the tokenizers' patterns mean it, in a form that all Python versions read alike.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -27,7 +27,6 @@ SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Words kept in a worker's cache before it is emptied, and characters taken at a time.
 CACHE_WORDS, SLICE_CHARS = 300_000, 2_000_000
 NO_RANK = np.int32(2**31 - 1)
-_KEPT: dict = {}
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -244,23 +243,35 @@ def slices(texts: list[str | None]):
 
 def _worker(kind: type, shared) -> object:
     key = (kind.__name__, shared.id if hasattr(shared, "id") else id(shared))
-    if key not in _KEPT:
+    if key not in KEPT:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _KEPT.clear()
-        _KEPT[key] = kind(shared.value)
-    return _KEPT[key]
+        KEPT.clear()
+        KEPT[key] = kind(shared.value)
+    return KEPT[key]
 
 
-def _encode(docs: DataFrame, kind: type, path: str, id_col: str, text_col: str, end: int | None) -> DataFrame:
-    ship(docs.sparkSession)
+ENCODED = "doc_id long, n_tokens long, ids binary"
+
+
+def _shared(spark, path: str):
+    ship(spark)
     with open(path, "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        return spark.sparkContext.broadcast(f.read())
+
+
+def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def encoder(spark, kind: type, path: str, end: int | None = None, shared=None):
+    """A function from batches of (doc_id, text) to batches of ENCODED."""
+    shared = shared or _shared(spark, path)
     tail = np.array([] if end is None else [end], "<u4").tobytes()
 
     def run(batches):
-        tidy()
+        tidy(keep=True)
         coder = _worker(kind, shared)
         for b in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
             texts = b.column(1).to_pylist()
@@ -268,42 +279,52 @@ def _encode(docs: DataFrame, kind: type, path: str, id_col: str, text_col: str,
                 ids = [x.astype("<u4", copy=False).tobytes() + tail for x in coder.encode([t or "" for t in texts[i:j]])]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return run
+
+
+def decoder(spark, path: str, shared=None):
+    """A function from batches of ENCODED to batches with the decoded text as well."""
+    shared = shared or _shared(spark, path)
+
+    def run(batches):
+        coder = None
+        for b in batches:
+            coder = coder or _worker(ByteBPE, shared)
+            for i in range(0, b.num_rows, 64):
+                s = b.slice(i, 64)
+                text = [coder.decode(np.frombuffer(x or b"", "<u4")) for x in s.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
+
+    return run
 
 
 def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids: byte-level BPE of whole texts, special tokens in a text recognised as the library does."""
-    return _encode(docs, ByteBPE, path, id_col, text_col, None)
+    return _input(docs, id_col, text_col).mapInArrow(encoder(docs.sparkSession, ByteBPE, path), ENCODED)
 
 
 def word_encode(docs: DataFrame, path: str, end: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids of a tokenizer of words, each document followed by the id ``end``."""
-    return _encode(docs, Words, path, id_col, text_col, end)
+    return _input(docs, id_col, text_col).mapInArrow(encoder(docs.sparkSession, Words, path, end), ENCODED)
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids, text: the decoded texts; bytes that are no UTF-8 become U+FFFD, null ids an empty text."""
-    ship(encoded.sparkSession)
-    with open(path, "rb") as f:
-        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(decoder(encoded.sparkSession, path), f"{ENCODED}, text string")
 
-    def run(batches):
-        tidy()
-        coder = _worker(ByteBPE, shared)
-        for b in batches:
-            for i in range(0, b.num_rows, 64):
-                s = b.slice(i, 64)
-                text = [coder.decode(np.frombuffer(x or b"", "<u4")) for x in s.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*s.columns, pa.array(text, pa.string())], names=["doc_id", "n_tokens", "ids", "text"])
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids binary, text string")
+def bpe_round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bpe_decode(bpe_encode(docs)) in one pass through the workers."""
+    shared = _shared(docs.sparkSession, path)  # one for both, so that a worker keeps one vocabulary
+    encode, decode = encoder(docs.sparkSession, ByteBPE, path, None, shared), decoder(docs.sparkSession, path, shared)
+    return _input(docs, id_col, text_col).mapInArrow(lambda batches: decode(encode(batches)), f"{ENCODED}, text string")
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    out = bpe_decode(bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    out = bpe_round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
