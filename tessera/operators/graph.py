@@ -55,4 +55,4 @@ def neighbour_smooth(edges: DataFrame, values: DataFrame, strength: float) -> Da
     """Moves each node's value towards the mean of its neighbours; nodes without one stay. values: (node, value)."""
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     mean = both.join(values.select(F.col("node").alias("b"), "value"), "b").groupBy(F.col("a").alias("node")).agg(F.avg("value").alias("mean"))
-    return values.join(mean, "node", "left").select("node", F.coalesce(F.col("value") * (1 - strength) + F.col("mean") * strength, "value").alias("value"))
+    return values.join(mean, "node", "left").select("node", F.coalesce(F.col("value") * (1 - strength) + F.col("mean") * strength, F.col("value")).alias("value"))

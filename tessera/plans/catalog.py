@@ -30,7 +30,8 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 def rounded(df: DataFrame, places: int = 4) -> DataFrame:
-    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Doubles rounded, without a negative zero."""
+    return df.select(*[(F.round(c, places) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # Flagship: Gaussian classes, Bayes rule, confusion
@@ -116,7 +117,7 @@ def prf_per_class(spark, sf_dir):
 SVM = {"linear": (1.0, 0.0, "s"), "poly": (2.0, 0.0, "pow(s + 1, 2)"), "rbf": (0.5, 0.0, "exp(-0.5 * d2)"), "sigmoid": (0.5, 0.1, "tanh(s * 0.5 + 0.1)")}
 
 
-@query(f"WITH {MEANS}, k AS (SELECT vec_id, center, sum(x * m) AS s, sum((x - m) * (x - m)) AS d2 FROM e JOIN c USING (i) GROUP BY 1, 2) SELECT vec_id, center, " + ", ".join(f"round({s}, 4) AS {n}" for n, (_, _, s) in SVM.items()) + " FROM k")
+@query(f"WITH {MEANS}, k AS (SELECT vec_id, center, sum(x * m) AS s, sum((x - m) * (x - m)) AS d2 FROM e JOIN c USING (i) GROUP BY 1, 2) SELECT vec_id, center, " + ", ".join(f"round({s}, 4) + 0 AS {n}" for n, (_, _, s) in SVM.items()) + " FROM k")
 def svm_kernels(spark, sf_dir):
     rows, centers = _centers(spark, sf_dir)
     a, b = F.col("embedding"), F.col("v")
@@ -186,7 +187,7 @@ def class_entropy(spark, sf_dir):
     return rounded(stats.entropy(stats.histogram(table(spark, sf_dir, "lineitem"), "l_returnflag", F.col("l_quantity"), ["l_linestatus"]), ["l_linestatus"]), 6)
 
 
-@query("WITH s AS (SELECT l_returnflag, sum(l_quantity) AS w, sum(l_quantity * l_discount) AS sx, sum(l_quantity * l_tax) AS sy, sum(l_quantity * l_discount * l_discount) AS sxx, sum(l_quantity * l_tax * l_tax) AS syy, sum(l_quantity * l_discount * l_tax) AS sxy FROM lineitem GROUP BY 1) SELECT l_returnflag, round(w, 6) AS w, round(sx / w, 6) AS mean_x, round(sy / w, 6) AS mean_y, round(sxx / w - sx / w * sx / w, 6) AS var_x, round(syy / w - sy / w * sy / w, 6) AS var_y, round(sxy / w - sx / w * sy / w, 6) AS cov FROM s")
+@query("WITH s AS (SELECT l_returnflag, sum(l_quantity) AS w, sum(l_quantity * l_discount) AS sx, sum(l_quantity * l_tax) AS sy, sum(l_quantity * l_discount * l_discount) AS sxx, sum(l_quantity * l_tax * l_tax) AS syy, sum(l_quantity * l_discount * l_tax) AS sxy FROM lineitem GROUP BY 1) SELECT l_returnflag, round(w, 6) AS w, round(sx / w, 6) AS mean_x, round(sy / w, 6) AS mean_y, round(sxx / w - sx / w * sx / w, 6) AS var_x, round(syy / w - sy / w * sy / w, 6) AS var_y, round(sxy / w - sx / w * sy / w, 6) + 0 AS cov FROM s")
 def weighted_gaussian_stats(spark, sf_dir):
     return rounded(stats.gaussian(table(spark, sf_dir, "lineitem"), ["l_returnflag"], F.col("l_discount"), F.col("l_tax"), F.col("l_quantity")), 6)
 
@@ -309,10 +310,10 @@ def degree_census(spark, sf_dir):
     return graph.degree_census(_edges(spark, sf_dir))
 
 
-@query(f"WITH {EDGES}, v AS (SELECT -s_suppkey AS node, s_acctbal AS value FROM supplier UNION ALL SELECT o_orderkey, o_totalprice FROM orders), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), m AS (SELECT a AS node, avg(value) AS mean FROM b JOIN v ON v.node = b.b GROUP BY 1) SELECT v.node, round(coalesce(value * 0.75 + mean * 0.25, value), 3) AS value FROM v LEFT JOIN m USING (node)")
+@query(f"WITH {EDGES}, v AS (SELECT -s_suppkey AS node, s_acctbal AS value FROM supplier UNION ALL SELECT o_orderkey, o_totalprice FROM orders), b AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), m AS (SELECT a AS node, avg(value) AS mean FROM b JOIN v ON v.node = b.b GROUP BY 1) SELECT v.node, round(coalesce(value * 0.7 + mean * 0.3, value), 6) AS value FROM v LEFT JOIN m USING (node)")
 def neighbour_smooth(spark, sf_dir):
     values = table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("node"), F.col("s_acctbal").alias("value")).unionAll(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"))
-    return rounded(graph.neighbour_smooth(_edges(spark, sf_dir), values, 0.25), 3)
+    return rounded(graph.neighbour_smooth(_edges(spark, sf_dir), values, 0.3), 6)
 
 
 # Events
@@ -323,9 +324,9 @@ def tumbling_counts(spark, sf_dir):
     return rounded(events.tumbling(table(spark, sf_dir, "events")))
 
 
-@query("WITH w AS (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start, value FROM events) SELECT start, count(*) AS n, round(avg(value), 4) AS mean FROM w GROUP BY 1")
+@query("WITH w AS (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start, value FROM events) SELECT start, count(*) AS n, round(avg(value), 9) AS mean FROM w GROUP BY 1")
 def sliding_avg(spark, sf_dir):
-    return rounded(events.sliding(table(spark, sf_dir, "events")))
+    return rounded(events.sliding(table(spark, sf_dir, "events")), 9)
 
 
 @query("WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS g FROM events), i AS (SELECT user_id, ts, sum(g) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM o) SELECT user_id, min(ts) AS start, count(*) AS n FROM i GROUP BY user_id, i")
