@@ -369,3 +369,29 @@ def vector_converters(spark, sf_dir):
     v = kernels.from_radial(F.array(F.col("p_size").cast("double"), F.col("p_retailprice")))
     a = kernels.to_angle(F.radians("p_size"))
     return rounded(table(spark, sf_dir, "part").select("p_partkey", v[0].alias("radius"), v[1].alias("angle"), a[0].alias("cx"), a[1].alias("cy")), 6)
+
+
+# Models and solvers that SQL cannot express; tested against brute force and dense algebra.
+
+
+def chain_labels(spark, sf_dir):
+    """Return flags along each supplier's lines, smoothed: a wrong flag costs 1, a change of flag 0.75."""
+    from tessera.operators import inference
+
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("chain"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("var"), "l_returnflag").distinct()
+    state = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("state"), F.lit(f).alias("f")) for i, f in enumerate("ANR")]))
+    costs = lines.select("chain", "var", "l_returnflag", state.alias("s")).select("chain", "var", "s.state", (F.col("s.f") != F.col("l_returnflag")).cast("double").alias("cost"))
+    return inference.chain_labels(costs, 0.75)
+
+
+def gmm_isotropic(spark, sf_dir):
+    """Each vector's likeliest component after EM rounds from the class means."""
+    from tessera.operators import mixture
+
+    rows, centers = _centers(spark, sf_dir)
+    model, _ = mixture.fit_isotropic(rows, centers.withColumn("center", F.col("center").cast("long")), "vec_id", "embedding", 3)
+    resp = mixture.responsibilities(rows, model, "vec_id", "embedding", 64)
+    return resp.groupBy("vec_id").agg(F.max_by("center", "r").alias("component"), F.max("r").alias("r"))
+
+
+QUERIES |= {"chain_labels": chain_labels, "gmm_isotropic": gmm_isotropic}
