@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
-from tessera.operators import classify, density, graph, stats, text
+from tessera.operators import classify, density, graph, images, stats, text
 from tessera.streaming import events
 
 QUERIES: dict = {}
@@ -371,6 +371,113 @@ def vector_converters(spark, sf_dir):
     return rounded(table(spark, sf_dir, "part").select("p_partkey", v[0].alias("radius"), v[1].alias("angle"), a[0].alias("cx"), a[1].alias("cy")), 6)
 
 
+# Images: each embedding is an 8 x 8 frame of one channel
+
+PIXELS = "p AS (SELECT vec_id AS frame, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x, v FROM (SELECT vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings))"
+
+
+def _pixels(spark, sf_dir):
+    i = F.col("i")
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.posexplode("embedding").alias("i", "v")).select("frame", F.floor(i / 8).cast("int").alias("y"), (i % 8).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+
+
+@query(f"WITH {PIXELS} SELECT frame, y // 2 AS y, x // 2 AS x, round(avg(v), 6) AS v FROM p GROUP BY 1, 2, 3")
+def image_half(spark, sf_dir):
+    return rounded(images.half(_pixels(spark, sf_dir), ["v"]), 6)
+
+
+@query(f"WITH {PIXELS} SELECT frame, y * 2 + a.i::INT AS y, x * 2 + b.i::INT AS x, v FROM p, range(2) AS a(i), range(2) AS b(i)")
+def image_step_scale(spark, sf_dir):
+    return images.step_scale(_pixels(spark, sf_dir), 2)
+
+
+@query(f"WITH {PIXELS} SELECT frame, y, 7 - x AS x, v FROM p")
+def image_reflect(spark, sf_dir):
+    return images.reflect(_pixels(spark, sf_dir), 8, 8)
+
+
+@query(f"WITH {PIXELS} SELECT frame, y - 2 AS y, x - 1 AS x, v FROM p WHERE y BETWEEN 2 AND 5 AND x BETWEEN 1 AND 6")
+def frame_crop(spark, sf_dir):
+    return images.crop(_pixels(spark, sf_dir), 2, 1, 4, 6)
+
+
+@query(f"WITH {PIXELS} SELECT a.frame, a.y, a.x, round(abs(a.v - b.v) * 100, 6) AS v FROM p a JOIN p b ON a.frame = b.frame AND a.y = b.y AND a.x = 7 - b.x")
+def render_difference(spark, sf_dir):
+    p = _pixels(spark, sf_dir)
+    return rounded(images.difference(p, images.reflect(p, 8, 8), ["v"]), 6)
+
+
+@query(f"WITH {PIXELS} SELECT a.frame, a.y, a.x, round(a.v - b.v, 6) AS change FROM p a JOIN p b ON a.frame = b.frame + 1 AND a.y = b.y AND a.x = b.x")
+def lag_frame(spark, sf_dir):
+    return rounded(images.lag_difference(_pixels(spark, sf_dir), "v"), 6)
+
+
+@query(f"WITH {PIXELS}, t AS (SELECT i - 3 AS o, exp(-0.5 * pow(i - 3, 2)) AS w FROM range(7) AS r(i)), b AS (SELECT frame, (y + o)::INT AS y, x, sum(v * w) / sum(w) AS v FROM p, t WHERE y + o BETWEEN 0 AND 7 GROUP BY 1, 2, 3) SELECT frame, y, (x + o)::INT AS x, round(sum(v * w) / sum(w), 6) AS v FROM b, t WHERE x + o BETWEEN 0 AND 7 GROUP BY 1, 2, 3")
+def image_blur(spark, sf_dir):
+    return rounded(images.blur(_pixels(spark, sf_dir), "v", 1.0), 6)
+
+
+@query(f"WITH {PIXELS}, q AS (SELECT frame, y, x, y * 0.8 + x * 0.1 AS py, x * 0.8 + 0.3 AS px FROM p), n AS (SELECT q.frame, q.y, q.x, floor(py)::INT + a.i AS cy, floor(px)::INT + b.i AS cx, abs(1 - a.i - (py - floor(py))) * abs(1 - b.i - (px - floor(px))) AS w FROM q, range(2) AS a(i), range(2) AS b(i)), g AS (SELECT n.frame, n.y, n.x, sum(w * p.v) / sum(w) AS v FROM n JOIN p ON p.frame = n.frame AND p.y = cy AND p.x = cx WHERE w > 1e-12 GROUP BY 1, 2, 3) SELECT p.frame, p.y, p.x, round(g.v, 6) AS v FROM p LEFT JOIN g USING (frame, y, x)")
+def image_warp(spark, sf_dir):
+    return rounded(images.warp(_pixels(spark, sf_dir), [[0.8, 0.0, 0.3], [0.1, 0.8, 0.0], [0.0, 0.0, 1.0]], "v"), 6)
+
+
+@query(f"WITH {PIXELS} SELECT frame, round(avg(v) * 255, 6) AS v FROM p GROUP BY 1")
+def frame_average(spark, sf_dir):
+    return rounded(images.frame_average(_pixels(spark, sf_dir), ["v"], 255.0), 6)
+
+
+@query(f"WITH {PIXELS}, m AS (SELECT frame, (v > 0)::INT AS t, (lag(v) OVER (PARTITION BY frame, y ORDER BY x) > 0)::INT AS g FROM p) SELECT frame, count(*) FILTER (t = 0 AND g = 0) AS t0g0, count(*) FILTER (t = 0 AND g = 1) AS t0g1, count(*) FILTER (t = 1 AND g = 0) AS t1g0, count(*) FILTER (t = 1 AND g = 1) AS t1g1 FROM m GROUP BY 1")
+def mask_stats(spark, sf_dir):
+    p = _pixels(spark, sf_dir)
+    left = p.select("frame", "y", (F.col("x") + 1).alias("x"), (F.col("v") > 0).cast("int").alias("g"))
+    return images.mask_stats(p.withColumn("t", (F.col("v") > 0).cast("int")).join(left, images.AT, "left"), "t", "g")
+
+
+@query(f"WITH {PIXELS}, m AS (SELECT *, avg(v) OVER (PARTITION BY y, x ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM p) SELECT frame, y, x, coalesce(round(abs(v - m), 9) > 0.25, false)::INT AS mask FROM m")
+def background_mask(spark, sf_dir):
+    return images.background(_pixels(spark, sf_dir), "v", 0.25)
+
+
+@query(f"WITH {PIXELS}, f AS (SELECT a.frame, a.y, a.x, a.v AS dx, b.v AS dy FROM p a JOIN p b ON a.frame = b.frame AND a.y = b.y AND b.x = 7 - a.x) SELECT frame, y, x, round(CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) / (2 * pi()) + 1 ELSE atan2(dy, dx) / (2 * pi()) END, 6) AS hue, round(least(sqrt(dx * dx + dy * dy) * 2, 1), 6) AS value FROM f")
+def flow_render(spark, sf_dir):
+    p = _pixels(spark, sf_dir)
+    flow = p.withColumnRenamed("v", "dx").join(images.reflect(p, 8, 8).withColumnRenamed("v", "dy"), images.AT)
+    return rounded(images.flow_render(flow, 2.0), 6)
+
+
+@query(f"WITH {PIXELS}, n AS (SELECT max(frame) + 1 AS n FROM p) SELECT frame, y, x, v FROM p UNION ALL SELECT frame + n, y, x, -v FROM p, n")
+def seq_concat(spark, sf_dir):
+    p = _pixels(spark, sf_dir)
+    n = p.agg(F.max("frame") + 1).first()[0] or 0
+    return images.concat([p, p.withColumn("v", -F.col("v"))], [n, n])
+
+
+# Selections
+
+
+@query(f"WITH {EDGES}, k AS (SELECT -s_suppkey AS node FROM supplier WHERE s_acctbal > 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') SELECT a, b FROM e WHERE a IN (SELECT node FROM k) AND b IN (SELECT node FROM k)")
+def induced_subgraph(spark, sf_dir):
+    keep = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select((-F.col("s_suppkey")).alias("node")).unionAll(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey"))
+    e = _edges(spark, sf_dir)
+    return e.join(keep.withColumnRenamed("node", "a"), "a", "left_semi").join(keep.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+
+
+@query("WITH m AS (SELECT DISTINCT lang, source FROM documents) SELECT lang, source, row_number() OVER (ORDER BY lang, source)::INT AS flag FROM m")
+def flag_index(spark, sf_dir):
+    masks = table(spark, sf_dir, "documents").select("lang", "source").distinct()
+    return masks.select("lang", "source", F.row_number().over(Window.orderBy("lang", "source")).alias("flag"))
+
+
+@query("WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2), p AS (SELECT source, lang, n::DOUBLE / sum(n) OVER (PARTITION BY source) AS p FROM c), q AS (SELECT lang, sum(n)::DOUBLE / (SELECT sum(n) FROM c) AS q FROM c GROUP BY 1) SELECT source, round(sum(p * ln(p / q)), 6) AS kl FROM p JOIN q USING (lang) GROUP BY 1")
+def kl_divergence(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").where("lang is not null and source is not null").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    p = c.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("source")))
+    q = c.groupBy("lang").agg(F.sum("n").alias("q"))
+    total = c.agg(F.sum("n").alias("t"))
+    return rounded(p.join(q, "lang").crossJoin(F.broadcast(total)).groupBy("source").agg(F.sum(F.col("p") * F.log(F.col("p") * F.col("t") / F.col("q"))).alias("kl")), 6)
+
+
 # Models and solvers that SQL cannot express; tested against brute force and dense algebra.
 
 
@@ -394,4 +501,40 @@ def gmm_isotropic(spark, sf_dir):
     return resp.groupBy("vec_id").agg(F.max_by("center", "r").alias("component"), F.max("r").alias("r"))
 
 
-QUERIES |= {"chain_labels": chain_labels, "gmm_isotropic": gmm_isotropic}
+def forest_classify(spark, sf_dir):
+    """Each vector's label by the trees that did not train on it."""
+    from tessera.operators import forest
+
+    rows = table(spark, sf_dir, "embeddings")
+    nodes, leaves = forest.train(rows, "vec_id", "label", "embedding")
+    return forest.predict(rows, nodes, leaves, "vec_id", "embedding", bag=True).select(F.col("id").alias("vec_id"), "best").distinct()
+
+
+def svm_one_against_one(spark, sf_dir):
+    """Each vector's label by the votes of the pairs of classes."""
+    from tessera.operators import svm
+
+    rows = table(spark, sf_dir, "embeddings")
+    model = svm.train_pairs(rows, "label", "embedding")
+    return svm.vote(svm.decisions(rows, model, "vec_id", "embedding")).select(F.col("id").alias("vec_id"), "best")
+
+
+def topic_shares(spark, sf_dir):
+    """Each document's likeliest of eight topics and its negative log likelihood."""
+    from tessera.operators import topics
+
+    bow = text.bag_of_words(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "doc")
+    index, log_beta = topics.fit(bow, 8, rounds=5)
+    shares = topics.fold_in(bow, index, log_beta)
+    return shares.select(F.col("doc").alias("doc_id"), F.array_position("topics", F.array_max("topics")).alias("topic"), "nll")
+
+
+def mean_shift(spark, sf_dir):
+    """Clusters of supplier balances."""
+    from tessera.operators import meanshift
+
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 800).alias("x"))
+    return meanshift.cluster(rows, ["x"], epsilon=1e-2)
+
+
+QUERIES |= {f.__name__: f for f in (chain_labels, gmm_isotropic, forest_classify, svm_one_against_one, topic_shares, mean_shift)}
