@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,23 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     return docs.select(id_col, F.posexplode(F.split(text, "\n")).alias("block", "body")).where(F.trim("body") != "")
 
 
+def text_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, block, body): runs of lines with a letter, trimmed, underscores removed and joined by spaces; any line without a letter ends a block."""
+    lines = docs.select(id_col, F.posexplode(F.split(text, "\n")).alias("pos", "line")).withColumn("has", F.col("line").rlike("[A-Za-z]"))
+    w = Window.partitionBy(id_col).orderBy("pos")
+    runs = lines.withColumn("block", F.count_if(~F.col("has")).over(w)).where("has")
+    body = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.trim(F.translate("line", "_", "")).alias("t")))), lambda r: r["t"])
+    return runs.groupBy(id_col, "block").agg(F.concat_ws(" ", body).alias("body"))
+
+
+def titled_blocks(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, block, title, body): a block without lower-case letters is the title of the ones after it."""
+    lower = F.col("body").rlike("[a-z]")
+    w = Window.partitionBy(id_col).orderBy("block")
+    titled = text_blocks(docs, id_col, text).withColumn("title", F.last(F.when(~lower, F.col("body")), True).over(w))
+    return titled.where(lower).select(id_col, "block", "title", "body")
+
+
 def bag_of_words(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, word, n) of ASCII-lower-cased runs of letters."""
     words = F.regexp_extract_all(F.translate(F.col(text), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("([a-z]+)"), F.lit(1))

@@ -157,6 +157,19 @@ def paragraph_blocks(spark, sf_dir):
 BOW = "w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z]+')) AS word FROM documents), b AS (SELECT doc_id, word, count(*) AS n FROM w GROUP BY 1, 2)"
 
 
+TEXT_BLOCKS = r"l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), h AS (SELECT *, regexp_matches(line, '[A-Za-z]') AS has FROM l), r AS (SELECT *, sum((NOT has)::INT) OVER (PARTITION BY doc_id ORDER BY pos)::BIGINT AS block FROM h), t AS (SELECT doc_id, block, string_agg(trim(replace(line, '_', '')), ' ' ORDER BY pos) AS body FROM r WHERE has GROUP BY 1, 2)"
+
+
+@query(f"WITH {TEXT_BLOCKS} SELECT doc_id, block, body FROM t")
+def text_blocks(spark, sf_dir):
+    return text.text_blocks(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {TEXT_BLOCKS}, n AS (SELECT *, regexp_matches(body, '[a-z]') AS low FROM t), c AS (SELECT *, last_value(CASE WHEN NOT low THEN body END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block) AS title FROM n) SELECT doc_id, block, title, body FROM c WHERE low")
+def titled_blocks(spark, sf_dir):
+    return text.titled_blocks(table(spark, sf_dir, "documents"))
+
+
 @query(f"WITH {BOW} SELECT * FROM b")
 def bow_matrix(spark, sf_dir):
     return text.bag_of_words(table(spark, sf_dir, "documents"))
@@ -529,6 +542,35 @@ def topic_shares(spark, sf_dir):
     return shares.select(F.col("doc").alias("doc_id"), F.array_position("topics", F.array_max("topics")).alias("topic"), "nll")
 
 
+def dirichlet_mixture(spark, sf_dir):
+    """Each part's component and log density under a Dirichlet-process mixture of size and price."""
+    from tessera.operators import dirichlet
+
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100).alias("v"))
+    model = dirichlet.fit(rows, "p_partkey", "v", components=6, rounds=8)
+    return dirichlet.density(rows, model, "p_partkey", "v").select(F.col("id").alias("p_partkey"), "component", "log_p")
+
+
+def kde_classes(spark, sf_dir):
+    """Each order's status by incremental densities of price and day."""
+    import numpy as np
+
+    from tessera.operators import inckde
+
+    o = table(spark, sf_dir, "orders")
+    v = F.array(F.col("o_totalprice") / 1e5, F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")) / 365)
+    rows = o.select("o_orderkey", v.alias("v"), F.ascii("o_orderstatus").alias("status"))
+    model = inckde.fit(rows, "status", "v", np.eye(2) * 0.05, 12)
+    return inckde.classify(rows, model, "o_orderkey", "v").select(F.col("id").alias("o_orderkey"), F.char(F.col("best")).alias("status"))
+
+
+def background_model(spark, sf_dir):
+    """Probability of foreground of each pixel of the embedding frames, the frames before it as background."""
+    from tessera.streaming import background
+
+    return background.foreground_batch(_pixels(spark, sf_dir))
+
+
 def mean_shift(spark, sf_dir):
     """Clusters of supplier balances."""
     from tessera.operators import meanshift
@@ -537,4 +579,4 @@ def mean_shift(spark, sf_dir):
     return meanshift.cluster(rows, ["x"], epsilon=1e-2)
 
 
-QUERIES |= {f.__name__: f for f in (chain_labels, gmm_isotropic, forest_classify, svm_one_against_one, topic_shares, mean_shift)}
+QUERIES |= {f.__name__: f for f in (chain_labels, gmm_isotropic, forest_classify, svm_one_against_one, topic_shares, mean_shift, dirichlet_mixture, kde_classes, background_model)}
