@@ -420,7 +420,7 @@ def render_difference(spark, sf_dir):
     return rounded(images.difference(p, images.reflect(p, 8, 8), ["v"]), 6)
 
 
-@query(f"WITH {PIXELS} SELECT a.frame, a.y, a.x, round(a.v - b.v, 6) AS change FROM p a JOIN p b ON a.frame = b.frame + 1 AND a.y = b.y AND a.x = b.x")
+@query(f"WITH {PIXELS} SELECT a.frame, a.y, a.x, round(a.v - b.v, 6) + 0.0 AS change FROM p a JOIN p b ON a.frame = b.frame + 1 AND a.y = b.y AND a.x = b.x")
 def lag_frame(spark, sf_dir):
     return rounded(images.lag_difference(_pixels(spark, sf_dir), "v"), 6)
 
