@@ -8,11 +8,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
 
+#: Rounds of a fit that runs until it rests; one that needs more raises.
+MOST_ROUNDS = 10_000
+
 
 def range_join(left: DataFrame, right: DataFrame, dims: list[tuple[str, str]], radius: float) -> DataFrame:
     """Pairs whose scaled features lie within the radius (Euclidean, < radius), with column `d`. dims: (left column, right column) pairs, already scaled."""
@@ -78,14 +84,45 @@ def mean_vectors(rows: DataFrame, by: Column, vector: str) -> DataFrame:
     return parts.groupBy("center").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
 
 
-def kmeans(rows: DataFrame, k: int, id_col: str, vector: str, rounds: int = 10) -> DataFrame:
-    """(center, v) after Lloyd rounds from k rows spread by a hash of the id; each round writes its centres, a few rows."""
+def kmeans(rows: DataFrame, k: int, id_col: str, vector: str, rounds: int | None = None) -> DataFrame:
+    """(center, v) of Lloyd's algorithm from k rows spread by a hash of the id, until no row changes its centre; a bound of MOST_ROUNDS raises. A number of rounds given is done without that test. A centre without rows is dropped."""
     spark = rows.sparkSession
-    centers = rows.orderBy(F.xxhash64(id_col), id_col).limit(k).select(F.xxhash64(id_col).alias("center"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
-    centers = spark.createDataFrame(centers.collect(), centers.schema)
-    for _ in range(rounds):
-        at = nearest_center(rows.select(id_col, vector), centers, id_col, vector, [vector])
-        new = mean_vectors(at, F.col("center"), vector)
-        got = new.collect()  # k rows
-        centers = spark.createDataFrame(got, new.schema)
-    return centers
+    data = rows.where(F.col(vector).isNotNull())
+    start = data.orderBy(F.xxhash64(id_col), id_col).limit(k).select(F.xxhash64(id_col).alias("center"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    got = start.collect()  # k rows
+    ids, v, before = np.array([r["center"] for r in got], np.int64), np.array([r["v"] for r in got], float), None
+    for done in range(MOST_ROUNDS if rounds is None else rounds):
+        if not len(ids):
+            break
+        n, sums, moved = _lloyd(data.select(vector), ids, v, before)
+        if rounds is None and done and not moved:
+            break
+        before, kept = (ids, v), n > 0
+        ids, v = ids[kept], sums[kept] / n[kept, None]
+    else:
+        if rounds is None:
+            raise RuntimeError(f"k-means is not at rest after {MOST_ROUNDS} rounds")
+    return spark.createDataFrame([(int(c), x.tolist()) for c, x in zip(ids, v)], start.schema)
+
+
+def _lloyd(data: DataFrame, ids: np.ndarray, v: np.ndarray, before: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(rows, sums) by centre, and how many rows had another one under the centres before; each task sends one row, and these add up in the order of the tasks."""
+    sent = data.sparkSession.sparkContext.broadcast((ids, v, before))
+
+    def step(batches):
+        ids, v, before = sent.value
+        near = lambda x, c: np.stack([((x - m) ** 2).sum(1) for m in c], 1).argmin(1)
+        n, sums, moved = np.zeros(len(v)), np.zeros(v.shape), 0
+        for b in batches:
+            if len(b):
+                x = np.asarray(b.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(len(b), -1)
+                at = near(x, v)
+                moved += len(b) if before is None else int((ids[at] != before[0][near(x, before[1])]).sum())
+                n += np.bincount(at, minlength=len(v))
+                for c in np.unique(at):
+                    sums[c] += x[at == c].sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n.tolist()], pa.list_(pa.float64())), pa.array([sums.ravel().tolist()], pa.list_(pa.float64())), pa.array([moved], pa.int64())], names=["part", "n", "s", "moved"])
+
+    got = sorted(data.mapInArrow(step, "part int, n array<double>, s array<double>, moved long").collect())  # a row for each task
+    sent.destroy()
+    return np.sum([r["n"] for r in got], axis=0), np.sum([r["s"] for r in got], axis=0).reshape(v.shape), sum(r["moved"] for r in got)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.distributions import Prior, prior_from, student_log_pdf
 from tessera.functions.special import digamma
+from tessera.operators.density import MOST_ROUNDS
 
 
 @dataclass
@@ -88,8 +89,8 @@ def _update(prior: Prior, stats, concentration: float) -> Model:
     return Model(prior, [prior.update(a, b, c) for a, b, c in zip(n, sums, squares)], sticks, len(n) / (1 - rest.sum()))
 
 
-def fit(rows: DataFrame, id_col: str, vector: str, components: int = 8, rounds: int = 30, tol: float = 1e-3, prior: Prior | None = None) -> Model:
-    """A mixture of at most this many components; those that the data do not need end with hardly any weight. Rows without a vector are left out; at least one row is needed."""
+def fit(rows: DataFrame, id_col: str, vector: str, components: int = 8, rounds: int | None = None, tol: float = 1e-3, prior: Prior | None = None) -> Model:
+    """A mixture of at most this many components; those that the data do not need end with hardly any weight. Rounds go on until no component's size changes by tol of all rows; a bound of MOST_ROUNDS raises, a number of rounds given does not. Rows without a vector are left out; at least one row is needed."""
     data = _vectors(rows, id_col, vector)
     start = [np.array(r["v"]) for r in data.orderBy(F.xxhash64("id"), "id").limit(components).collect()]
     if not start:
@@ -107,12 +108,15 @@ def fit(rows: DataFrame, id_col: str, vector: str, components: int = 8, rounds:
 
     model = _update(prior, _statistics(data, nearest, len(seeds), d), 1.0)
     before = None
-    for _ in range(rounds):
+    for _ in range(MOST_ROUNDS if rounds is None else rounds):
         model = _update(prior, _statistics(data, model.shares, len(model.parts), d), model.concentration)
         n = model.sticks[:, 0] - 1
         if before is not None and np.abs(n - before).max() < tol * max(n.sum(), 1):
             break
         before = n
+    else:
+        if rounds is None:
+            raise RuntimeError(f"the mixture is not at rest after {MOST_ROUNDS} rounds")
     return model
 
 
@@ -135,7 +139,7 @@ def nll(rows: DataFrame, model: Model, id_col: str, vector: str) -> float:
     return -(density(rows, model, id_col, vector).agg(F.sum("log_p")).first()[0] or 0.0)
 
 
-def fit_growing(rows: DataFrame, id_col: str, vector: str, most: int = 32, rounds: int = 30) -> Model:
+def fit_growing(rows: DataFrame, id_col: str, vector: str, most: int = 32, rounds: int | None = None) -> Model:
     """Adds components until the likelihood no longer improves."""
     best, least = None, np.inf
     for k in range(1, most + 1):

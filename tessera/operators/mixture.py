@@ -4,34 +4,70 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
-from tessera.operators.density import mean_vectors, nearest_center
+from tessera.operators.density import MOST_ROUNDS, mean_vectors, nearest_center
 
 FLOOR = 1e-6
 
 
-def fit_isotropic(rows: DataFrame, centers: DataFrame, id_col: str, vector: str, rounds: int = 5):
-    """Expectation maximisation of isotropic Gaussians from start centres (center, v): (components (center, v, var, weight), log likelihood by round)."""
+def fit_isotropic(rows: DataFrame, centers: DataFrame, id_col: str, vector: str, rounds: int | None = None, epsilon: float = 1e-4):
+    """Expectation maximisation of isotropic Gaussians from start centres (center, v), until no row's share of a component changes by epsilon (the likelihood may stand still on the way); a bound of MOST_ROUNDS raises. A number of rounds given is done without that test. (components (center, v, var, weight), log likelihood by round)."""
     spark = rows.sparkSession
-    d = len(centers.first()["v"])
-    k = centers.count()
-    model = spark.createDataFrame([(r["center"], r["v"], 1.0, 1.0 / k) for r in centers.collect()], "center long, v array<double>, var double, weight double")
-    trace = []
-    for _ in range(rounds):
-        resp = responsibilities(rows, model, id_col, vector, d)
-        trace.append(resp.select(id_col, "norm").distinct().agg(F.sum("norm")).first()[0])
-        sums = resp.groupBy("center").agg(F.sum("r").alias("n"), F.sum(F.col("r") * F.col("d2")).alias("s"))
-        means = resp.select("center", "r", F.posexplode(vector).alias("i", "x")).groupBy("center", "i").agg((F.sum(F.col("r") * F.col("x")) / F.sum("r")).alias("m"))
-        v = means.groupBy("center").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
-        old = model.select("center", F.col("v").alias("o"))
-        step = kernels.squared_distance(F.col("v"), F.col("o"))
-        new = sums.join(v, "center").join(old, "center").select("center", "v", F.greatest((F.col("s") / F.col("n") - step) / d, F.lit(FLOOR)).alias("var"), F.col("n").alias("weight")).collect()  # k rows
-        total = sum(r["weight"] for r in new)
-        model = spark.createDataFrame([(r["center"], r["v"], r["var"], r["weight"] / total) for r in new], model.schema)
-    return model, trace
+    start = centers.collect()
+    ids = np.array([r["center"] for r in start], np.int64)
+    v = np.array([r["v"] for r in start], float)
+    model, before = (ids, v, np.ones(len(ids)), np.full(len(ids), 1 / len(ids))), None
+    data, trace = rows.where(F.col(vector).isNotNull()).select(vector), []
+    for done in range(MOST_ROUNDS if rounds is None else rounds):
+        n, s, sums, likelihood, change = _em(data, model, before)
+        trace.append(likelihood)
+        if rounds is None and done and change < epsilon:
+            break
+        before, kept = model, n > 0
+        n, s, v = n[kept], s[kept], sums[kept] / n[kept, None]
+        var = np.maximum((s / n - ((v - model[1][kept]) ** 2).sum(1)) / v.shape[1], FLOOR)
+        model = model[0][kept], v, var, n / n.sum()
+    else:
+        if rounds is None:
+            raise RuntimeError(f"the mixture is not at rest after {MOST_ROUNDS} rounds")
+    return spark.createDataFrame([(int(c), m.tolist(), float(a), float(w)) for c, m, a, w in zip(*model)], "center long, v array<double>, var double, weight double"), trace
+
+
+def _em(data: DataFrame, model: tuple, before: tuple | None):
+    """(weight, weighted squared distances, weighted sums) by component, the log likelihood, and the largest change of a row's share since the model before; each task sends one row."""
+    sent = data.sparkSession.sparkContext.broadcast((model, before))
+
+    def shares(x, ids, v, var, weight):
+        d2 = np.stack([((x - m) ** 2).sum(1) for m in v], 1)
+        p = np.log(weight) - x.shape[1] / 2 * np.log(2 * np.pi * var) - d2 / (2 * var)
+        top = p.max(1, keepdims=True)
+        e = np.exp(p - top)
+        return d2, e / e.sum(1, keepdims=True), top[:, 0] + np.log(e.sum(1))
+
+    def step(batches):
+        model, before = sent.value
+        k, d = model[1].shape
+        n, s, sums, likelihood, change = np.zeros(k), np.zeros(k), np.zeros((k, d)), 0.0, 0.0
+        for b in batches:
+            if len(b):
+                x = np.asarray(b.column(0).flatten().to_numpy(zero_copy_only=False), float).reshape(len(b), -1)
+                d2, r, norm = shares(x, *model)
+                if before is not None:
+                    old = shares(x, *before)[1]
+                    change = max(change, float(np.abs(r - old[:, np.isin(before[0], model[0])]).max()))
+                n, s, sums, likelihood = n + r.sum(0), s + (r * d2).sum(0), sums + r.T @ x, likelihood + float(norm.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([np.concatenate([n, s, sums.ravel()]).tolist()], pa.list_(pa.float64())), pa.array([likelihood]), pa.array([change])], names=["part", "s", "likelihood", "change"])
+
+    got = sorted(data.mapInArrow(step, "part int, s array<double>, likelihood double, change double").collect())  # a row for each task
+    sent.destroy()
+    k, total = len(model[0]), np.sum([r["s"] for r in got], axis=0)
+    return total[:k], total[k : 2 * k], total[2 * k :].reshape(k, -1), sum(r["likelihood"] for r in got), max(r["change"] for r in got)
 
 
 def responsibilities(rows: DataFrame, model: DataFrame, id_col: str, vector: str, d: int) -> DataFrame:

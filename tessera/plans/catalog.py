@@ -126,7 +126,7 @@ def svm_kernels(spark, sf_dir):
 
 def kmeans(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    return density.nearest_center(rows, density.kmeans(rows, 10, "vec_id", "embedding", 3), "vec_id", "embedding")
+    return density.nearest_center(rows, density.kmeans(rows, 10, "vec_id", "embedding"), "vec_id", "embedding")
 
 
 QUERIES["kmeans"] = kmeans
@@ -505,11 +505,11 @@ def chain_labels(spark, sf_dir):
 
 
 def gmm_isotropic(spark, sf_dir):
-    """Each vector's likeliest component after EM rounds from the class means."""
+    """Each vector's likeliest component, by EM from the class means until the shares rest."""
     from tessera.operators import mixture
 
     rows, centers = _centers(spark, sf_dir)
-    model, _ = mixture.fit_isotropic(rows, centers.withColumn("center", F.col("center").cast("long")), "vec_id", "embedding", 3)
+    model, _ = mixture.fit_isotropic(rows, centers.withColumn("center", F.col("center").cast("long")), "vec_id", "embedding")
     resp = mixture.responsibilities(rows, model, "vec_id", "embedding", 64)
     return resp.groupBy("vec_id").agg(F.max_by("center", "r").alias("component"), F.max("r").alias("r"))
 
@@ -547,7 +547,7 @@ def dirichlet_mixture(spark, sf_dir):
     from tessera.operators import dirichlet
 
     rows = table(spark, sf_dir, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100).alias("v"))
-    model = dirichlet.fit(rows, "p_partkey", "v", components=6, rounds=8)
+    model = dirichlet.fit(rows, "p_partkey", "v", components=6)
     return dirichlet.density(rows, model, "p_partkey", "v").select(F.col("id").alias("p_partkey"), "component", "log_p")
 
 
