@@ -1,92 +1,142 @@
 """Topic models over bags of words (doc, word, n).
 
-Variational fits loop on the driver over one pass a round; the topic table (topics x words,
-bounded by the vocabulary limit) is the only model that travels, and expected counts are
-summed by word and topic with partial sums. Gibbs chains of small corpora are groups.
+Variational fits loop on the driver over one pass a round; the topic table is a frame keyed by
+word, of which each block of documents gets the rows of its own words, and expected counts are
+summed by word. Gibbs chains of small corpora are groups.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import special
+from tessera.operators.density import MOST_ROUNDS
+from tessera.session import discard, materialize
 
-#: Words that a topic table may have; a larger vocabulary is refused, not cut.
+#: Words that a topic table on the driver may have; a larger vocabulary is refused, not cut.
 VOCABULARY = 200_000
 
 
-def _document(words: np.ndarray, n: np.ndarray, log_beta: np.ndarray, alpha: float, rounds: int = 50, tol: float = 1e-4):
-    """(gamma, phi) of one document: mean-field topic shares, log_beta (topics, words)."""
-    lb = np.exp(log_beta[:, words] - log_beta[:, words].max(axis=0))
-    gamma = np.full(len(log_beta), alpha + n.sum() / len(log_beta))
+#: Distinct words of documents that one task holds.
+BLOCK_PAIRS = 30_000
+
+
+def _documents(d: np.ndarray, w: np.ndarray, n: np.ndarray, weights: np.ndarray, docs: int, alpha: float, rounds: int = 50, tol: float = 1e-4):
+    """(gamma, counts) of the documents of a block: mean-field topic shares (docs, topics), and each pair's expected topic counts; pairs (d, w, n) in the order of d, weights (words, topics)."""
+    lb = (weights / weights.max(axis=1, keepdims=True))[w]
+    k = weights.shape[1]
+    gamma = alpha + np.bincount(d, n, docs)[:, None] / k * np.ones(k)
+    counts, left = np.zeros((len(d), k)), np.arange(len(d))
     for _ in range(rounds):
-        phi = lb * np.exp(special.digamma(gamma))[:, None]
-        phi /= phi.sum(axis=0)
-        new = alpha + phi @ n
-        done = np.abs(new - gamma).max() < tol
-        gamma = new
-        if done:
+        at, first = np.unique(d[left], return_index=True)
+        if not len(at):
+            break
+        phi = lb[left] * np.exp(special.digamma(gamma[at]))[np.repeat(np.arange(len(at)), np.diff([*first, len(left)]))]
+        counts[left] = phi * (n[left] / phi.sum(1))[:, None]
+        new = alpha + np.add.reduceat(counts[left], first, axis=0)
+        open_ = np.zeros(docs, bool)
+        open_[at] = np.abs(new - gamma[at]).max(1) >= tol
+        gamma[at] = new
+        left = left[open_[d[left]]]
+    return gamma, counts
+
+
+def _blocks(bow: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bags (block, doc, arrays at and n), words (block, word, at)): a block is some documents and the words that they have."""
+    pairs = bow.where("n > 0 and word is not null").select("doc", "word", F.col("n").cast("double").alias("n"))
+    blocks = max(1, -(-pairs.count() // BLOCK_PAIRS))
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("doc"), F.lit(blocks)).cast("int"))
+    at = F.row_number().over(Window.partitionBy("block").orderBy("word")) - 1
+    words = materialize(pairs.select("block", "word").distinct().withColumn("at", at), "words")
+    bags = pairs.join(words, ["block", "word"]).groupBy("block", "doc").agg(F.collect_list(F.struct("at", "n")).alias("bag")).select("block", "doc", "bag.at", "bag.n")
+    return materialize(bags, "bags"), words
+
+
+def _pass(bags: DataFrame, words: DataFrame, model: DataFrame, step, schema: str) -> DataFrame:
+    """step on each block: its bags, and its words with their rows of the model (word, b)."""
+    known = words.join(model.select("word", "b"), "word")
+    return bags.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(step, schema)
+
+
+def _unpack(bags: pd.DataFrame, known: pd.DataFrame):
+    """(d, w, n, b): the pairs whose words are known, w the row of b."""
+    known = known.sort_values("at")
+    size = [len(x) for x in bags["at"]]
+    at, n = np.concatenate(list(bags["at"])).astype(int), np.concatenate(list(bags["n"])).astype(float)
+    ats, d = known["at"].to_numpy(int), np.repeat(np.arange(len(bags)), size)
+    has = np.isin(at, ats)
+    return d[has], np.searchsorted(ats, at[has]), n[has], np.stack(known["b"]) if len(known) else np.zeros((0, 1)), known["word"].to_numpy()
+
+
+def fit_words(bow: DataFrame, topics: int, alpha: float = 0.1, eta: float = 0.01, rounds: int | None = None, seed: int = 0, tol: float = 1e-4) -> DataFrame:
+    """(word, p): each word's probability in each topic by variational inference, a table of any vocabulary. Rounds go on until less than tol of all words' counts changes its topic; a bound of MOST_ROUNDS raises, a number of rounds given does not."""
+    bags, words = _blocks(bow)
+    ks = range(topics)
+    # Start counts about 1, spread by a hash of the word.
+    start = [1 + 0.1 * math.sqrt(3) * (2 * F.pmod(F.xxhash64("word", F.lit(k), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40) - 1) for k in ks]
+    model = materialize(words.select("word").distinct().select("word", F.array(*start).alias("b"), F.lit(0.0).alias("change")), "topics")
+    size = model.count()
+
+    def totals() -> tuple[np.ndarray, float]:
+        row = model.agg(*[F.sum(F.col("b")[k]) for k in ks], F.sum("change")).first()
+        return np.array([x or 0.0 for x in row[:-1]]), row[-1] or 0.0
+
+    total, change = totals()
+    for done in range(MOST_ROUNDS if rounds is None else rounds):
+        base = special.digamma(total + size * eta)
+
+        def step(bags: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+            d, w, n, b, word = _unpack(bags, known)
+            counts = _documents(d, w, n, np.exp(special.digamma(b + eta) - base), len(bags), alpha)[1]  # noqa: B023
+            return pd.DataFrame({"word": word, "old": list(b)} | {f"s{k}": np.bincount(w, counts[:, k], len(word)) for k in range(b.shape[1])})
+
+        word = dict(words.dtypes)["word"]
+        sums = _pass(bags, words, model, step, f"word {word}, old array<double>, " + ", ".join(f"s{k} double" for k in ks))
+        new = sums.groupBy("word").agg(F.first("old").alias("old"), F.array(*[F.sum(f"s{k}") for k in ks]).alias("b"))
+        moved = F.aggregate(F.zip_with("b", "old", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda a, x: a + x)
+        before, model = model, materialize(new.select("word", "b", moved.alias("change")), "topics")
+        total, change = totals()
+        discard(before)
+        if rounds is None and done and change <= tol * total.sum():
             break
-    return gamma, phi
+    else:
+        if rounds is None:
+            raise RuntimeError(f"the topics are not at rest after {MOST_ROUNDS} rounds")
+    return model.select("word", F.array(*[(F.col("b")[k] + eta) / float(total[k] + size * eta) for k in ks]).alias("p"))
 
 
-def _bags(bow: DataFrame, index: dict) -> DataFrame:
-    return bow.where("n > 0").groupBy("doc").agg(F.collect_list(F.struct("word", F.col("n").cast("double").alias("n"))).alias("bag"))
+def fold_words(bow: DataFrame, model: DataFrame, topics: int, alpha: float = 0.1) -> DataFrame:
+    """(doc, topics, nll) of documents under a table (word, p); words it has not seen are left out, a document without known words gets equal shares."""
+    bags, words = _blocks(bow)
 
+    def step(bags: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        d, w, n, p, _ = _unpack(bags, known)
+        p = p if len(p) else np.zeros((0, topics))
+        gamma = _documents(d, w, n, p, len(bags), alpha)[0] if len(d) else np.ones((len(bags), topics))
+        mix = gamma / gamma.sum(1, keepdims=True)
+        nll = -np.bincount(d, n * np.log((mix[d] * p[w]).sum(1) + 1e-300), len(bags))
+        return pd.DataFrame({"doc": bags["doc"], "topics": list(mix), "nll": nll})
 
-def _index(bow: DataFrame) -> dict:
-    words = [r["word"] for r in bow.select("word").distinct().orderBy("word").limit(VOCABULARY + 1).collect()]
-    if len(words) > VOCABULARY:
+    return _pass(bags, words, model.withColumnRenamed("p", "b"), step, "doc long, topics array<double>, nll double")
+
+
+def fit(bow: DataFrame, topics: int, alpha: float = 0.1, eta: float = 0.01, rounds: int | None = None, seed: int = 0) -> tuple[dict, np.ndarray]:
+    """(word index, log word probabilities by topic) on the driver; a vocabulary above the limit is refused, `fit_words` is the way."""
+    rows = fit_words(bow, topics, alpha, eta, rounds, seed).orderBy("word").limit(VOCABULARY + 1).collect()
+    if len(rows) > VOCABULARY:
         raise ValueError(f"the vocabulary has over {VOCABULARY} words")
-    return {w: i for i, w in enumerate(words)}
-
-
-def _shares(bags: DataFrame, index: dict, log_beta: np.ndarray, alpha: float, statistics: bool) -> DataFrame:
-    sent = bags.sparkSession.sparkContext.broadcast((index, log_beta))
-
-    def step(parts):
-        at, lb = sent.value
-        total = np.zeros_like(lb) if statistics else None
-        for pdf in parts:
-            out = []
-            for doc, bag in zip(pdf["doc"], pdf["bag"]):
-                known = [(at[r["word"]], r["n"]) for r in bag if r["word"] in at]
-                w, n = np.array([k for k, _ in known], int), np.array([c for _, c in known], float)
-                gamma, phi = _document(w, n, lb, alpha) if len(w) else (np.full(len(lb), alpha), np.zeros((len(lb), 0)))
-                if statistics:
-                    np.add.at(total.T, w, (phi * n).T)
-                else:
-                    mix = gamma / gamma.sum()
-                    out.append((doc, mix, float(-(n * np.log(mix @ np.exp(lb[:, w]) + 1e-300)).sum())))
-            if not statistics:
-                yield pd.DataFrame(out, columns=["doc", "topics", "nll"])
-        if statistics:
-            k, w = np.nonzero(total)
-            yield pd.DataFrame({"topic": k, "word": w, "n": total[k, w]})
-
-    return bags.mapInPandas(step, "topic int, word int, n double" if statistics else "doc long, topics array<double>, nll double")
-
-
-def fit(bow: DataFrame, topics: int, alpha: float = 0.1, eta: float = 0.01, rounds: int = 20, seed: int = 0) -> tuple[dict, np.ndarray]:
-    """(word index, log word probabilities by topic) by variational inference."""
-    index = _index(bow)
-    bags = _bags(bow, index)
-    beta = np.random.default_rng(seed).gamma(100.0, 0.01, (topics, len(index)))
-    for _ in range(rounds):
-        log_beta = special.digamma(beta + eta) - special.digamma((beta + eta).sum(axis=1, keepdims=True))
-        sums = _shares(bags, index, log_beta, alpha, True).groupBy("topic", "word").agg(F.sum("n").alias("n")).toPandas()  # at most topics * words rows
-        beta = np.zeros_like(beta)
-        beta[sums["topic"], sums["word"]] = sums["n"]
-    p = beta + eta
-    return index, np.log(p / p.sum(axis=1, keepdims=True))
+    return {r["word"]: i for i, r in enumerate(rows)}, np.log(np.array([r["p"] for r in rows], float).reshape(-1, topics).T)
 
 
 def fold_in(bow: DataFrame, index: dict, log_beta: np.ndarray, alpha: float = 0.1) -> DataFrame:
-    """(doc, topics, nll) of documents under a fitted model; words it has not seen are left out, a document without known words gets equal shares."""
-    return _shares(_bags(bow, index), index, log_beta, alpha, False)
+    """`fold_words` under a model of `fit`."""
+    model = bow.sparkSession.createDataFrame([(w, np.exp(log_beta[:, i]).tolist()) for w, i in index.items()], f"word {dict(bow.dtypes)['word']}, p array<double>")
+    return fold_words(bow, model, len(log_beta), alpha)
 
 
 def gibbs(bow: DataFrame, topics: int, alpha: float = 0.1, beta: float = 0.01, burn: int = 200, samples: int = 10, lag: int = 5, chains: int = 1, seed: int = 0, limit: int = 2_000_000) -> DataFrame:

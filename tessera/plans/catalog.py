@@ -535,10 +535,10 @@ def svm_one_against_one(spark, sf_dir):
 def topic_shares(spark, sf_dir):
     """Each document's likeliest of eight topics and its negative log likelihood."""
     from tessera.operators import topics
+    from tessera.session import materialize
 
-    bow = text.bag_of_words(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "doc")
-    index, log_beta = topics.fit(bow, 8, rounds=5)
-    shares = topics.fold_in(bow, index, log_beta)
+    bow = materialize(text.bag_of_words(table(spark, sf_dir, "documents")).withColumnRenamed("doc_id", "doc"), "bow")
+    shares = topics.fold_words(bow, topics.fit_words(bow, 8), 8)
     return shares.select(F.col("doc").alias("doc_id"), F.array_position("topics", F.array_max("topics")).alias("topic"), "nll")
 
 

@@ -123,3 +123,18 @@ def test_mean_shift(spark):
         w = np.where(d < 3.5, np.exp(-0.5 * d * d), 0)
         y = (w * x).sum(1) / w.sum(1)
     assert np.allclose([got[i].x for i in range(90)], y, atol=1e-2)
+
+
+def test_topics_need_no_vocabulary_limit(spark, monkeypatch):
+    monkeypatch.setattr(topics, "VOCABULARY", 2)
+    monkeypatch.setattr(topics, "BLOCK_PAIRS", 40)
+    bow, p = corpus(spark)
+    model = topics.fit_words(bow, 2)
+    rows = {r.word: r.p for r in model.collect()}
+    got = np.array([rows[f"w{i}"] for i in range(4)]).T
+    assert np.abs(got[np.argsort(-got[:, 0])] - p).max() < 0.06
+    more = bow.unionAll(spark.createDataFrame([(99, "unseen", 3)], bow.schema))
+    shares = {r.doc: r for r in topics.fold_words(more, model, 2).collect()}
+    assert len(shares) == 51 and list(shares[99].topics) == [0.5, 0.5] and shares[99].nll == 0
+    with pytest.raises(ValueError):
+        topics.fit(bow, 2, rounds=1)
