@@ -9,6 +9,7 @@ model is a node table, a few thousand rows, broadcast within the size bound.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -97,15 +98,21 @@ def train(rows: DataFrame, id_col: str, label: str, vector: str, trees: int = 8,
 
 
 def predict(rows: DataFrame, nodes: DataFrame, leaves: DataFrame, id_col: str, vector: str, bag: bool = False) -> DataFrame:
-    """(id, label, p, best): mean of the trees' leaf distributions, a row for each label seen; with `bag`, only trees that did not train on the row answer (out of bag)."""
-    trees = F.explode(F.array(*[F.lit(r["tree"]) for r in leaves.select("tree").distinct().collect()]).cast("array<int>"))
-    at = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null").withColumn("tree", trees).withColumn("node", F.lit(1).cast("long"))
+    """(id, label, p, best): mean of the trees' leaf distributions, a row for each label seen; with `bag`, only trees that did not train on the row answer (out of bag), the whole forest for a row that all trees trained on, and `out_of_bag` tells which."""
+    all_trees = sorted(r["tree"] for r in leaves.select("tree").distinct().collect())
+    trees = F.explode(F.array(*[F.lit(t) for t in all_trees]).cast("array<int>"))
+    at = rows.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).where("v is not null")
+    key = ["id"]
     if bag:
-        at = at.where(poisson(F.col("id"), F.col("tree")) == 0)
+        out = [poisson(F.col("id"), F.lit(t)) == 0 for t in all_trees]
+        at, key = at.withColumn("out_of_bag", reduce(lambda a, b: a | b, out, F.lit(False))), ["id", "out_of_bag"]
+    at = at.withColumn("tree", trees).withColumn("node", F.lit(1).cast("long"))
+    if bag:
+        at = at.where(~F.col("out_of_bag") | (poisson(F.col("id"), F.col("tree")) == 0))
     for level in range((nodes.agg(F.max("depth")).first()[0] or 0) + 1 if nodes.take(1) else 0):
         at = descend(at, nodes.where(F.col("depth") == level), "v")
     share = leaves.withColumn("p", F.col("w") / F.sum("w").over(Window.partitionBy("tree", "node"))).select("tree", "node", "label", "p")
-    votes = at.join(small(share), ["tree", "node"]).groupBy("id", "label").agg(F.sum("p").alias("p"))
+    votes = at.join(small(share), ["tree", "node"]).groupBy(*key, "label").agg(F.sum("p").alias("p"))
     whole = Window.partitionBy("id")
     p = votes.withColumn("p", F.col("p") / F.sum("p").over(whole))
     return p.withColumn("best", F.max_by("label", F.struct("p", -F.xxhash64("label"))).over(whole))

@@ -515,12 +515,12 @@ def gmm_isotropic(spark, sf_dir):
 
 
 def forest_classify(spark, sf_dir):
-    """Each vector's label by the trees that did not train on it."""
+    """Each vector's label by the trees that did not train on it; by the whole forest, flagged, where all did."""
     from tessera.operators import forest
 
     rows = table(spark, sf_dir, "embeddings")
     nodes, leaves = forest.train(rows, "vec_id", "label", "embedding")
-    return forest.predict(rows, nodes, leaves, "vec_id", "embedding", bag=True).select(F.col("id").alias("vec_id"), "best").distinct()
+    return forest.predict(rows, nodes, leaves, "vec_id", "embedding", bag=True).select(F.col("id").alias("vec_id"), "best", "out_of_bag").distinct()
 
 
 def svm_one_against_one(spark, sf_dir):
