@@ -10,11 +10,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
-#: Rows up to which a side may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 300_000
+#: Rows and bytes up to which a side may be broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -46,12 +47,14 @@ def tidy(keep: bool = False) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the checkpoint folder already set; a temporary one only in local mode."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
         named = getattr(sc, "_tessera_scratch", None)
         if named is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             named = sc._tessera_scratch = "file://" + tempfile.mkdtemp(prefix="tessera-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -81,6 +84,22 @@ def discard(df: DataFrame) -> None:
     release(spark)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a materialised frame for broadcast if its row count is within the bound; else leaves the join to shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def width(df: DataFrame) -> Column:
+    """A row's bytes: eight for a number, text and binary by their length, arrays by their items; zero of what is null."""
+    parts = []
+    for f in df.schema.fields:
+        c, t = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(t, (StringType, BinaryType)):
+            parts.append(F.coalesce(F.octet_length(c), F.lit(0)))
+        elif isinstance(t, ArrayType):
+            each = F.octet_length if isinstance(t.elementType, (StringType, BinaryType)) else (lambda x: F.lit(8))
+            parts.append(F.coalesce(F.aggregate(c, F.lit(0), lambda n, x, each=each: n + F.coalesce(each(x), F.lit(0))), F.lit(0)) if each is F.octet_length else F.coalesce(F.size(c) * 8, F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    return sum(parts[1:], parts[0]).cast("long")
+
+
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a materialised frame for broadcast if its rows and their bytes are within the bounds; else leaves the join to shuffle."""
+    n, held = df.limit(limit + 1).agg(F.count("*"), F.sum(width(df))).first()
+    return F.broadcast(df) if n <= limit and (held or 0) <= size else df
