@@ -47,10 +47,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 3 == 1, F.lit(False))
 
 
-def share(doc_id: Column) -> Column:
-    """A number from 0 to 1 that the id alone decides."""
-    return (F.xxhash64(doc_id, F.lit("share")).bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(1 << 24))).cast("double")
+def share(*cols: Column) -> Column:
+    """A number from 0 to 1 that these columns alone decide."""
+    return (F.xxhash64(*cols, F.lit("share")).bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(1 << 24))).cast("double")
 
 
 def narrow(docs: DataFrame, *cols: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *cols)
+
+
+def carried(carry: list[str]) -> list[str]:
+    """Names under which columns are carried through a worker, so that none clashes with an operator's own."""
+    return [f"carry_{i}" for i in range(len(carry))]
+
+
+def carrying(docs: DataFrame, carry: list[str], run, schema: str) -> DataFrame:
+    """mapInArrow over (doc_id, text) and the columns to carry, which get their own names back behind the schema's; a decision stays with its row, whatever its id."""
+    types = dict(docs.dtypes)
+    own = [x.split()[0] for x in schema.split(", ")]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`").alias(a) for c, a in zip(carry, carried(carry))))
+    out = rows.mapInArrow(run, ", ".join([schema, *(f"{a} {types[c]}" for c, a in zip(carry, carried(carry)))]))
+    return out.select(*own, *(F.col(a).alias(c) for c, a in zip(carry, carried(carry)) if c not in own))

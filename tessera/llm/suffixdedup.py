@@ -4,21 +4,25 @@ A byte goes when it is covered by a 50-byte string that also starts in a documen
 smaller id; strings are judged on the input. Texts are UTF-8 bytes (null: empty), matches
 never cross documents.
 
-1. Exact copies of a whole text are resolved by its hash; only the least id goes on.
+1. Exact copies of a whole text are resolved by its SHA-256; only the least id goes on.
 2. Every 50-byte window has an anchor, the least hash of its 24-byte strings, so equal windows have equal
    anchors. Anchors that two documents share set a bit in a bitmap of bounded size; a window
    whose anchor has no bit repeats nowhere. When the bitmap fills up, more windows pass: it is a filter only.
-3. Neighbouring windows of one anchor form a block. A block whose bytes are also a block of
-   a smaller document is resolved; one whose anchor has no other block repeats nowhere.
-4. What is still open is cut into shards. Each gets a suffix array by Larsson-Sadakane
-   refinement (groups that are not sorted yet are refined by the rank at doubled
-   distance) and common prefixes by Kasai's walk, many stretches of text in step; suffixes that share
-   50 bytes form a class with its least document.
-5. Classes of different shards are merged by binary search over sorted 64-bit class keys.
+3. What passes is cut into shards. Each gets suffix arrays by Larsson-Sadakane refinement (groups
+   that are not sorted yet are refined by the rank at doubled distance) and common prefixes by Kasai's
+   walk, many stretches of text in step; suffixes that share 50 bytes form a class with its least
+   document. Classes of a shard's arrays are merged by binary search over sorted keys. A window goes
+   when its class has a smaller document; only the windows of each class's least document go on.
+4. Neighbouring windows of one anchor form a block, so that shards exchange one key a block: a
+   block that is also a block of a smaller document of another shard goes, one whose anchor has no other block repeats nowhere.
+5. The windows of blocks that may repeat in part are exchanged one by one: shards' sorted class
+   keys are merged and looked up by binary search.
 
 Blocks of a hot passage meet as one entry for each shard, not one for each document. Ids
 decide, so rows with a null id lose nothing and take nothing away; rows that repeat an id are
-each judged against smaller ids. Empty tables give none; other columns are not carried.
+each judged by their own text against smaller ids (a row is known by its id and text, and rows equal in both get
+equal results). Ties have no order to settle. Very long texts are taken whole. Empty tables give none; other columns
+are carried only on request, under whatever name they have.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.ngrams import carried
 from tessera.session import discard, materialize, release, ship, small, tidy
 
 DEPTH, GRAM = 50, 24
@@ -65,6 +70,13 @@ def least(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - s)], h[width - s :]) if s < width else h
 
 
+def remix(a: np.ndarray) -> np.ndarray:
+    """Least hashes have small leading bits; a one-to-one mixing makes all bits even again."""
+    a = (a ^ (a >> U(32))) * ODD[0]
+    a = (a ^ (a >> U(29))) * ODD[2]
+    return a ^ (a >> U(32))
+
+
 def window_keys(h: np.ndarray) -> np.ndarray:
     """A hash of the 50 bytes from each place on, from those of three overlapping strings."""
     n = len(h) - (DEPTH - GRAM)
@@ -99,7 +111,7 @@ def blocks(texts: list[np.ndarray], keys: bool):
                 out[0].append(first + r)
                 out[1].append(start - (ends - lengths)[r])
                 out[2].append(start - (ends - lengths)[r] + size_of)
-                out[3].append(v[cut])
+                out[3].append(remix(v[cut]))
                 if keys:
                     w = window_keys(h)
                     k = (w[start] ^ (w[start + size_of - 1] * ODD[1])) * ODD[2] + size_of.astype(U)
@@ -112,8 +124,10 @@ def blocks(texts: list[np.ndarray], keys: bool):
     return [np.concatenate([np.zeros(0, t), *o]) for o, t in zip(out, kinds)]
 
 
-def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
-    """Places in the order of the text that follows them, as far as ``depth`` bytes at least: Larsson-Sadakane refinement from 8-byte groups."""
+def suffix_array(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of the text that follows them, as far as ``depth`` bytes at least: Larsson-Sadakane refinement from 8-byte groups.
+
+    Also which places tie with the one before in the order, all bytes that were compared being equal; ties are in the order of the text."""
     n = len(x)
     a = np.concatenate([x, np.zeros(8, np.uint8)]).astype(U)
     for s in (1, 2, 4):
@@ -129,11 +143,11 @@ def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
         name = np.repeat(group, np.diff(group, append=n))  # a group is named by its first place
         rank[sa] = name
         if h >= depth:
-            return sa
+            return sa, ~new
         single = new & np.concatenate([new[1:], [True]])
         todo = np.flatnonzero(~single)
         if not len(todo):
-            return sa
+            return sa, ~new
         own = sa[todo]
         key = (name[todo] << 32) | (rank[np.minimum(own + h, n)] + 1)
         order = np.argsort(key, kind="stable")
@@ -143,11 +157,15 @@ def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
         h *= 2
 
 
-def common_prefixes(x: np.ndarray, sa: np.ndarray, depth: int, stretch: int = 64) -> np.ndarray:
-    """For each place in the order, the bytes it shares with the one before, up to ``depth``: Kasai's walk, a stretch of text for each lane."""
+def common_prefixes(x: np.ndarray, sa: np.ndarray, ties: np.ndarray, depth: int, stretch: int = 64) -> np.ndarray:
+    """For each place in the order, the bytes it shares with the one before, up to ``depth``: Kasai's walk, a stretch of text for each lane.
+
+    A place keeps what its left neighbour shared, less one, unless that one tied: ties are not ordered by the bytes beyond, so nothing follows from them."""
     n = len(x)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
+    tied = np.zeros(n, bool)
+    tied[sa] = ties
     padded = np.concatenate([x, np.zeros(depth + 1, np.uint8)])
     plcp, starts = np.zeros(n, np.int64), np.arange(0, n, stretch)
     have = np.zeros(len(starts), np.int64)
@@ -156,8 +174,11 @@ def common_prefixes(x: np.ndarray, sa: np.ndarray, depth: int, stretch: int = 64
         i = i[i < n]
         have = np.maximum(have[: len(i)] - 1, 0)
         j = before[i]
+        if s:
+            have[tied[i - 1]] = 0
         have[j < 0] = 0
-        at = np.flatnonzero(j >= 0)
+        have[tied[i]] = depth
+        at = np.flatnonzero((j >= 0) & ~tied[i])
         while len(at):
             at = at[have[at] < depth]
             at = at[padded[i[at] + have[at]] == padded[j[at] + have[at]]]
@@ -227,7 +248,7 @@ def bucketed(bucket: np.ndarray, *columns: np.ndarray):
 
 
 class Shards:
-    """Collects (id, text) rows until a shard is full."""
+    """Collects (id, tag, text) rows until a shard is full."""
 
     def __init__(self):
         tidy()
@@ -237,10 +258,10 @@ class Shards:
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 s = b.slice(k, 500)
-                for doc, text in zip(s.column(0).to_pylist(), s.column(1).to_pylist()):
+                for doc, tag, text in zip(*(s.column(c).to_pylist() for c in range(3))):
                     x = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
                     if doc is not None and len(x) >= DEPTH:
-                        self.rows.append((doc, x))
+                        self.rows.append((doc, tag, x))
                         self.size += len(x)
                     if self.size >= SHARD or len(self.rows) >= 60_000:
                         yield self.take()
@@ -249,7 +270,7 @@ class Shards:
 
     def take(self):
         self.rows.sort(key=lambda r: r[0])
-        out = self.number, np.array([d for d, _ in self.rows], np.int64), [x for _, x in self.rows]
+        out = self.number, *(np.array([r[c] for r in self.rows], np.int64) for c in (0, 1)), [r[2] for r in self.rows]
         self.number, self.rows, self.size = self.number + 1, [], 0
         return out
 
@@ -259,7 +280,7 @@ def shared_anchors(docs: DataFrame, bits: int, buckets: int) -> np.ndarray:
     step = bits - buckets.bit_length() + 1
 
     def emit(batches):
-        for shard, ids, texts in Shards().feed(batches):
+        for _, ids, _, texts in Shards().feed(batches):
             row, _, _, anchor, _ = blocks(texts, False)
             ordinal = np.unique(ids, return_inverse=True)[1][row].astype(np.uint16)
             order = np.lexsort((ordinal, anchor))
@@ -311,10 +332,10 @@ def in_bitmap(bitmap: np.ndarray, anchor: np.ndarray, bits: int, buckets: int) -
 
 
 def candidate_rows(docs: DataFrame, bitmap, bits: int, lead: int, buckets: int) -> DataFrame:
-    """kind 0: a document's candidate spans, their bytes, and which blocks a smaller document of its shard has too; kind 1: a shard's distinct blocks by bucket."""
+    """kind 0: a document's spans that repeat in its shard, the spans that are still open and their bytes; kind 1: the open blocks of a shard by bucket."""
 
     def run(batches):
-        for shard, ids, texts in Shards().feed(batches):
+        for shard, ids, tags, texts in Shards().feed(batches):
             keep, spans, pieces = [], [], []
             for i in range(0, len(texts), 200):
                 row, start, end, anchor, _ = blocks(texts[i : i + 200], False)
@@ -329,27 +350,46 @@ def candidate_rows(docs: DataFrame, bitmap, bits: int, lead: int, buckets: int)
                     pieces.append([texts[i + r][a:b] for a, b in s])
             if not keep:
                 continue
-            row, key, anchor = shard_blocks(pieces)
-            ids = ids[keep]
-            order = np.lexsort((ids[row], key))
-            new = np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(order)]
-            group = np.cumsum(new) - 1
-            first = order[new]
-            local = np.zeros(len(row), bool)
-            local[order] = ids[row[order]] > ids[row[first]][group]
-            cut = np.searchsorted(row, np.arange(len(keep) + 1))
+            ids, tags = ids[keep], tags[keep]
+            gone = repeats_in_shard(pieces, ids)
+            removed, still, at = [], [], 0
+            for k, (s, p) in enumerate(zip(spans, pieces)):
+                lost, left, rest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+                for (a, b), _ in zip(s, p):
+                    n = b - a - DEPTH + 1
+                    g = gone[at : at + n]
+                    lost.append(a + np.flatnonzero(g))
+                    left.append(a + np.flatnonzero(~g))
+                    at += n
+                removed.append(window_spans(np.concatenate(lost)))
+                still.append(window_spans(np.concatenate(left)))
+                where = np.searchsorted(s[:, 0], still[-1][:, 0], side="right") - 1
+                for w, (a, b) in zip(where, still[-1]):
+                    rest.append(p[w][a - s[w, 0] : b - s[w, 0]])
+                pieces[k] = rest
             n = len(keep)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array(ids), pa.array([squeeze_spans(s) for s in spans], pa.binary()), pa.array([b"".join(x.tobytes() for x in p) for p in pieces], pa.binary()), pa.array([np.packbits(local[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()), pa.array([None] * n, pa.int32())], names=NAMES
+                [pa.array([0] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array(ids), pa.array(tags), *(pa.array([squeeze_spans(s) for s in x], pa.binary()) for x in (removed, still)), pa.array([b"".join(x.tobytes() for x in p) for p in pieces], pa.binary()), pa.array([None] * n, pa.int32())], names=NAMES
             )
+            row, key, anchor = shard_blocks(pieces)
+            order = np.lexsort((ids[row], key))
+            first = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(order)]]
             for b, k, v, d in bucketed((anchor[first] % U(buckets)).astype(np.int64), key[first], anchor[first], ids[row[first]]):
-                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([shard], pa.int64()), pa.array([None], pa.int64()), pa.array([pack_sorted(k)], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([pack_ids(d)], pa.binary()), pa.array([b], pa.int32())], names=NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([shard], pa.int64()), *[pa.array([None], pa.int64())] * 2, pa.array([pack_sorted(k)], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([pack_ids(d)], pa.binary()), pa.array([b], pa.int32())], names=NAMES)
 
     return docs.mapInArrow(run, SCHEMA)
 
 
-NAMES = ["kind", "shard", "doc_id", "x", "y", "z", "bucket"]
-SCHEMA = "kind int, shard long, doc_id long, x binary, y binary, z binary, bucket int"
+NAMES = ["kind", "shard", "doc_id", "tag", "x", "y", "z", "bucket"]
+SCHEMA = "kind int, shard long, doc_id long, tag long, x binary, y binary, z binary, bucket int"
+
+
+def window_spans(at: np.ndarray) -> np.ndarray:
+    """The (start, end) rows of the windows that begin at these sorted places; neighbouring windows make one row, windows further apart each their own."""
+    if not len(at):
+        return np.zeros((0, 2), np.int64)
+    first = np.concatenate([[True], np.diff(at) > 1])
+    return np.stack([at[first], at[np.append(np.flatnonzero(first)[1:], len(at)) - 1] + DEPTH], axis=1)
 
 
 def shard_blocks(pieces: list[list[np.ndarray]]):
@@ -393,29 +433,37 @@ def open_rows(rows: pd.DataFrame, answers: pd.DataFrame, buckets: int) -> pd.Dat
         return pd.DataFrame({n: [] for n in NAMES})
     tidy()
     shard = int(rows["shard"].iloc[0])
-    rows = rows.sort_values("doc_id", kind="stable")
     done, open_ = (np.sort(np.frombuffer(b"".join(answers[c]), U)) for c in ("done", "open"))
-    ids = rows["doc_id"].to_numpy(np.int64)
-    removed, spans, pieces = [], [], []
-    for span, text, local in zip(rows["x"], rows["y"], rows["z"]):
-        span = unsqueeze_spans(span)
+    out, keys, docs = [], [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for doc, tag, gone, span, text in zip(rows["doc_id"], rows["tag"], rows["x"], rows["y"], rows["z"]):
+        gone, span = unsqueeze_spans(gone), unsqueeze_spans(span)
         part = cut_pieces(span, text)
         row, start, end, _, key = blocks(part, True)
-        local = np.unpackbits(np.frombuffer(local, np.uint8), count=len(key)).astype(bool)
-        gone = local | among(key, done)
+        known, wait = among(key, done), among(key, open_)
+        wait &= ~known
         start, end = start + span[row, 0], end + span[row, 0]
-        wait = ~gone & among(key, open_)
-        removed.append(merge_spans(start[gone], end[gone] + DEPTH - 1))
-        s = merge_spans(start[wait], end[wait])
-        s[:, 1] += DEPTH - 1
-        spans.append(s)
+        gone = merge_spans(np.concatenate([gone[:, 0], start[known]]), np.concatenate([gone[:, 1], end[known] + DEPTH - 1]))
+        # Open pieces of one span only are joined, so that each lies in the bytes at hand.
+        size = end[wait] - start[wait]
+        s = window_spans(np.unique(np.repeat(start[wait] - np.cumsum(size) + size, size) + np.arange(size.sum())))
         where = np.searchsorted(span[:, 0], s[:, 0], side="right") - 1
-        pieces.append([part[w][a - span[w, 0] : b - span[w, 0]] for w, (a, b) in zip(where, s)])
-    key, doc = shard_classes(pieces, ids)
-    out = [(0, shard, i, squeeze_spans(r), squeeze_spans(s), b"".join(x.tobytes() for x in p), None) for i, r, s, p in zip(ids, removed, spans, pieces)]
-    # What a smaller document of the shard has is known already; the classes' least ids go on, with the shard's documents that hold the class later.
-    out += [(1, shard, None, pack_sorted(k), pack_ids(d), None, b) for b, k, d in bucketed((key >> U(33)).astype(np.int64) % buckets, key, doc)]
-    return pd.DataFrame(out, columns=NAMES).astype({"doc_id": "Int64", "bucket": "Int32"})
+        pieces = [part[w][a - span[w, 0] : b - span[w, 0]] for w, (a, b) in zip(where, s)]
+        for x in pieces:
+            keys.append(window_keys(grams(x)))
+            docs.append(np.full(len(keys[-1]), doc, np.int64))
+        out.append((0, shard, doc, tag, squeeze_spans(gone), squeeze_spans(s), b"".join(x.tobytes() for x in pieces), None))
+    key, doc = least_of(np.concatenate(keys), np.concatenate(docs))
+    out += [(1, shard, None, None, pack_sorted(k), pack_ids(d), None, b) for b, k, d in bucketed((key >> U(33)).astype(np.int64) % buckets, key, doc)]
+    kinds = {"doc_id": "Int64", "tag": "Int64", "bucket": "Int32"}  # never by way of floating point
+    return pd.DataFrame({n: pd.array(list(c), dtype=kinds[n]) if n in kinds else list(c) for n, c in zip(NAMES, zip(*out))})
+
+
+def least_of(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the least document of each."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    return key[new], doc[new]
 
 
 def among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -424,11 +472,10 @@ def among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
-def shard_classes(pieces: list[list[np.ndarray]], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the classes of equal windows and each one's least id, from suffix arrays of bounded size merged by their keys."""
-    keys, least_id = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+def repeats_in_shard(pieces: list[list[np.ndarray]], ids: np.ndarray) -> np.ndarray:
+    """For every window of every piece, in order: whether a smaller document of the shard has it. Suffix arrays of bounded size, their classes merged by their keys."""
     flat = [(i, x) for i, p in zip(ids, pieces) for x in p]
-    first = 0
+    arrays, first = [], 0
     while first < len(flat):
         last, size = first, 0
         while last < len(flat) and (size == 0 or size + len(flat[last][1]) <= ARRAY):
@@ -437,20 +484,19 @@ def shard_classes(pieces: list[list[np.ndarray]], ids: np.ndarray) -> tuple[np.n
         x = np.concatenate([t for _, t in flat[first:last]])
         length = np.array([len(t) for _, t in flat[first:last]])
         left = np.repeat(np.cumsum(length), length) - np.arange(len(x))  # bytes to the end of the piece
-        sa = suffix_array(x, DEPTH)
-        name = np.cumsum(common_prefixes(x, sa, DEPTH) < DEPTH)
+        sa, ties = suffix_array(x, DEPTH)
+        name = np.cumsum(common_prefixes(x, sa, ties, DEPTH) < DEPTH)
         real = left[sa] >= DEPTH
         sa, name = sa[real], name[real]
-        doc = np.repeat(np.array([i for i, _ in flat[first:last]], np.int64), length)[sa]
-        new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]]))
-        keys.append(window_keys(grams(x))[sa[new]])
-        least_id.append(np.minimum.reduceat(doc, new))
+        number = np.cumsum(np.concatenate([[True], name[1:] != name[:-1]])[: len(name)]) - 1
+        new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])[: len(name)])
+        doc = np.repeat(np.array([i for i, _ in flat[first:last]], np.int64), length)
+        of = np.empty(len(x), np.int32)  # each window's class
+        of[sa] = number
+        arrays.append((window_keys(grams(x))[sa[new]], np.minimum.reduceat(doc[sa], new) if len(new) else doc[:0], of[left >= DEPTH], doc[left >= DEPTH]))
         first = last
-    key, doc = np.concatenate(keys), np.concatenate(least_id)
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
-    return key[new], doc[new]
+    key, least_id = least_of(np.concatenate([np.zeros(0, U), *(a[0] for a in arrays)]), np.concatenate([np.zeros(0, np.int64), *(a[1] for a in arrays)]))
+    return np.concatenate([np.zeros(0, bool), *(doc > least_id[np.searchsorted(key, k)][of] for k, _, of, doc in arrays)])
 
 
 def merge_classes(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -470,39 +516,19 @@ def merge_classes(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def final_rows(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-    """doc_id and all repeated spans."""
-    if not len(rows):
-        return pd.DataFrame({"doc_id": [], "spans": []})
-    rows = rows.sort_values("doc_id", kind="stable")
-    known = np.frombuffer(b"".join(answers["x"]), U)
-    known = np.sort(known)
-    parts = []
-    for doc, spans, text in zip(rows["doc_id"], rows["y"], rows["z"]):
-        spans = unsqueeze_spans(spans)
-        for (start, _), x in zip(spans, cut_pieces(spans, text)):
-            parts.append((doc, start, window_keys(grams(x))))
-    # Within the shard: a window's class belongs to the first document that has it, as ids are in order.
-    key = np.concatenate([np.zeros(0, U), *(k for _, _, k in parts)])
-    doc = np.repeat(np.array([d for d, _, _ in parts], np.int64), [len(k) for _, _, k in parts])
-    place = np.concatenate([np.zeros(0, np.int64), *(s + np.arange(len(k)) for _, s, k in parts)])
-    order = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(key)]
-    gone = np.zeros(len(key), bool)
-    gone[order] = doc[order] > doc[order][new][np.cumsum(new) - 1] if len(key) else False
-    gone |= among(key, known)
-    doc, place = doc[gone], place[gone]
-    cut = np.searchsorted(doc, rows["doc_id"].to_numpy(np.int64)), np.searchsorted(doc, rows["doc_id"].to_numpy(np.int64), side="right")
-    out = []
-    for d, r, a, b in zip(rows["doc_id"], rows["x"], *cut):
-        r = unsqueeze_spans(r)
-        s = merge_spans(np.concatenate([r[:, 0], place[a:b]]), np.concatenate([r[:, 1], place[a:b] + DEPTH]))
+    """doc_id, tag and all repeated spans."""
+    known, out = np.sort(np.frombuffer(b"".join(answers["x"]), U)), []
+    for doc, tag, gone, span, text in zip(rows["doc_id"], rows["tag"], rows["x"], rows["y"], rows["z"]):
+        gone, span = unsqueeze_spans(gone), unsqueeze_spans(span)
+        at = np.concatenate([np.zeros(0, np.int64), *(a + np.flatnonzero(among(window_keys(grams(x)), known)) for (a, _), x in zip(span, cut_pieces(span, text)))])
+        s = merge_spans(np.concatenate([gone[:, 0], at]), np.concatenate([gone[:, 1], at + DEPTH]))
         if len(s):
-            out.append((d, pack_spans(s)))
-    return pd.DataFrame(out, columns=["doc_id", "spans"])
+            out.append((doc, tag, pack_spans(s)))
+    return pd.DataFrame({"doc_id": np.array([r[0] for r in out], np.int64), "tag": np.array([r[1] for r in out], np.int64), "spans": [r[2] for r in out]})
 
 
 def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
-    """(doc_id, spans: packed pairs of unsigned 32-bit byte offsets) of documents (doc_id, text) that hold repeated strings."""
+    """(doc_id, tag, spans: packed pairs of unsigned 32-bit byte offsets) of documents (doc_id, tag: hash of the text, text) that hold repeated strings."""
     spark = docs.sparkSession
     ship(spark)
     bits = int(np.clip(np.ceil(np.log2(max(total_bytes, 1) / 8)), 16, BITS))
@@ -517,23 +543,24 @@ def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:
     discard(rows)
     rows = opened
     answers = rows.where("kind = 1").groupBy("bucket").applyInPandas(merge_classes, "shard long, x binary")
-    return rows.where("kind = 0").groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(final_rows, "doc_id long, spans binary")
+    return rows.where("kind = 0").groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(final_rows, "doc_id long, tag long, spans binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (packed offset pairs), kept (the bytes that stay) of each row, and the columns to carry."""
     ship(docs.sparkSession)
     carry = carry or []
-    all_docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carry_{c}") for c in carry))
-    docs = all_docs.select("doc_id", "text")
+    all_docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(f"`{c}`").alias(a) for c, a in zip(carry, carried(carry))))
+    tag = F.xxhash64("text").alias("tag")
+    docs = all_docs.select("doc_id", tag, "text")
     long = docs.where((F.octet_length("text") >= DEPTH) & F.col("doc_id").isNotNull()).select("doc_id", F.octet_length("text").cast("long").alias("n"), F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("sha"))
     long = materialize(long, "hashes")
     total = long.agg(F.sum("n")).first()[0] or 0
     first = materialize(long.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("sha", "first"), "copies")
     copies = materialize(long.join(small(first), "sha").where("doc_id > first").select("doc_id", "sha").distinct(), "later")
     sha = F.when(F.octet_length("text") >= DEPTH, F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)))
-    rest = docs.withColumn("sha", sha).join(small(copies), ["doc_id", "sha"], "left_anti").select("doc_id", "text")
-    spans = materialize(repeated_spans(rest, total).groupBy("doc_id").agg(F.first("spans").alias("spans")), "spans")
+    rest = docs.withColumn("sha", sha).join(small(copies), ["doc_id", "sha"], "left_anti").select("doc_id", "tag", "text")
+    spans = materialize(repeated_spans(rest, total).groupBy("doc_id", "tag").agg(F.first("spans").alias("spans")), "spans")
 
     def cut(batches):
         for b in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
@@ -543,13 +570,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 s = np.array([[0, len(x)]]) if copy else open_spans(s or b"")
                 ends = [0, *s.ravel().tolist(), len(x)]
                 out.append((len(x), int((s[:, 1] - s[:, 0]).sum()), len(s), pack_spans(s), b"".join(x[i:j] for i, j in zip(ends[::2], ends[1::2]))))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.binary()] * 2)), *b.columns[4:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", *carry])
-
-    keyed = all_docs.withColumn("sha", sha)
-    marked = keyed.join(small(copies.withColumn("copy", F.lit(True))), ["doc_id", "sha"], "left").join(small(spans), "doc_id", "left")
-    types = dict(all_docs.dtypes)
-    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, spans binary, kept binary", *(f"`{c}` {types[f'carry_{c}']}" for c in carry)])
-    return marked.select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"), *(f"carry_{c}" for c in carry)).mapInArrow(cut, schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 3 + [pa.binary()] * 2)), *b.columns[4:]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept", *carried(carry)])
+
+    keyed = all_docs.withColumn("sha", sha).withColumn("tag", tag)
+    marked = keyed.join(small(copies.withColumn("copy", F.lit(True))), ["doc_id", "sha"], "left").join(small(spans), ["doc_id", "tag"], "left")
+    types, own = dict(all_docs.dtypes), ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
+    schema = ", ".join(["doc_id long, n_bytes long, n_removed long, n_spans long, spans binary, kept binary", *(f"{a} {types[a]}" for a in carried(carry))])
+    out = marked.select("doc_id", "text", "spans", F.coalesce("copy", F.lit(False)).alias("copy"), *carried(carry)).mapInArrow(cut, schema)
+    return out.select(*own, *(F.col(a).alias(c) for c, a in zip(carry, carried(carry)) if c not in own))
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

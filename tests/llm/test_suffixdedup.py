@@ -63,15 +63,43 @@ def test_edges(spark, shard, monkeypatch):
     assert sd.remove_repeats(d.limit(0)).count() == 0
 
 
+def test_repeated_ids(spark):
+    """An id on two texts: each row loses what smaller ids hold, and nothing else."""
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    one, two, three = text(90), text(120), text(70)
+    rows = [(1, one + text(30)), (2, two + text(40)), (5, text(20) + two + text(70)), (5, text(33) + one + text(87)), (5, one), (5, one), (5, three * 3), (5, three * 3), (5, three), (7, three), ((1 << 60) + 1, two), ((1 << 60) + 2, text(15) + two + "x"), ((1 << 60) + 3, "tail " * 30), ((1 << 60) + 4, "tail " * 30 + "x"), (None, one), (None, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(sd.remove_repeats(d)) == brute(rows)
+
+
+def test_suffix_array_decides(spark, sf, monkeypatch):
+    """Without the suffix arrays' classes the repeats within a shard stay."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").coalesce(1)
+    whole = sum(r[2] for r in rows_of(sd.remove_repeats(docs)))
+    pieces = [[np.frombuffer(b"x" * 30 + bytes(range(100)), np.uint8)], [np.frombuffer(bytes(range(100)) + b"y" * 30, np.uint8)]]
+    gone = sd.repeats_in_shard(pieces, np.array([3, 4]))
+    assert whole > 0 and gone.sum() == 51 and not gone[:81].any() and gone[81:132].all()
+
+
+def test_anchor_buckets():
+    """Anchors fall evenly into buckets although each is a least hash."""
+    x = np.random.default_rng(1).integers(97, 123, 400_000).astype(np.uint8)
+    anchor = np.unique(sd.blocks([x], False)[3])
+    for lead in (5, 8):
+        n = np.bincount((anchor >> np.uint64(64 - lead)).astype(np.int64), minlength=1 << lead)
+        assert n.max() < 2 * n.mean()
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
-    for x in (rng.integers(97, 100, 3000, dtype=np.uint8), np.full(300, 97, np.uint8), np.frombuffer(b"banana" * 40, np.uint8), np.zeros(1, np.uint8)):
+    for x in (rng.integers(97, 100, 3000, dtype=np.uint8), np.full(300, 97, np.uint8), np.frombuffer(b"banana" * 40, np.uint8), np.zeros(1, np.uint8), np.tile(rng.integers(97, 99, 700, dtype=np.uint8), 5)):
         raw = x.tobytes()
-        sa = sd.suffix_array(x, 50)
+        sa, ties = sd.suffix_array(x, 50)
         cut = [raw[i : i + 50] for i in sa]
         assert sorted(sa.tolist()) == list(range(len(x)))
         assert all(a <= b for a, b in zip(cut, cut[1:]) if len(a) == len(b) == 50)
-        lcp = sd.common_prefixes(x, sa, 50)
+        lcp = sd.common_prefixes(x, sa, ties, 50)
         for r in range(1, len(sa)):
             a, b = raw[sa[r - 1] :][:50], raw[sa[r] :][:50]
             n = next((i for i, (p, q) in enumerate(zip(a, b)) if p != q), min(len(a), len(b)))
