@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.ngrams import carried
+from tessera.llm.tokenize import gather
 from tessera.session import discard, materialize, release, ship, small, tidy
 
 DEPTH, GRAM = 50, 24
@@ -86,44 +87,62 @@ def window_keys(h: np.ndarray) -> np.ndarray:
     return k ^ (k >> U(30))
 
 
-def blocks(texts: list[np.ndarray], keys: bool):
-    """For all texts: (text number, first window, end, anchor, block key) arrays of the blocks; texts shorter than a window have none."""
-    out = [[] for _ in range(5)]
-    first = 0
-    while first < len(texts):
-        last, size = first, 0
-        while last < len(texts) and (size == 0 or size + len(texts[last]) <= SLICE):
-            size += len(texts[last])
-            last += 1
-        lengths = np.array([len(t) for t in texts[first:last]])
-        if size >= DEPTH:
-            x = np.concatenate(texts[first:last])
-            ends = np.cumsum(lengths)
-            h = grams(x)
-            m = least(h, DEPTH - GRAM + 1)
-            row = np.repeat(np.arange(last - first), np.maximum(lengths - DEPTH + 1, 0))
-            p = np.arange(len(row)) + (ends - lengths - np.cumsum(np.maximum(lengths - DEPTH + 1, 0)) + np.maximum(lengths - DEPTH + 1, 0))[row] if len(row) else row
-            if len(p):
-                v = m[p]
-                cut = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (row[1:] != row[:-1])]))
-                size_of = np.diff(cut, append=len(p))
-                r, start = row[cut], p[cut]
-                out[0].append(first + r)
-                out[1].append(start - (ends - lengths)[r])
-                out[2].append(start - (ends - lengths)[r] + size_of)
-                out[3].append(remix(v[cut]))
-                if keys:
-                    w = window_keys(h)
-                    k = (w[start] ^ (w[start + size_of - 1] * ODD[1])) * ODD[2] + size_of.astype(U)
-                    mid = np.flatnonzero(size_of > DEPTH)  # ties of anchors in periodic text: not covered by the first and the last window
-                    for i in mid:
-                        k[i] = U(int.from_bytes(hashlib.blake2b(x[start[i] : start[i] + size_of[i] + DEPTH - 1].tobytes(), digest_size=8).digest(), "little"))
-                    out[4].append(k ^ (k >> U(32)))
+def parts(size: np.ndarray, limit: int):
+    """Ranges of pieces of at most so many bytes together, or of one."""
+    ends, first = np.cumsum(size), 0
+    while first < len(size):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + limit, side="right")))
+        yield first, last
         first = last
+
+
+def windows(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the piece and the place in the flat text of every window of pieces of these sizes."""
+    n = np.maximum(size - DEPTH + 1, 0)
+    row = np.repeat(np.arange(len(size)), n)
+    return row, np.arange(len(row)) + (np.cumsum(size) - size - np.cumsum(n) + n)[row]
+
+
+def blocks(x: np.ndarray, size: np.ndarray, keys: bool):
+    """For texts of these sizes in one flat array: (text number, first window, end, anchor, block key) arrays of the blocks; texts shorter than a window have none."""
+    out, ends = [[] for _ in range(5)], np.cumsum(size)
+    for first, last in parts(size, SLICE):
+        own = size[first:last]
+        row, p = windows(own)
+        if len(p):
+            part = x[ends[last - 1] - own.sum() : ends[last - 1]]
+            h = grams(part)
+            v = least(h, DEPTH - GRAM + 1)[p]
+            cut = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (row[1:] != row[:-1])]))
+            size_of = np.diff(cut, append=len(p))
+            r, start = row[cut], p[cut]
+            at = start - (np.cumsum(own) - own)[r]
+            out[0].append(first + r)
+            out[1].append(at)
+            out[2].append(at + size_of)
+            out[3].append(remix(v[cut]))
+            if keys:
+                w = window_keys(h)
+                k = (w[start] ^ (w[start + size_of - 1] * ODD[1])) * ODD[2] + size_of.astype(U)
+                mid = np.flatnonzero(size_of > DEPTH)  # ties of anchors in periodic text: not covered by the first and the last window
+                for i in mid:
+                    k[i] = U(int.from_bytes(hashlib.blake2b(part[start[i] : start[i] + size_of[i] + DEPTH - 1].tobytes(), digest_size=8).digest(), "little"))
+                out[4].append(k ^ (k >> U(32)))
     kinds = (np.int64, np.int64, np.int64, U, U)
     return [np.concatenate([np.zeros(0, t), *o]) for o, t in zip(out, kinds)]
 
 
+def all_window_keys(x: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The keys of the windows of all pieces, in order."""
+    ends, out = np.cumsum(size), [np.zeros(0, U)]
+    for first, last in parts(size, SLICE):
+        own = size[first:last]
+        _, p = windows(own)
+        if len(p):
+            out.append(window_keys(grams(x[ends[last - 1] - own.sum() : ends[last - 1]]))[p])
+    return np.concatenate(out)
+
+
 def suffix_array(x: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in the order of the text that follows them, as far as ``depth`` bytes at least: Larsson-Sadakane refinement from 8-byte groups.
 
@@ -201,14 +220,40 @@ def pack_spans(s: np.ndarray) -> bytes:
     return s.astype("<u4").tobytes()
 
 
-def squeeze_spans(s: np.ndarray) -> bytes:
-    """For what is only passed on: differences, compressed."""
-    return zlib.compress(np.diff(s.ravel(), prepend=0).astype("<u4").view("<u2").reshape(-1, 2).T.tobytes(), 1)
+def line(top: np.ndarray) -> np.ndarray:
+    """Where each row of so many bytes begins on a line on which windows of different rows never touch; and the line's end."""
+    return np.concatenate([[0], np.cumsum(top + DEPTH + 2)])
+
 
+def row_bytes(spans: np.ndarray, base: np.ndarray, rows: np.ndarray, differences: bool) -> list[bytes]:
+    """The spans of each of these rows, counted from the row's begin, as unsigned 32-bit numbers or their differences; spans lie on the line in order."""
+    lo, hi = np.searchsorted(spans[:, 0], base[rows]), np.searchsorted(spans[:, 0], base[rows + 1])
+    flat = (spans - base[np.searchsorted(base, spans[:, 0], side="right") - 1][:, None]).ravel()
+    if differences:
+        d = np.diff(flat, prepend=0)
+        first = 2 * lo[lo < hi]
+        d[first] = flat[first]
+        flat = d
+    raw = flat.astype("<u4").tobytes()
+    return [raw[8 * i : 8 * j] for i, j in zip(lo, hi)]
 
-def unsqueeze_spans(b: bytes) -> np.ndarray:
-    x = np.ascontiguousarray(np.frombuffer(zlib.decompress(b), "<u2").reshape(2, -1).T).view("<u4")
-    return np.cumsum(x.ravel(), dtype=np.uint32).astype(np.int64).reshape(-1, 2)  # differences may be negative: spans can overlap
+
+def unsqueeze(column) -> tuple[np.ndarray, np.ndarray]:
+    """(row number, spans) of all rows' differences."""
+    n = np.array([len(b) // 4 for b in column], np.int64)
+    total = np.cumsum(np.frombuffer(b"".join(column), "<u4"), dtype=np.uint32)
+    before = np.concatenate([[0], total]).astype(np.uint32)[np.cumsum(n) - n]
+    return np.repeat(np.arange(len(n)), n // 2), (total - np.repeat(before, n)).astype(np.int64).reshape(-1, 2)
+
+
+def on_line(*columns):
+    """The line of a shard's rows, and each column's spans on it."""
+    opened = [unsqueeze(c) for c in columns]
+    top = np.zeros(len(columns[0]), np.int64)
+    for row, s in opened:
+        np.maximum.at(top, row, s[:, 1])
+    base = line(top)
+    return base, *(s + base[row][:, None] for row, s in opened)
 
 
 def open_spans(b: bytes) -> np.ndarray:
@@ -281,7 +326,7 @@ def shared_anchors(docs: DataFrame, bits: int, buckets: int) -> np.ndarray:
 
     def emit(batches):
         for _, ids, _, texts in Shards().feed(batches):
-            row, _, _, anchor, _ = blocks(texts, False)
+            row, _, _, anchor, _ = blocks(np.concatenate(texts), np.array([len(t) for t in texts]), False)
             ordinal = np.unique(ids, return_inverse=True)[1][row].astype(np.uint16)
             order = np.lexsort((ordinal, anchor))
             anchor, ordinal = anchor[order], ordinal[order]
@@ -336,45 +381,34 @@ def candidate_rows(docs: DataFrame, bitmap, bits: int, lead: int, buckets: int)
 
     def run(batches):
         for shard, ids, tags, texts in Shards().feed(batches):
-            keep, spans, pieces = [], [], []
-            for i in range(0, len(texts), 200):
-                row, start, end, anchor, _ = blocks(texts[i : i + 200], False)
-                hit = in_bitmap(bitmap.value, anchor, bits, lead)
-                row, start, end = row[hit], start[hit], end[hit]
-                cut = np.searchsorted(row, np.arange(len(texts[i : i + 200]) + 1))
-                for r in np.unique(row):
-                    s = merge_spans(start[cut[r] : cut[r + 1]], end[cut[r] : cut[r + 1]])
-                    s[:, 1] += DEPTH - 1
-                    keep.append(i + r)
-                    spans.append(s)
-                    pieces.append([texts[i + r][a:b] for a, b in s])
-            if not keep:
+            size = np.array([len(t) for t in texts])
+            text, base = np.concatenate(texts), line(size)
+            del texts
+            row, start, end, anchor, _ = blocks(text, size, False)
+            hit = in_bitmap(bitmap.value, anchor, bits, lead)
+            spans = merge_spans(base[row[hit]] + start[hit], base[row[hit]] + end[hit])
+            spans[:, 1] += DEPTH - 1
+            of = np.searchsorted(base, spans[:, 0], side="right") - 1
+            rows = np.unique(of)
+            if not len(rows):
                 continue
-            ids, tags = ids[keep], tags[keep]
-            gone = repeats_in_shard(pieces, ids)
-            removed, still, at = [], [], 0
-            for k, (s, p) in enumerate(zip(spans, pieces)):
-                lost, left, rest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-                for (a, b), _ in zip(s, p):
-                    n = b - a - DEPTH + 1
-                    g = gone[at : at + n]
-                    lost.append(a + np.flatnonzero(g))
-                    left.append(a + np.flatnonzero(~g))
-                    at += n
-                removed.append(window_spans(np.concatenate(lost)))
-                still.append(window_spans(np.concatenate(left)))
-                where = np.searchsorted(s[:, 0], still[-1][:, 0], side="right") - 1
-                for w, (a, b) in zip(where, still[-1]):
-                    rest.append(p[w][a - s[w, 0] : b - s[w, 0]])
-                pieces[k] = rest
-            n = len(keep)
+            piece = spans[:, 1] - spans[:, 0]
+            text = gather(text, spans[:, 0] - base[of] + (np.cumsum(size) - size)[of], piece)
+            gone = repeats_in_shard(text, piece, ids[of])
+            at = window_places(spans)
+            removed, still = window_spans(at[gone]), window_spans(at[~gone])
+            text = cut_out(text, spans, still)
+            raw, held = text.tobytes(), np.bincount(np.searchsorted(base, still[:, 0], side="right") - 1, still[:, 1] - still[:, 0], len(base) - 1).astype(np.int64)[rows]
+            ends = np.cumsum(held)
+            n = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array(ids), pa.array(tags), *(pa.array([squeeze_spans(s) for s in x], pa.binary()) for x in (removed, still)), pa.array([b"".join(x.tobytes() for x in p) for p in pieces], pa.binary()), pa.array([None] * n, pa.int32())], names=NAMES
+                [pa.array([0] * n, pa.int32()), pa.array([shard] * n, pa.int64()), pa.array(ids[rows]), pa.array(tags[rows]), *(pa.array(row_bytes(x, base, rows, True), pa.binary()) for x in (removed, still)), pa.array([raw[j - k : j] for j, k in zip(ends, held)], pa.binary()), pa.array([None] * n, pa.int32())], names=NAMES
             )
-            row, key, anchor = shard_blocks(pieces)
-            order = np.lexsort((ids[row], key))
+            row, _, _, anchor, key = blocks(text, still[:, 1] - still[:, 0], True)
+            doc = ids[np.searchsorted(base, still[:, 0], side="right") - 1][row]
+            order = np.lexsort((doc, key))
             first = order[np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(order)]]
-            for b, k, v, d in bucketed((anchor[first] % U(buckets)).astype(np.int64), key[first], anchor[first], ids[row[first]]):
+            for b, k, v, d in bucketed((anchor[first] % U(buckets)).astype(np.int64), key[first], anchor[first], doc[first]):
                 yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([shard], pa.int64()), *[pa.array([None], pa.int64())] * 2, pa.array([pack_sorted(k)], pa.binary()), pa.array([v.tobytes()], pa.binary()), pa.array([pack_ids(d)], pa.binary()), pa.array([b], pa.int32())], names=NAMES)
 
     return docs.mapInArrow(run, SCHEMA)
@@ -392,18 +426,17 @@ def window_spans(at: np.ndarray) -> np.ndarray:
     return np.stack([at[first], at[np.append(np.flatnonzero(first)[1:], len(at)) - 1] + DEPTH], axis=1)
 
 
-def shard_blocks(pieces: list[list[np.ndarray]]):
-    """(document number, block key, anchor) of every block of every document's spans, in order."""
-    flat = [x for p in pieces for x in p]
-    of = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
-    row, _, _, anchor, key = blocks(flat, True)
-    return of[row], key, anchor
+def window_places(spans: np.ndarray) -> np.ndarray:
+    """The places of all windows of these spans."""
+    n = spans[:, 1] - spans[:, 0] - DEPTH + 1
+    return np.arange(n.sum()) + np.repeat(spans[:, 0] - np.cumsum(n) + n, n)
 
 
-def cut_pieces(spans: np.ndarray, text: bytes) -> list[np.ndarray]:
-    x, size = np.frombuffer(text, np.uint8), spans[:, 1] - spans[:, 0]
-    at = np.cumsum(size) - size
-    return [x[a : a + n] for a, n in zip(at, size)]
+def cut_out(x: np.ndarray, spans: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The bytes of some spans, each of which lies in one of the spans whose bytes are x."""
+    size = spans[:, 1] - spans[:, 0]
+    w = np.searchsorted(spans[:, 0], some[:, 0], side="right") - 1
+    return gather(x, (np.cumsum(size) - size)[w] + some[:, 0] - spans[w, 0], some[:, 1] - some[:, 0])
 
 
 def judge_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -432,27 +465,23 @@ def open_rows(rows: pd.DataFrame, answers: pd.DataFrame, buckets: int) -> pd.Dat
     if not len(rows):
         return pd.DataFrame({n: [] for n in NAMES})
     tidy()
-    shard = int(rows["shard"].iloc[0])
     done, open_ = (np.sort(np.frombuffer(b"".join(answers[c]), U)) for c in ("done", "open"))
-    out, keys, docs = [], [np.zeros(0, U)], [np.zeros(0, np.int64)]
-    for doc, tag, gone, span, text in zip(rows["doc_id"], rows["tag"], rows["x"], rows["y"], rows["z"]):
-        gone, span = unsqueeze_spans(gone), unsqueeze_spans(span)
-        part = cut_pieces(span, text)
-        row, start, end, _, key = blocks(part, True)
-        known, wait = among(key, done), among(key, open_)
-        wait &= ~known
-        start, end = start + span[row, 0], end + span[row, 0]
-        gone = merge_spans(np.concatenate([gone[:, 0], start[known]]), np.concatenate([gone[:, 1], end[known] + DEPTH - 1]))
-        # Open pieces of one span only are joined, so that each lies in the bytes at hand.
-        size = end[wait] - start[wait]
-        s = window_spans(np.unique(np.repeat(start[wait] - np.cumsum(size) + size, size) + np.arange(size.sum())))
-        where = np.searchsorted(span[:, 0], s[:, 0], side="right") - 1
-        pieces = [part[w][a - span[w, 0] : b - span[w, 0]] for w, (a, b) in zip(where, s)]
-        for x in pieces:
-            keys.append(window_keys(grams(x)))
-            docs.append(np.full(len(keys[-1]), doc, np.int64))
-        out.append((0, shard, doc, tag, squeeze_spans(gone), squeeze_spans(s), b"".join(x.tobytes() for x in pieces), None))
-    key, doc = least_of(np.concatenate(keys), np.concatenate(docs))
+    base, gone, spans = on_line(rows["x"], rows["y"])
+    x = np.frombuffer(b"".join(rows["z"]), np.uint8)
+    piece, start, end, _, key = blocks(x, spans[:, 1] - spans[:, 0], True)
+    start, end = start + spans[piece, 0], end + spans[piece, 0]
+    known = among(key, done)
+    wait = among(key, open_) & ~known
+    gone = merge_spans(np.concatenate([gone[:, 0], start[known]]), np.concatenate([gone[:, 1], end[known] + DEPTH - 1]))
+    still = window_spans(window_places(np.stack([start[wait], end[wait] + DEPTH - 1], axis=1)))
+    x = cut_out(x, spans, still)
+    n, size = np.arange(len(rows)), still[:, 1] - still[:, 0]
+    of = np.searchsorted(base, still[:, 0], side="right") - 1
+    held = np.bincount(of, size, len(rows)).astype(np.int64)
+    raw, ends = x.tobytes(), np.cumsum(held)
+    shard, ids, tags = int(rows["shard"].iloc[0]), rows["doc_id"].to_numpy(np.int64), rows["tag"].to_numpy(np.int64)
+    out = [(0, shard, i, t, g, s, raw[j - k : j], None) for i, t, g, s, j, k in zip(ids, tags, row_bytes(gone, base, n, True), row_bytes(still, base, n, True), ends, held)]
+    key, doc = least_of(all_window_keys(x, size), np.repeat(ids[of], size - DEPTH + 1))
     out += [(1, shard, None, None, pack_sorted(k), pack_ids(d), None, b) for b, k, d in bucketed((key >> U(33)).astype(np.int64) % buckets, key, doc)]
     kinds = {"doc_id": "Int64", "tag": "Int64", "bucket": "Int32"}  # never by way of floating point
     return pd.DataFrame({n: pd.array(list(c), dtype=kinds[n]) if n in kinds else list(c) for n, c in zip(NAMES, zip(*out))})
@@ -472,31 +501,34 @@ def among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
-def repeats_in_shard(pieces: list[list[np.ndarray]], ids: np.ndarray) -> np.ndarray:
+def repeats_in_shard(x: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """For every window of every piece, in order: whether a smaller document of the shard has it. Suffix arrays of bounded size, their classes merged by their keys."""
-    flat = [(i, x) for i, p in zip(ids, pieces) for x in p]
-    arrays, first = [], 0
-    while first < len(flat):
-        last, size = first, 0
-        while last < len(flat) and (size == 0 or size + len(flat[last][1]) <= ARRAY):
-            size += len(flat[last][1])
-            last += 1
-        x = np.concatenate([t for _, t in flat[first:last]])
-        length = np.array([len(t) for _, t in flat[first:last]])
-        left = np.repeat(np.cumsum(length), length) - np.arange(len(x))  # bytes to the end of the piece
-        sa, ties = suffix_array(x, DEPTH)
-        name = np.cumsum(common_prefixes(x, sa, ties, DEPTH) < DEPTH)
+    arrays, ends = [], np.cumsum(size)
+    for first, last in parts(size, ARRAY):
+        length = size[first:last]
+        part = x[ends[last - 1] - length.sum() : ends[last - 1]]
+        left = np.repeat(np.cumsum(length), length) - np.arange(len(part))  # bytes to the end of the piece
+        sa, ties = suffix_array(part, DEPTH)
+        name = np.cumsum(common_prefixes(part, sa, ties, DEPTH) < DEPTH)
         real = left[sa] >= DEPTH
         sa, name = sa[real], name[real]
-        number = np.cumsum(np.concatenate([[True], name[1:] != name[:-1]])[: len(name)]) - 1
-        new = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])[: len(name)])
-        doc = np.repeat(np.array([i for i, _ in flat[first:last]], np.int64), length)
-        of = np.empty(len(x), np.int32)  # each window's class
-        of[sa] = number
-        arrays.append((window_keys(grams(x))[sa[new]], np.minimum.reduceat(doc[sa], new) if len(new) else doc[:0], of[left >= DEPTH], doc[left >= DEPTH]))
-        first = last
-    key, least_id = least_of(np.concatenate([np.zeros(0, U), *(a[0] for a in arrays)]), np.concatenate([np.zeros(0, np.int64), *(a[1] for a in arrays)]))
-    return np.concatenate([np.zeros(0, bool), *(doc > least_id[np.searchsorted(key, k)][of] for k, _, of, doc in arrays)])
+        if not len(sa):
+            continue
+        new = np.concatenate([[True], name[1:] != name[:-1]])
+        doc = np.repeat(ids[first:last], length)
+        of = np.empty(len(part), np.int32)  # each window's class
+        of[sa] = np.cumsum(new) - 1
+        new = np.flatnonzero(new)
+        arrays.append((sa[new], np.minimum.reduceat(doc[sa], new), of[left >= DEPTH], doc[left >= DEPTH], part))
+    least_ids = [a[1] for a in arrays]
+    if len(arrays) > 1:
+        key = np.concatenate([window_keys(grams(part))[at] for at, _, _, _, part in arrays])
+        order = np.argsort(key)
+        new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+        whole = np.empty(len(key), np.int64)
+        whole[order] = np.minimum.reduceat(np.concatenate(least_ids)[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        least_ids = np.split(whole, np.cumsum([len(a[0]) for a in arrays])[:-1])
+    return np.concatenate([np.zeros(0, bool), *(doc > own[of] for own, (_, _, of, doc, _) in zip(least_ids, arrays))])
 
 
 def merge_classes(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -517,14 +549,12 @@ def merge_classes(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def final_rows(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     """doc_id, tag and all repeated spans."""
-    known, out = np.sort(np.frombuffer(b"".join(answers["x"]), U)), []
-    for doc, tag, gone, span, text in zip(rows["doc_id"], rows["tag"], rows["x"], rows["y"], rows["z"]):
-        gone, span = unsqueeze_spans(gone), unsqueeze_spans(span)
-        at = np.concatenate([np.zeros(0, np.int64), *(a + np.flatnonzero(among(window_keys(grams(x)), known)) for (a, _), x in zip(span, cut_pieces(span, text)))])
-        s = merge_spans(np.concatenate([gone[:, 0], at]), np.concatenate([gone[:, 1], at + DEPTH]))
-        if len(s):
-            out.append((doc, tag, pack_spans(s)))
-    return pd.DataFrame({"doc_id": np.array([r[0] for r in out], np.int64), "tag": np.array([r[1] for r in out], np.int64), "spans": [r[2] for r in out]})
+    known = np.sort(np.frombuffer(b"".join(answers["x"]), U))
+    base, gone, spans = on_line(rows["x"], rows["y"])
+    at = window_places(spans)[among(all_window_keys(np.frombuffer(b"".join(rows["z"]), np.uint8), spans[:, 1] - spans[:, 0]), known)]
+    s = merge_spans(np.concatenate([gone[:, 0], at]), np.concatenate([gone[:, 1], at + DEPTH]))
+    n = np.unique(np.searchsorted(base, s[:, 0], side="right") - 1)
+    return pd.DataFrame({"doc_id": rows["doc_id"].to_numpy(np.int64)[n], "tag": rows["tag"].to_numpy(np.int64)[n], "spans": row_bytes(s, base, n, False)})
 
 
 def repeated_spans(docs: DataFrame, total_bytes: int) -> DataFrame:

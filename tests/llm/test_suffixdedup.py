@@ -77,15 +77,15 @@ def test_suffix_array_decides(spark, sf, monkeypatch):
     """Without the suffix arrays' classes the repeats within a shard stay."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").coalesce(1)
     whole = sum(r[2] for r in rows_of(sd.remove_repeats(docs)))
-    pieces = [[np.frombuffer(b"x" * 30 + bytes(range(100)), np.uint8)], [np.frombuffer(bytes(range(100)) + b"y" * 30, np.uint8)]]
-    gone = sd.repeats_in_shard(pieces, np.array([3, 4]))
+    x = np.frombuffer(b"x" * 30 + bytes(range(100)) * 2 + b"y" * 30, np.uint8)
+    gone = sd.repeats_in_shard(x, np.array([130, 130]), np.array([3, 4]))
     assert whole > 0 and gone.sum() == 51 and not gone[:81].any() and gone[81:132].all()
 
 
 def test_anchor_buckets():
     """Anchors fall evenly into buckets although each is a least hash."""
     x = np.random.default_rng(1).integers(97, 123, 400_000).astype(np.uint8)
-    anchor = np.unique(sd.blocks([x], False)[3])
+    anchor = np.unique(sd.blocks(x, np.array([len(x)]), False)[3])
     for lead in (5, 8):
         n = np.bincount((anchor >> np.uint64(64 - lead)).astype(np.int64), minlength=1 << lead)
         assert n.max() < 2 * n.mean()
