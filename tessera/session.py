@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 #: Rows and bytes up to which a side may be broadcast; beyond either the join shuffles.
-BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 32 << 20
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
