@@ -38,12 +38,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.ngrams import carried
-from tessera.llm.tokenize import gather
 from tessera.session import discard, materialize, release, ship, small, tidy
 
 DEPTH, GRAM = 50, 24
 #: Bytes of text of a shard, of a suffix array, and of a slice that is hashed at once; bits of the bitmap at most.
-SHARD, ARRAY, SLICE, BITS = 8_000_000, 1_500_000, 400_000, 28
+SHARD, ARRAY, SLICE, BITS = 6_000_000, 1_500_000, 400_000, 28
 U = np.uint64
 ODD = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93))
 
@@ -393,8 +392,8 @@ def candidate_rows(docs: DataFrame, bitmap, bits: int, lead: int, buckets: int)
             if not len(rows):
                 continue
             piece = spans[:, 1] - spans[:, 0]
-            text = gather(text, spans[:, 0] - base[of] + (np.cumsum(size) - size)[of], piece)
-            gone = repeats_in_shard(text, piece, ids[of])
+            text = slices(text, spans[:, 0] - base[of] + (np.cumsum(size) - size)[of], piece)
+            gone = repeats_in_shard(text, piece, np.unique(ids, return_inverse=True)[1].astype(np.int32)[of])
             at = window_places(spans)
             removed, still = window_spans(at[gone]), window_spans(at[~gone])
             text = cut_out(text, spans, still)
@@ -436,7 +435,12 @@ def cut_out(x: np.ndarray, spans: np.ndarray, some: np.ndarray) -> np.ndarray:
     """The bytes of some spans, each of which lies in one of the spans whose bytes are x."""
     size = spans[:, 1] - spans[:, 0]
     w = np.searchsorted(spans[:, 0], some[:, 0], side="right") - 1
-    return gather(x, (np.cumsum(size) - size)[w] + some[:, 0] - spans[w, 0], some[:, 1] - some[:, 0])
+    return slices(x, (np.cumsum(size) - size)[w] + some[:, 0] - spans[w, 0], some[:, 1] - some[:, 0])
+
+
+def slices(x: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    raw = x.tobytes()
+    return np.frombuffer(b"".join([raw[i : i + n] for i, n in zip(start.tolist(), size.tolist())]), np.uint8)
 
 
 def judge_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -502,7 +506,7 @@ def among(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def repeats_in_shard(x: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For every window of every piece, in order: whether a smaller document of the shard has it. Suffix arrays of bounded size, their classes merged by their keys."""
+    """For every window of every piece, in order: whether a document with a smaller number has it. Suffix arrays of bounded size, their classes merged by their keys."""
     arrays, ends = [], np.cumsum(size)
     for first, last in parts(size, ARRAY):
         length = size[first:last]
@@ -525,7 +529,7 @@ def repeats_in_shard(x: np.ndarray, size: np.ndarray, ids: np.ndarray) -> np.nda
         key = np.concatenate([window_keys(grams(part))[at] for at, _, _, _, part in arrays])
         order = np.argsort(key)
         new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
-        whole = np.empty(len(key), np.int64)
+        whole = np.empty(len(key), ids.dtype)
         whole[order] = np.minimum.reduceat(np.concatenate(least_ids)[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         least_ids = np.split(whole, np.cumsum([len(a[0]) for a in arrays])[:-1])
     return np.concatenate([np.zeros(0, bool), *(doc > own[of] for own, (_, _, of, doc, _) in zip(least_ids, arrays))])
