@@ -2,11 +2,12 @@
 
 Normalised TF-IDF vectors of hashed letter n-grams are compared by cosine with several
 centroids of each language, found by spherical k-means. A text without a letter is `und`;
-one further from every centroid than any training text by a margin is marked rejected.
-The model is fitted on at most ``sample`` labelled rows in all (whole texts), chosen by a hash of the id and dealt
+one that lies outside the radius that training texts of its size keep to, by a margin, is marked rejected.
+The model is fitted on at most ``sample`` labelled rows in all (whole texts), chosen by a hash of id and text and dealt
 equally to the languages; prediction reads whole texts and nothing but the text.
 Null and empty texts are `und` with score 0; without training rows all are `und`; repeated
-rows are predicted alike; empty tables give none; other columns are not carried.
+rows are predicted alike and count once in the fit, rows of one id each by their own text; ties go to the first language;
+very long texts are read whole, one at a time; empty tables give none; other columns are carried only on request.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.ngrams import LETTERS_ONLY, blocks, gram_keys, held_out, narrow, share
+from tessera.llm.ngrams import LETTERS_ONLY, blocks, carried, carrying, gram_keys, held_out, narrow, share
 from tessera.session import ship, tidy
 
 BUCKETS, ORDERS, SAMPLE, CENTROIDS = 4096, (2, 3), 3000, 4
+#: Size classes of texts; the share of a class's training texts that may lie outside its radius before the margin, and that margin.
+SIZES, QUANTILE, MARGIN = 13, 0.01, 0.8
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -41,26 +44,35 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """idf, the centroids, each centroid's language and each language's least cosine."""
+    """idf, the centroids, each centroid's language, and the least cosine that a text of each size class may have."""
 
     def __init__(self, langs: list[str], idf: np.ndarray, centroids: np.ndarray, of: np.ndarray, least: np.ndarray):
         self.langs, self.idf, self.centroids, self.of, self.least = langs, idf, centroids, of, least
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number, cosine and whether it is too far from all."""
-        cos = unit(np.sqrt(counts(texts)).astype(np.float32) * self.idf) @ self.centroids.T
+        c = counts(texts)
+        cos = unit(np.sqrt(c).astype(np.float32) * self.idf) @ self.centroids.T
         best = cos.argmax(axis=1)
         score = np.clip(cos[np.arange(len(best)), best], 0, 1)
-        return self.of[best], score, score < self.least[self.of[best]]
+        return self.of[best], score, score < self.least[size_class(c)]
 
 
-def fit(rows: list[tuple[str, np.ndarray]], k: int = CENTROIDS, margin: float = 0.5) -> Model:
+def size_class(c: np.ndarray) -> np.ndarray:
+    """The binary logarithm of a text's number of different n-grams: a text of few has a small cosine with any centroid."""
+    return np.minimum(np.log2(1 + (c > 0).sum(axis=1)).astype(np.int64), SIZES - 1)
+
+
+def fit(rows: list[tuple[str, np.ndarray]], k: int = CENTROIDS, margin: float = MARGIN) -> Model:
     """rows: language and bucket counts, in a fixed order."""
     langs = sorted({x for x, _ in rows})
-    tf = np.sqrt(np.stack([c for _, c in rows]), dtype=np.float32)
+    raw = np.stack([c for _, c in rows])
+    tf, sizes = np.sqrt(raw, dtype=np.float32), size_class(raw)
+    del raw
     idf = (np.log((1 + len(rows)) / (1 + (tf > 0).sum(axis=0))) + 1).astype(np.float32)
     x, y = unit(tf * idf), np.array([langs.index(a) for a, _ in rows])
-    centroids, of, least = [], [], np.zeros(len(langs))
+    del tf
+    centroids, of, own_cos = [], [], np.zeros(len(rows))
     for i in range(len(langs)):
         own = x[y == i]
         c = unit(own.mean(axis=0, keepdims=True))
@@ -71,7 +83,13 @@ def fit(rows: list[tuple[str, np.ndarray]], k: int = CENTROIDS, margin: float =
             c = unit(np.stack([own[at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(len(c))]))
         centroids.append(c)
         of += [i] * len(c)
-        least[i] = margin * (own @ c.T).max(axis=1).min()
+        own_cos[y == i] = (own @ c.T).max(axis=1)
+    # A class's radius: a margin under the cosine that nearly all its training texts reach; never less than that of shorter texts.
+    least = np.zeros(SIZES)
+    for s in range(SIZES):
+        cos = own_cos[sizes == s]
+        cos = cos if len(cos) >= 20 else own_cos[sizes <= s]  # too few: shorter ones as well
+        least[s] = max(least[s - 1] if s else 0.0, margin * np.quantile(cos, QUANTILE) if len(cos) >= 20 else margin * own_cos.min() / 2)
     return Model(langs, idf, np.vstack(centroids).astype(np.float32), np.array(of), least)
 
 
@@ -96,8 +114,8 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
                 )
 
     taken: dict[str, list] = {}
-    chosen = rows.where(share(F.col("doc_id")) < F.element_at(table, F.col("lang")))
-    for r in sorted(chosen.select("lang", "doc_id", "text").mapInArrow(gather, "lang string, doc_id long, at binary, count binary").collect(), key=lambda r: (r.lang, r.doc_id is None, r.doc_id)):
+    chosen = rows.withColumn("tag", F.xxhash64("text")).where(share(F.col("doc_id"), F.col("tag")) < F.element_at(table, F.col("lang"))).dropDuplicates(["lang", "doc_id", "tag"])
+    for r in sorted(chosen.select("lang", "doc_id", "text").mapInArrow(gather, "lang string, doc_id long, at binary, count binary").collect(), key=lambda r: (r.lang, r.doc_id is None, r.doc_id or 0, r["at"], r["count"])):
         taken.setdefault(r.lang, []).append(r)
     full = []
     for lang, rs in taken.items():
@@ -111,10 +129,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     return model
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score, rejected of each whole text."""
+def identify(docs: DataFrame, model: Model | None, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, lang_pred, score, rejected of each whole text, and the columns to carry."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, carry = docs.sparkSession.sparkContext.broadcast(model), carry or []
 
     def run(batches):
         tidy()
@@ -129,9 +147,9 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     lang.append(m.langs[w] if known else "und")
                     score.append(float(c) if known else 0.0)
                     far.append(bool(a) or not known)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_()), *b.columns[2:]], names=["doc_id", "lang_pred", "score", "rejected", *carried(carry)])
 
-    return narrow(docs, "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return carrying(docs, carry, run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
