@@ -10,10 +10,18 @@ and the rest are verified on whole sets. Groups of near copies are first drawn t
 verified links to the holders of the same least tokens, so that pairs inside a group that
 is already connected are never made. No cap applies to partners or candidates.
 
+Every input row gets a number of its own and is one node, so an id that several texts carry links none of
+them with another; the numbers are mapped back to ids at the end. A token that very many sets hold is
+dealt to blocks of bounded size, and each pair of its blocks meets in one task.
+
 Words are runs without ASCII white space, A-Z lower-cased; a text with fewer words than a
 shingle is one token, a null or empty text none: it is linked with nothing. Rows with a
-null id get their class's least id. Each input row gives one row; repeated rows are
-copies; empty tables give none; other columns are not carried.
+null id take part and get their group's least id, null if it has none. Each input row gives one row; repeated rows are
+copies; of rows that tie for a group's least id the first in the input stays; very long texts are taken whole, one
+slice at a time; empty tables give none; other columns are carried only on request, whatever their names.
+
+The groups are whole, but pairs inside a group that is connected already are not made: ``jaccard_groups`` gives components.
+``jaccard_links`` makes every pair of different sets and counts each row's links.
 """
 
 from __future__ import annotations
@@ -28,12 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
-from tessera.llm.ngrams import narrow
+from tessera.llm.ngrams import carried
 from tessera.session import materialize, ship, small, tidy
 
 #: Counters of the document-frequency sketch, its parts when it is summed, and the number of least-token orders that draw copies together.
 SKETCH_BITS, PARTS, LEAST = 22, 64, 4
 CACHE_WORDS, SLICE_BYTES = 200_000, 2_000_000
+#: Rows of a block of a token that very many sets hold.
+BLOCK_ROWS = 1 << 16
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
 
@@ -101,14 +111,14 @@ def add(counts: np.ndarray, held: list[np.ndarray]) -> None:
 
 
 def signed(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each text: doc_id, n tokens, 128-bit hash of the set, least tokens under several orders; and each task's part of the sketch."""
+    """A row for each text: row, doc_id, n tokens, 128-bit hash of the set, least tokens under several orders; and each task's part of the sketch."""
 
     def run(batches):
         tidy()
         cache, counts, held, waiting = Hashes(), np.zeros(1 << SKETCH_BITS, np.uint32), [], 0
         for b in _batches(batches):
             out = []
-            for t in token_sets(b.column(1).to_pylist(), n, cache):
+            for t in token_sets(b.column(2).to_pylist(), n, cache):
                 held.append((t >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
                 waiting += len(t)
                 d = xxhash.xxh3_128_digest(t.tobytes())
@@ -117,19 +127,19 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
                 if waiting > 1_000_000:
                     add(counts, held)
                     held, waiting = [], 0
-            yield _row_batch([b.column(0), *zip(*out), [None] * len(out), [None] * len(out)])
+            yield _row_batch([b.column(0), b.column(1), *zip(*out), [None] * len(out), [None] * len(out)])
         if held:
             add(counts, held)
         blobs = [zlib.compress(p.tobytes(), 1) for p in np.split(counts, PARTS)]
         none = [None] * PARTS
-        yield _row_batch([pa.array(none, pa.int64()), none, none, none, none, list(range(PARTS)), blobs])
+        yield _row_batch([none, none, none, none, none, none, list(range(PARTS)), blobs])
 
-    return narrow(docs, "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, least array<long>, part int, counts binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n long, h1 long, h2 long, least array<long>, part int, counts binary")
 
 
 def _row_batch(columns: list) -> pa.RecordBatch:
-    types = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.int32(), pa.binary()]
-    names = ["doc_id", "n", "h1", "h2", "least", "part", "counts"]
+    types = [pa.int64()] * 5 + [pa.list_(pa.int64()), pa.int32(), pa.binary()]
+    names = ["row", "doc_id", "n", "h1", "h2", "least", "part", "counts"]
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
 
 
@@ -165,7 +175,7 @@ def prefix(tokens: np.ndarray, frequency: np.ndarray, order: int, percent: int)
 def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, frequency) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough; only their texts are read again, and prefixes under two more orders are compared first."""
     pairs = materialize(pairs, "candidates")
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    ids = materialize(pairs.select(F.col("a").alias("row")).unionAll(pairs.select(F.col("b").alias("row"))).distinct(), "ids")
 
     def run(batches):
         tidy()
@@ -173,10 +183,10 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, frequency)
         for b in _batches(batches):
             sets = list(token_sets(b.column(1).to_pylist(), n, cache))
             first = [[prefix(t, frequency.value, k, percent).astype(np.uint32).view(np.int32) for t in sets] for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.view(np.int64) for t in sets], pa.list_(pa.int64())), *(pa.array(p, pa.list_(pa.int32())) for p in first)], names=["doc_id", "t", "p1", "p2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t.view(np.int64) for t in sets], pa.list_(pa.int64())), *(pa.array(p, pa.list_(pa.int32())) for p in first)], names=["row", "t", "p1", "p2"])
 
-    sets = materialize(narrow(docs, "text").join(small(ids), "doc_id").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, t array<long>, p1 array<int>, p2 array<int>"), "sets")
-    of = lambda c, *cols: sets.select(F.col("doc_id").alias(c), *(F.col(x).alias(c + x) for x in cols))
+    sets = materialize(docs.select("row", "text").join(small(ids), "row").mapInArrow(run, "row long, t array<long>, p1 array<int>, p2 array<int>"), "sets")
+    of = lambda c, *cols: sets.select(F.col("row").alias(c), *(F.col(x).alias(c + x) for x in cols))
     near = pairs.join(of("a", "p1", "p2"), "a").join(of("b", "p1", "p2"), "b").where(F.arrays_overlap("ap1", "bp1") & F.arrays_overlap("ap2", "bp2")).select("a", "b")
     both = near.join(of("a", "t"), "a").join(of("b", "t"), "b").select("a", "b", F.size("at").alias("na"), F.size("bt").alias("nb"), F.size(F.array_intersect("at", "bt")).alias("i"))
     return both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
@@ -206,7 +216,7 @@ def pairs_of_runs(token, rep, comp, n, pos, percent: int):
 
 
 def candidates(docs: DataFrame, known: DataFrame, n: int, percent: int, frequency) -> DataFrame:
-    """(a, b), a < b: documents of different components that share a prefix token under the first order. known: (doc_id, rep, comp) where they are not the id itself."""
+    """(a, b), a < b: rows of different components that share a prefix token under the first order. known: (row, rep, comp) where they are not the row itself."""
 
     def emit(batches):
         tidy()
@@ -219,8 +229,9 @@ def candidates(docs: DataFrame, known: DataFrame, n: int, percent: int, frequenc
                 sizes.append(len(t))
             count = np.array([len(p) for p in first], np.int64)
             pos = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            token, at = dealt(np.concatenate([np.zeros(0, np.uint64), *first]), np.repeat(ids, count), frequency.value)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(0, np.uint64), *first]).view(np.int64)), pa.array(np.repeat(ids, count)), pa.array(np.repeat(comp, count)), pa.array(np.repeat(np.array(sizes, np.int32), count)), pa.array(pos.astype(np.int32))], names=["token", "rep", "comp", "n", "pos"]
+                [pa.array(token.view(np.int64)), *(pa.array(c[at]) for c in (np.repeat(ids, count), np.repeat(comp, count), np.repeat(np.array(sizes, np.int32), count), pos.astype(np.int32)))], names=["token", "rep", "comp", "n", "pos"]
             )
 
     def pair(batches):
@@ -244,40 +255,100 @@ def candidates(docs: DataFrame, known: DataFrame, n: int, percent: int, frequenc
                 p = np.unique(np.concatenate(seen), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
 
-    reps = narrow(docs, "text").where(F.col("doc_id").isNotNull()).join(small(known), "doc_id", "left").where(F.coalesce(F.col("rep") == F.col("doc_id"), F.lit(True)))
-    rows = reps.select("doc_id", "text", F.coalesce("comp", "doc_id").alias("comp")).mapInArrow(emit, "token long, rep long, comp long, n int, pos int")
+    reps = docs.select("row", "text").join(small(known), "row", "left").where(F.coalesce(F.col("rep") == F.col("row"), F.lit(True)))
+    rows = reps.select("row", "text", F.coalesce("comp", "row").alias("comp")).mapInArrow(emit, "token long, rep long, comp long, n int, pos int")
     return rows.repartition("token").sortWithinPartitions("token", "n").mapInArrow(pair, "a long, b long").distinct()
 
 
+def dealt(token: np.ndarray, rep: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and the rows that they belong to, a token that very many sets hold (by the sketch, never too low) being replaced by one for each pair of blocks that its row is in."""
+    blocks = np.ceil(np.exp2((frequency[token >> np.uint64(64 - SKETCH_BITS)] + 1) / 8) / BLOCK_ROWS).astype(np.int64)
+    if not len(token) or blocks.max() == 1:
+        return token, np.arange(len(token))
+    at = np.repeat(np.arange(len(token)), blocks)
+    g = blocks[at]
+    y = np.arange(len(at)) - (np.cumsum(blocks) - blocks)[at]
+    x = (mix(rep.view(np.uint64), 12) % blocks.astype(np.uint64)).astype(np.int64)[at]
+    place = (np.minimum(x, y) * g + np.maximum(x, y)).astype(np.uint64)
+    return np.where(g > 1, mix(token[at] + place * np.uint64(ODD[1]), 13), token[at]), at
+
+
 def _with_end(batches):
     yield from batches
     yield None
 
 
-def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, rep (least id with the same set), component_id (least id reachable by links)."""
-    spark = docs.sparkSession
-    ship(spark)
+def _numbered(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """row, doc_id, text and the columns to carry; written, so that the numbers stay what they are."""
+    ship(docs.sparkSession)
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`").alias(a) for c, a in zip(carry, carried(carry)))), "rows")
+
+
+def _classes(docs: DataFrame, n: int):
+    """The sketch, the classes of equal sets (rep: a row, copies, and the row of the least id: z, d, r) and each row's class."""
     rows = materialize(signed(docs, n), "signed")
-    frequency = spark.sparkContext.broadcast(document_frequencies(rows))
+    frequency = docs.sparkSession.sparkContext.broadcast(document_frequencies(rows))
     rows = rows.where("part is null").drop("part", "counts")
-    some = rows.where("n > 0")
-    classes = materialize(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("least").alias("least")).where("rep is not null"), "classes")
-    members = materialize(rows.select("doc_id", "n", "h1", "h2").join(small(classes.select("h1", "h2", "rep")), ["h1", "h2"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "members")
-    # Near copies are drawn together: each class is compared with the least id among the holders of its least tokens.
+    own = F.min(F.struct(F.isnull("doc_id").alias("z"), F.col("doc_id").alias("d"), F.col("row").alias("r"))).alias("own")
+    classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("least").alias("least"), own)
+    classes = materialize(classes.select("h1", "h2", "rep", "copies", "n", "least", "own.*"), "classes")
+    members = rows.select("row", "doc_id", "n", "h1", "h2").join(small(classes.select("h1", "h2", "rep", "copies", "d", "r")), ["h1", "h2"], "left")
+    members = materialize(members.select("row", "doc_id", "n", *(F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("rep", "copies", "d", "r"))), "members")
+    return frequency, classes, members
+
+
+def _known(members: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """(row, rep, comp) of the rows that are not their class's or whose component is not their own."""
+    rows = members.where("rep is not null").select("row", "rep")
+    rows = rows.withColumn("comp", F.col("rep")) if comp is None else rows.join(small(comp.withColumnRenamed("node", "rep")), "rep", "left").select("row", "rep", F.coalesce("component", "rep").alias("comp"))
+    return materialize(rows.where("row != rep or comp != rep"), "known")
+
+
+def _result(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of classes mapped to the least id, and the row that has it, over all their rows."""
+    comp = materialize(components(links), "comp")
+    linked = comp.unionAll(comp.select(F.col("component").alias("node"), "component").distinct())
+    best = linked.join(classes.select(F.col("rep").alias("node"), "z", "d", "r"), "node").groupBy("component").agg(F.min(F.struct("z", "d", "r")).alias("m"))
+    best = materialize(best.select("component", F.col("m.d").alias("cd"), F.col("m.r").alias("cr")), "best")
+    ends = materialize(linked.join(small(best), "component").select(F.col("node").alias("rep"), "cd", "cr"), "ends")
+    out = members.join(small(ends), "rep", "left")
+    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), "rep", "copies", F.coalesce("cd", "d", "doc_id").alias("component_id"), (F.coalesce("cr", "r", "row") == F.col("row")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    frequency, classes, members = _classes(docs, n)
+    # Near copies are drawn together: each class is compared with the least row among the holders of its least tokens.
     least = materialize(classes.select("rep", "n", F.posexplode("least").alias("k", "token")), "least")
     pivots = materialize(least.groupBy("k", "token").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("k", "token", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn")), "pivots")
     drawn = least.join(small(pivots), ["k", "token"]).where((F.col("rep") != F.col("pivot")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialize(verified(drawn, docs, n, percent, frequency), "links")
     comp = materialize(components(links), "comp")
-    known = materialize(
-        members.where("doc_id is not null and rep is not null").select("doc_id", "rep").distinct().join(small(comp.withColumnRenamed("node", "rep")), "rep", "left")
-        .select("doc_id", "rep", F.coalesce("component", "rep").alias("comp")).where("doc_id != rep or comp != rep"), "known",
-    )
-    more = verified(candidates(docs, known, n, percent, frequency), docs, n, percent, frequency)
-    all_links = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more)
-    comp = materialize(components(all_links), "comp")
-    return members.join(small(comp.withColumnRenamed("node", "rep")), "rep", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    more = verified(candidates(docs, _known(members, comp), n, percent, frequency), docs, n, percent, frequency)
+    return _result(members, classes, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
+
+
+def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (least id reachable by links), kept (whether the row is the one of its component that stays)."""
+    return _grouped(_numbered(docs, []), n, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def keep_one(docs: DataFrame, columns: list[str], n: int = 5, percent: int = 80) -> DataFrame:
+    """These columns of the rows that stay: one of each component, the first with its least id."""
+    rows = _numbered(docs, columns)
+    gone = materialize(_grouped(rows, n, percent).where(~F.col("kept")).select("row"), "gone")
+    return rows.join(small(gone), "row", "left_anti").select(*(F.col(a).alias(c) for c, a in zip(columns, carried(columns))))
+
+
+def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, n_links (other rows linked directly), component_id: every pair of different sets is made, none inside a group left out."""
+    rows = _numbered(docs, [])
+    frequency, classes, members = _classes(rows, n)
+    links = materialize(verified(candidates(rows, _known(members, None), n, percent, frequency), rows, n, percent, frequency), "links")
+    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    copies = classes.select(F.col("rep").alias("b"), "copies")
+    count = materialize(both.join(copies, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("more")), "counts")
+    out = _result(members, classes, links).join(small(count), "rep", "left")
+    return out.select("doc_id", "n_shingles", (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), "component_id")
 
 
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
