@@ -69,3 +69,18 @@ def test_cut_characters(spark, sf):
     got = as_dict(cp.repeats(spark, docs, sf))
     assert got[2].text.startswith("b\u00f9 xyz ") and got[2].text.endswith(" the end") and "\ufffd" not in got[2].text
     assert got[3].text == "clean \ufffd text" and got[1].text == "a\u00e9" + common
+
+
+def test_rows_not_ids(spark, sf):
+    """A row goes or stays by its own text, whatever its id."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, extra int"
+    clean = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en' and n_chars between 500 and 1500").orderBy("doc_id").limit(40).collect()]
+    rows = [(i % 7 if i % 5 else None, t, "en", "s", 1, 1) for i, t in enumerate(clean)]
+    docs = spark.createDataFrame([*rows, (None, "12 34 ...", "en", "s", 1, 1), (3, "+-+-", None, None, None, 1), (3, None, None, None, None, 1)], schema)
+    got = cp.language(spark, docs, sf)
+    assert got.columns == cp.COLUMNS and sorted(r.text for r in got.collect()) == sorted(clean)
+    good = cp.good_quality(spark, docs, sf)
+    assert good.columns == cp.COLUMNS and {r.text for r in good.collect()} & set(clean)
+    twice = spark.createDataFrame([(1, clean[0]), (1, clean[0] + " x"), (1, clean[1]), (None, clean[1]), (None, clean[2]), (None, clean[3])], "doc_id long, text string").selectExpr("*", "'en' lang", "'s' source", "1L n_chars")
+    _, comp = jaccard([(0, clean[0]), (1, clean[0] + " x"), (2, clean[1]), (3, clean[1]), (4, clean[2]), (5, clean[3])], 5, 80)
+    assert cp.near_duplicates(spark, twice, sf).count() == len(set(comp.values()))
