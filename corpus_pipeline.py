@@ -1,65 +1,13 @@
-"""Corpus pipeline: language identification, quality, near duplicates, repeated passages, packing.
-
-Every stage takes the documents that the one before it kept and applies its decisions; all
-but the last return the columns of ``documents``. Null texts count as empty: they have no
-language and go in the first stage. Empty tables pass through every stage.
-"""
+"""Corpus pipeline over ``documents``; the stages are in ``tessera.llm.pipeline``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from tessera.llm import langid, ngramjoin, packing, quality, suffixdedup
-from tessera.session import materialize, small
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: A document goes when its quality score is under this: lower than one half, so that a clean document that the model merely doubts stays.
-LEAST_QUALITY = 0.3
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS)
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or far from every language's centroids."""
-    docs = _rows(docs)
-    gone = materialize(langid.identify(docs, langid.train(docs)).where("rejected").select("doc_id").distinct(), "rejected")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
-
-
-def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier rejects."""
-    docs = _rows(docs)
-    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    gone = materialize(quality.score(docs, model).where(F.col("score") < LEAST_QUALITY).select("doc_id").distinct(), "rejected")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least id of each group linked by five-word shingles at a similarity of 0.8."""
-    docs = _rows(docs)
-    groups = ngramjoin.jaccard_groups(docs, 5, 80)
-    gone = materialize(groups.where("component_id != doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
-
-
-def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages that a document with a smaller id has too; characters that a cut leaves in parts go, and documents left without a letter or digit go."""
-    docs = _rows(docs)
-    kept = suffixdedup.remove_repeats(docs, carry=["lang", "source"])
-    cut = F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")
-    whole = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(cut)
-    return kept.withColumn("text", whole).where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
-
-
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
-    return packing.pack_texts(docs)
 
+from tessera.llm.pipeline import COLUMNS, STAGES, good_quality, language, near_duplicates, packed, repeats
+from tessera.session import materialize
 
-STAGES = [("language", language), ("quality", good_quality), ("near_duplicates", near_duplicates), ("repeats", repeats), ("packing", packed)]
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "good_quality", "language", "near_duplicates", "packed", "repeats", "run"]
 # Trained models, tokenisers and suffix arrays are not SQL; the stages are tested against brute-force versions.
 ORACLE_SQL = None
 
