@@ -1,7 +1,9 @@
 """Byte-pair encoding and decoding in numpy, and cached word tokenisation.
 
 ``ids`` columns are packed little-endian unsigned 32-bit integers. Null texts count as
-empty. Vocabulary files are read on the driver and sent to the workers (a few MB, fixed).
+empty, null ids are ids like any other; each input row gives one row, repeated rows each their own; equal ranks cannot
+occur, and of touching equal pairs the left ones merge first; very long texts are taken whole, one at a time; empty tables
+give none; other columns are not carried and may have any name. Vocabulary files are read on the driver and sent to the workers (a few MB, fixed).
 """
 
 from __future__ import annotations

@@ -69,6 +69,14 @@ def test_bpe_digests(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest()
 
 
+def test_bpe_repeated_rows_and_empty_table(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    d = frame(spark, ["same", "same"], [(0, "same"), (0, "other"), (None, None)])
+    got = sorted(((r.doc_id, r.text, r.n_tokens) for r in tokenize.bpe_round_trip(d, path).collect()), key=repr)
+    assert [g[:2] for g in got] == [(0, "other"), (0, "same"), (0, "same"), (1, "same"), (None, "")]
+    assert tokenize.bpe_round_trip(d.limit(0), path).count() == 0
+
+
 def check_pieces(rows, docs, capacity=4096):
     by_doc, by_seq = {}, {}
     for r in rows:
@@ -101,11 +109,31 @@ def test_packing(spark, sf):
     assert check_pieces([r.asDict() for r in packing.op3_packing(spark, sf).collect()], want) == 0
 
 
+def test_packing_pieces(spark, sf):
+    """Whole rests by class: beyond whole sequences hardly more pieces than documents, and no bin without its class's count but the gap's fillers."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    rows = [r.asDict() for r in packing.pack_texts(docs).collect()]
+    whole = sum(r["length"] == 4096 for r in rows)
+    n = docs.count()
+    print("pieces beyond whole sequences a document", (len(rows) - whole) / n)
+    assert len(rows) - whole < 1.5 * n
+    bins = packing.Bins(100, True)
+    for i, size in enumerate([60, 30, 33, 33, 33, 250, 7, 100, 0]):
+        bins.add(packing.Piece(i, 0, size, memoryview(bytes(4 * size)), size))
+    got = [[(p.doc, p.start, p.length) for p in b] for b in bins.closed]
+    # 60 is alone in its class; its gap takes 30 and the first 10 of the next.
+    assert got[0] == [(0, 0, 60), (1, 0, 30), (2, 0, 10)]
+    bins.finish()
+    sizes = [sum(p.length for p in b) for b in bins.closed]
+    assert sum(sizes) == 546 and all(x == 100 or x & (x - 1) == 0 for x in sizes)
+
+
 def test_packing_edges(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
     want = {i: np.array(library.encode(t or "", add_special_tokens=False).ids + [2]) for i, t in enumerate(TEXTS)}
-    d = frame(spark, TEXTS).repartition(3)
+    want[None] = np.array(library.encode("no id", add_special_tokens=False).ids + [2])
+    d = frame(spark, TEXTS, [(None, "no id")]).repartition(3)
     rows = packing.pack_texts(d).withColumn("ids_crc32", F.crc32("ids")).collect()
     assert check_pieces([r.asDict() for r in rows], want) == 0
     rows = packing.pack(tokenize.word_encode(d, path, 2), 1000, cut=False).withColumn("ids_crc32", F.crc32("ids")).collect()
@@ -124,6 +152,24 @@ def check_shards(rows, texts, shards=16):
     assert max(sizes) - min(sizes) <= 2 * max([r.size for r in rows], default=0)
 
 
+def plain_shards(rows, shards):
+    """Shard and slot of rows in the order of their ids: the shard that holds a row's middle byte."""
+    rows = sorted(rows, key=lambda r: r[0])
+    total, at, out, slots = sum(s for _, s in rows), 0, {}, {}
+    for i, s in rows:
+        k = min((at + s - (s + 1) // 2) * shards // total, shards - 1)
+        out[i] = (k, slots.get(k, 0))
+        slots[k] = slots.get(k, 0) + 1
+        at += s
+    return out
+
+
+def test_shards_against_prefix_sum(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = plain_shards([(r.doc_id, len((r.text or "").encode()) + 1) for r in docs.collect()], 16)
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.op6_sharding(spark, sf).collect()} == want
+
+
 def test_sharding(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     check_shards(sharding.op6_sharding(spark, sf).collect(), [(r.doc_id, r.text) for r in docs.collect()])
