@@ -1,9 +1,11 @@
 """Embedding near-duplicates by lattice hashing, and nearest neighbours by balanced posting lists.
 
 Vectors that are null, zero, empty or hold null or non-finite components take no part;
-in deduplication, neither do rows without a label. Exact copies are joined to one class
-before anything else, so that a hot vector costs one row. Vectors of different lengths
-are never compared. Empty tables give empty results; other columns are not carried.
+neither do rows with a null id and, in deduplication, rows without a label. Exact copies are joined to one class
+before anything else, so that a hot vector costs one row. In deduplication every row is a node of its own: an id that
+several vectors carry links none of them with another. In the search an id stands for its nearest vector, and a query
+leaves out its own id. Ties go to smaller ids. Vectors of different lengths are never compared; the search refuses tables
+of over 1,000 lengths. Empty tables give empty results; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from tessera.llm.graph import components
 from tessera.session import materialize, ship, small
 
 LIMIT, TABLES, LATTICES, SCALE, BLOCK = 0.98, 8, 2, 0.7, 512
+#: Different lengths of vectors that one search takes.
+DIMS = 1000
 
 
 def valid(vector) -> F.Column:
@@ -69,26 +73,23 @@ def cells(u: np.ndarray, label: np.ndarray) -> np.ndarray:
     return out
 
 
-def _classes(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Classes of exact copies (keys, vector, rep: least id, copies) and each row's class (vec_id, rep, copies)."""
-    classes = materialize(rows.groupBy(*keys, "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    return classes, rows.join(small(classes), [*keys, "vector"]).select("vec_id", "rep", "copies")
-
-
-def _pack(batches, rest: int):
-    """The vector column (first) as packed doubles, all other columns as they are."""
+def _pack(batches, rest: int, kind=np.float64):
+    """The vector column (first) as packed numbers, all other columns as they are."""
     for b in batches:
         v = b.column(0)
-        flat, at = v.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.array(v.value_lengths()))])
+        flat, at = v.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False), np.concatenate([[0], np.cumsum(np.array(v.value_lengths()))])
         yield [flat[i:j].tobytes() for i, j in zip(at[:-1], at[1:])], [b.column(i) for i in range(1, rest + 1)]
 
 
 def near_duplicates(table: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept for each row: rows of one label are linked when their cosine reaches the limit."""
     ship(table.sparkSession)
-    base = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).cast("long").alias("label"))
-    some = base.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & valid(F.col("vector")))
-    classes, members = _classes(some, ["label"])
+    base = table.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).cast("long").alias("label"))
+    base = materialize(base.withColumn("part", F.col("label").isNotNull() & F.col("vec_id").isNotNull() & valid(F.col("vector"))), "rows")  # row numbers stay what they are
+    some = base.where("part")
+    # Classes of exact copies: a row, the least id, and how many.
+    classes = materialize(some.groupBy("label", "vector").agg(F.min("row").alias("rep"), F.min("vec_id").alias("least"), F.count("*").alias("copies")), "classes")
+    members = some.join(small(classes), ["label", "vector"]).select("vec_id", "rep", "least", "copies")
 
     def signed(batches):
         for raw, (label, rep, copies) in _pack(batches, 3):
@@ -126,10 +127,13 @@ def near_duplicates(table: DataFrame, limit: float = LIMIT, id_col: str = "vec_i
 
     found = materialize(blocks.mapInArrow(links, "a long, b long, n long"), "links")
     count = materialize(found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n")), "counts")
-    comp = materialize(components(found.where("n = 0").select("a", "b")).select(F.col("node").alias("rep"), "component"), "comp")
-    joined = members.join(small(count), "rep", "left").join(small(comp), "rep", "left")
-    linked_rows = joined.select("vec_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    rest = base.where(~(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & valid(F.col("vector")))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    comp = components(found.where("n = 0").select("a", "b")).select(F.col("node").alias("rep"), "component")
+    comp = materialize(comp.unionAll(comp.select(F.col("component").alias("rep"), "component").distinct()), "comp")
+    best = materialize(comp.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("first")), "best")
+    ends = materialize(comp.join(small(best), "component").select("rep", "first"), "ends")
+    joined = members.join(small(count), "rep", "left").join(small(ends), "rep", "left")
+    linked_rows = joined.select("vec_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("first", "least").alias("component_id"))
+    rest = base.where(~F.col("part")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked_rows.unionAll(rest).select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
@@ -202,16 +206,18 @@ def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
 
 # Nearest neighbours
 
-#: Vectors that the index is fitted on, lists at most, rows of a sample leaf, replicas, beam width, degree of the centroid graph.
-SAMPLE, LISTS, REPLICAS, BEAM, DEGREE = 20_000, 8192, 4, 96, 16
-#: A vector is also put into lists at up to NEAR times its least distance; a query reads lists at up to READ times its least distance.
-NEAR, READ = 1.04, 1.22
-#: Rows of a group of posting lists, and queries of a block.
-GROUP_ROWS, QUERY_BLOCK = 4_000, 4_000
+#: Vectors that the index is fitted on, lists at most and lists for each root of the number of vectors, rows of a query's graph walk at least, degree of the graph.
+SAMPLE, LISTS, PER_ROOT, BEAM, DEGREE = 20_000, 8192, 2.5, 16, 16
+#: Lists that hold a vector at most, and how far beyond the least distance; share of the lists that a query reads at most, and how far.
+REPLICAS, NEAR, SHARE, READ = 4, 1.1, 0.2, 1.22
+#: Entries that a query reads at least, nearest lists first: among few vectors without clusters a share of the lists is too few.
+ENTRIES = 4_000
+#: Rows of a group of lists, and queries of a block.
+GROUP_ROWS, QUERY_BLOCK = 16_384, 200_000
 
 
 def balanced(x: np.ndarray, size: int) -> np.ndarray:
-    """Centroids of parts of at most ``size`` rows: each part is split by its two-means axis at the median until it is small."""
+    """Centroids of parts of at most ``size`` rows: each part is split by its two-means axis at the median until it is small. Parts that were split late are next to each other."""
     rng, todo, out = np.random.default_rng(3), [np.arange(len(x))], []
     while todo:
         at = todo.pop()
@@ -294,8 +300,10 @@ def nearest(table: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     classes = materialize(least.groupBy("dim", "vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")
     queries = rows.where(is_query).withColumn("dim", F.size("vector"))
     result = None
-    # The lengths of vectors are a property of the schema: one, or a few.
-    for (dim,) in classes.select("dim").distinct().orderBy("dim").limit(1000).collect():
+    dims = [r[0] for r in classes.select("dim").distinct().orderBy("dim").limit(DIMS + 1).collect()]
+    if len(dims) > DIMS:
+        raise ValueError(f"vectors of over {DIMS} different lengths")
+    for dim in dims:
         one = _search(classes.where(F.col("dim") == dim), queries.where(F.col("dim") == dim), k, dim, read)
         result = one if result is None else result.unionAll(one)
     return result if result is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -303,8 +311,8 @@ def nearest(table: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
 
 def _search(classes: DataFrame, queries: DataFrame, k: int, dim: int, read: float) -> DataFrame:
     spark = classes.sparkSession
+    kind = np.float32 if dict(classes.dtypes)["vector"] == "array<float>" else np.float64
     n, top = classes.agg(F.count("*"), F.max(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).first()
-    asked = queries.count()
     # The index is fitted on a bounded sample; every row is put into it.
     sample = classes.where(F.pmod(F.xxhash64(F.col("ids")[0], F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * min(1.0, SAMPLE / n))).select("vector").limit(2 * SAMPLE)
     x = np.array([r[0] for r in sample.collect()], np.float64).reshape(-1, dim)
@@ -315,60 +323,126 @@ def _search(classes: DataFrame, queries: DataFrame, k: int, dim: int, read: floa
         """Largest inner product becomes least distance with one more component."""
         return np.concatenate([v, np.sqrt(np.maximum(top - (v * v).sum(axis=1, keepdims=True), 0))], axis=1)
 
-    lists = int(min(LISTS, max(1, round(np.sqrt(n) / 2)), len(x)))
+    def block(raw):
+        return np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64)
+
+    lists = int(min(LISTS, max(1, round(np.sqrt(n) * PER_ROOT)), len(x)))
     shared = spark.sparkContext.broadcast(Graph(balanced(lifted(x), max(1, -(-len(x) // lists)))))
-    groups, blocks = -(-n * 2 // GROUP_ROWS), max(1, -(-asked // QUERY_BLOCK))
 
     def assign(batches):
         g = shared.value
-        for raw, (ids,) in _pack(batches, 1):
+        for raw, (ids,) in _pack(batches, 1, kind):
             for i in range(0, len(raw), 1000):
-                v = np.frombuffer(b"".join(raw[i : i + 1000]), np.float64).reshape(-1, dim)
-                at, d = g.search(lifted(v), 32)
-                near = (d <= NEAR * d[:, :1] + 1e-12) & (np.arange(d.shape[1]) < REPLICAS)
-                r, c = np.nonzero(near)
+                v = block(raw[i : i + 1000])
+                at, d = g.search(lifted(v), max(BEAM, 2 * REPLICAS))
+                r, c = np.nonzero((d <= NEAR * d[:, :1] + 1e-12) & (np.arange(d.shape[1]) < REPLICAS))
                 yield pa.RecordBatch.from_arrays([pa.array(at[r, c], pa.int64()), ids.slice(i, len(v)).take(pa.array(r)), pa.array([raw[i + z] for z in r], pa.binary())], names=["list", "ids", "v"])
 
+    postings = materialize(classes.select("vector", "ids").mapInArrow(assign, "list long, ids array<long>, v binary"), "postings")
+    # Lists next to each other in the order of their splits fill a group; a long list lies in several. Once for each list: at most LISTS rows.
+    sizes = dict(map(tuple, postings.groupBy("list").count().collect()))
+    first, at = np.zeros(len(shared.value.c) + 1, np.int64), 0
+    for c in range(len(shared.value.c)):
+        at += sizes.get(c, 0)
+        first[c + 1] = at
+
     def select(batches):
-        g = shared.value
-        for raw, (qid,) in _pack(batches, 1):
+        """The lists that each query reads: up to a share of all and a ratio of distances, but never fewer than hold enough vectors."""
+        g, size = shared.value, np.diff(first)
+        width = min(len(g.c), max(BEAM, int(np.ceil(max(SHARE, 1.2 * least / first[-1]) * len(g.c)))))
+        for raw, (qid,) in _pack(batches, 1, kind):
             for i in range(0, len(raw), 500):
-                v = np.frombuffer(b"".join(raw[i : i + 500]), np.float64).reshape(-1, dim)
-                at, d = g.search(np.concatenate([v * np.sqrt(top) / np.linalg.norm(v, axis=1, keepdims=True), np.zeros((len(v), 1))], axis=1), max(BEAM, min(1024, len(g.c) * 7 // 10)))
-                yield pa.RecordBatch.from_arrays([qid.slice(i, len(v)), pa.array(raw[i : i + 500], pa.binary()), pa.array([row[near] for row, near in zip(at, d <= read * d[:, :1])], pa.list_(pa.int64()))], names=["query", "v", "lists"])
-
-    postings = materialize(classes.select("vector", "ids").mapInArrow(assign, "list long, ids array<long>, v binary"), "postings")
+                v = block(raw[i : i + 500])
+                q = np.concatenate([v * np.sqrt(top) / np.linalg.norm(v, axis=1, keepdims=True), np.zeros((len(v), 1))], axis=1)
+                at, d = g.search(q, width)
+                lists = []
+                for row, away, one in zip(at, d, q):
+                    if size[row].sum() < least:
+                        away = ((g.c - one) ** 2).sum(axis=1)
+                        row = np.argsort(away, kind="stable")
+                        away = np.sqrt(away[row])
+                    n = max(int(np.searchsorted(away, read * away[0], side="right")), int(np.searchsorted(np.cumsum(size[row]), least)) + 1)
+                    lists.append(np.sort(row[: min(n, max(int(np.ceil(SHARE * len(g.c))), int(np.searchsorted(np.cumsum(size[row]), least)) + 1))]))
+                yield pa.RecordBatch.from_arrays([qid.slice(i, len(v)), pa.array(raw[i : i + 500], pa.binary()), pa.array(lists, pa.list_(pa.int64()))], names=["query", "v", "lists"])
+
+    least = max(ENTRIES, REPLICAS * (k + 1))  # the latter are at least k vectors and the query's own
     asking = materialize(queries.select("vector", "vec_id").mapInArrow(select, "query long, v binary, lists array<long>"), "queries")
-    # Long lists are cut, so that a hot list is read by several groups; lists of a group are read together.
-    sizes = postings.groupBy("list").count()
-    parts = {r[0]: -(-r[1] // GROUP_ROWS) for r in sizes.collect()}  # at most LISTS rows
-    many = F.element_at(F.create_map(*[y for a, b in parts.items() if b > 1 for y in (F.lit(a), F.lit(b))]), F.col("list")) if any(b > 1 for b in parts.values()) else F.lit(1)
-    unit = F.pmod(F.xxhash64("list", F.pmod(F.xxhash64(F.col("ids")[0]), F.coalesce(many, F.lit(1)))), F.lit(groups))
-    left = postings.withColumn("g", unit).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    where = materialize(postings.select("list", unit.alias("g")).distinct(), "groups")
-    place = asking.select("query", F.explode("lists").alias("list")).join(F.broadcast(where), "list").groupBy("query", "g").agg(F.collect_list("list").alias("lists"))
-    right = place.join(asking.select("query", "v"), "query").withColumn("b", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
-
-    def scan(lists: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(lists) or not len(q):
-            return pd.DataFrame({"query": [], "found": []})
-        rows = np.frombuffer(b"".join(lists["v"]), np.float64).reshape(-1, dim)
-        of = lists["list"].to_numpy()
-        ids = list(lists["ids"])
-        first = np.array([x[0] for x in ids])
-        out = []
-        for i in range(0, len(q), 256):
-            s = np.frombuffer(b"".join(q["v"].iloc[i : i + 256]), np.float64).reshape(-1, dim) @ rows.T
-            for row, query, mine in zip(s, q["query"].iloc[i : i + 256], q["lists"].iloc[i : i + 256]):
-                at = np.flatnonzero(np.isin(of, mine))
-                if len(at) > 4 * (k + 2):
-                    cut = np.partition(row[at], len(at) - REPLICAS * (k + 1))[len(at) - REPLICAS * (k + 1)]
-                    at = at[row[at] >= cut]  # with all that tie
-                at = at[np.lexsort((first[at], -row[at]))]
-                best = {int(v): float(row[z]) for z in at[: REPLICAS * (k + 1)] for v in ids[z] if v != query}
-                some = sorted(best.items(), key=lambda e: (-e[1], e[0]))[:k]
-                out.append((query, np.array([v for v, _ in some], np.int64).tobytes() + np.array([e for _, e in some]).tobytes()))
-        return pd.DataFrame(out, columns=["query", "found"])
+
+    def queries_to_groups(batches):
+        """One row for each query and group that holds some of its lists."""
+        for b in batches:
+            out = []
+            for query, v, lists in zip(*(b.column(c).to_pylist() for c in range(3))):
+                lists = np.array([c for c in lists if first[c + 1] > first[c]], np.int64)
+                lo, hi = first[lists] // GROUP_ROWS, (first[lists + 1] - 1) // GROUP_ROWS
+                span = hi - lo + 1
+                group = np.repeat(lo, span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
+                order = np.argsort(group, kind="stable")
+                cut = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) > 0])) if len(group) else []
+                held = np.repeat(lists, span)[order]
+                out += [(int(group[order[i]]), 1, query, held[i:j].astype("<i4").tobytes(), v) for i, j in zip(cut, [*cut[1:], len(order)])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["g", "kind", "id", "x", "v"])
+
+    def postings_to_groups(batches):
+        for b in batches:
+            lists, ids = b.column(0).to_numpy(), b.column(1).to_pylist()
+            low, size = first[lists], first[lists + 1] - first[lists]
+            spread = (np.array([i[0] for i in ids], np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(11)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((low + spread % size) // GROUP_ROWS), pa.array(np.zeros(len(ids), np.int32)), pa.array(lists), pa.array([np.array(i, "<i8").tobytes() for i in ids], pa.binary()), b.column(2)], names=["g", "kind", "id", "x", "v"])
+
+    schema = "g long, kind int, id long, x binary, v binary"
+    places, asked = postings.mapInArrow(postings_to_groups, schema), materialize(asking.mapInArrow(queries_to_groups, schema), "asked")
+    # Only a group with very many queries is given out several times, each time for a block of them.
+    hot = materialize(asked.groupBy("g").count().where(F.col("count") > QUERY_BLOCK).select("g", F.ceil(F.col("count") / QUERY_BLOCK).cast("int").alias("blocks")), "hot")
+    one = F.coalesce("blocks", F.lit(1))
+    left = places.join(small(hot), "g", "left").withColumn("b", F.explode(F.sequence(F.lit(0), one - 1)))
+    right = asked.join(small(hot), "g", "left").withColumn("b", F.pmod(F.xxhash64("id"), one).cast("int"))
+    cols = ["g", "b", "kind", "id", "x", "v"]
+    tasks = max(1, min(-(-int(first[-1]) // GROUP_ROWS), 100_000))
+    both = left.select(cols).unionAll(right.select(cols)).repartition(tasks, "g", "b").sortWithinPartitions("g", "b", "kind")
+
+    def scan(batches):
+        """Holds one group's rows at a time; its queries pass by in blocks."""
+        held, rows, key, asked = [], None, None, []
+        for b in batches:
+            for g, part, kind_, i, x, v in zip(*(b.column(c).to_pylist() for c in range(6))):
+                if (g, part) != key:
+                    yield from answer(rows, asked)
+                    held, rows, key, asked = [], None, (g, part), []
+                if kind_ == 0:
+                    held.append((i, x, v))
+                    continue
+                if rows is None:
+                    rows, held = Rows(held, block), []
+                asked.append((i, x, v))
+                if len(asked) >= 128:
+                    yield from answer(rows, asked)
+                    asked = []
+        yield from answer(rows, asked)
+
+    def answer(rows, asked):
+        if not asked or not len(rows.of):
+            return
+        s = block([v for _, _, v in asked]) @ rows.v.T
+        wanted = np.zeros((len(asked), len(rows.lists)), bool)
+        for r, (_, x, _) in enumerate(asked):
+            c = np.searchsorted(rows.lists, np.frombuffer(x, "<i4"))
+            wanted[r, c[(c < len(rows.lists)) & (rows.lists[np.minimum(c, len(rows.lists) - 1)] == np.frombuffer(x, "<i4"))]] = True
+        s[~wanted[:, rows.of]] = -np.inf
+        m, out = REPLICAS * (k + 1), []
+        least = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m] if s.shape[1] > m else np.full(len(s), -np.inf)
+        for row, low, (query, _, _) in zip(s, least, asked):
+            at = np.flatnonzero((row >= low) & (row > -np.inf))  # with all that tie
+            at = at[np.lexsort((rows.first[at], -row[at]))][:m]
+            best: dict[int, float] = {}
+            for z in at:
+                for v in rows.ids[z]:
+                    if v != query:
+                        best.setdefault(v, float(row[z]))
+            some = sorted(best.items(), key=lambda e: (-e[1], e[0]))[:k]
+            out.append((query, np.array([v for v, _ in some], np.int64).tobytes() + np.array([e for _, e in some]).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([q for q, _ in out], pa.int64()), pa.array([f for _, f in out], pa.binary())], names=["query", "found"])
 
     def merge(batches):
         for b in batches:
@@ -377,15 +451,26 @@ def _search(classes: DataFrame, queries: DataFrame, k: int, dim: int, read: floa
                 best: dict[int, float] = {}
                 for x in found:
                     h = len(x) // 2
-                    best.update(zip(np.frombuffer(x[:h], np.int64).tolist(), np.frombuffer(x[h:], np.float64).tolist()))
+                    for v, e in zip(np.frombuffer(x[:h], np.int64).tolist(), np.frombuffer(x[h:], np.float64).tolist()):
+                        best[v] = max(e, best.get(v, e))
                 out += [(query, i + 1, v, e) for i, (v, e) in enumerate(sorted(best.items(), key=lambda z: (-z[1], z[0]))[:k])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["query_id", "rank", "vec_id", "score"])
 
-    hits = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInPandas(scan, "query long, found binary")
+    hits = both.mapInArrow(scan, "query long, found binary")
     return hits.groupBy("query").agg(F.collect_list("found").alias("found")).mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
 
 
+class Rows:
+    """A group's posting rows: vectors, ids, least ids, and each one's list by its place among the group's lists."""
+
+    def __init__(self, held: list[tuple], block):
+        self.v = block([v for _, _, v in held])
+        self.ids = [np.frombuffer(x, "<i8").tolist() for _, x, _ in held]
+        self.first = np.array([i[0] for i in self.ids], np.int64)
+        self.lists, self.of = np.unique(np.array([i for i, _, _ in held], np.int64), return_inverse=True)
+
+
 def op9_nearest(spark, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 

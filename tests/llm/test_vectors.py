@@ -131,3 +131,48 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert {i: got.get(i, i) for i in want} == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_with_one_id(spark):
+    """An id on several vectors: each row is a node of its own, and a row without a partner has no links."""
+    rng = np.random.default_rng(8)
+    a, b, c = rng.standard_normal((3, 16))
+    near = lambda v: (v + 0.005 * rng.standard_normal(16)).tolist()
+    rows = [(5, a.tolist(), 1), (5, b.tolist(), 1), (7, near(b), 1), (9, near(a), 1), (9, c.tolist(), 1), (9, c.tolist(), 1), (3, near(c), 2), (2, near(c), 1), (None, a.tolist(), 1), (5, a.tolist(), 1)]
+    d = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, label int, row int, rep int").repartition(3)
+    links, comp = brute_links([(i, v, k if r[0] is not None else None) for i, (r, v, k) in enumerate((r, r[1], r[2]) for r in rows)])
+    least: dict = {}
+    for i, r in enumerate(rows):
+        least.setdefault(comp[i], []).append(r[0])
+    want = sorted([(r[0], links[i], min(least[comp[i]], key=lambda x: (x is None, x))) for i, r in enumerate(rows)], key=repr)
+    assert sorted([(r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(d).collect()], key=repr) == want
+    got = by_query(vectors.nearest(d, F.col("vec_id") == 9).collect())
+    assert {r.vec_id for r in got[9]} == {2, 3, 5, 7}
+
+
+def test_too_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "DIMS", 2)
+    d = spark.createDataFrame([(i, [1.0] * (i + 1)) for i in range(3)], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        vectors.nearest(d, F.col("vec_id") == 0)
+    assert vectors.nearest(d.limit(2), F.col("vec_id") >= 0).count() == 0
+
+
+def test_blocks_of_queries(spark, sf, monkeypatch):
+    """Small groups and blocks give the same rows; postings go out once for each block of a hot group's queries, not of all queries."""
+    table = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/embeddings.parquet")
+    want = sorted(map(tuple, vectors.nearest(table, F.col("vec_id") % 5 == 0).collect()))
+    monkeypatch.setattr(vectors, "GROUP_ROWS", 300)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 40)
+    got = sorted(map(tuple, vectors.nearest(table, F.col("vec_id") % 5 == 0).collect()))
+    assert [g[:3] for g in got] == [w[:3] for w in want] and np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-12)
+
+
+def test_share_of_lists(spark):
+    """Clustered vectors: a fifth of the lists at most is walked to and few are read, and nearly all neighbours are found."""
+    rng = np.random.default_rng(2)
+    centers = rng.standard_normal((40, 24)) * 3
+    rows = [(i, (centers[i % 40] + rng.standard_normal(24)).tolist()) for i in range(6000)]
+    want = brute_nearest(rows, {r[0] for r in rows if r[0] % 100 == 0})
+    got = by_query(vectors.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0).collect())
+    assert recall(got, want) >= 0.95
