@@ -65,23 +65,55 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes a frame as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _RECORDING:
+        made.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_RECORDING: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def recorded(made: list[str]):
+    """Notes the paths of the frames that are materialised inside, so that ``sweep`` can delete them."""
+    _RECORDING.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDING.remove(made)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def sweep(spark: SparkSession, made: list[str], keep: DataFrame | None = None) -> None:
+    """Deletes noted frames whose results have been written, but for those that ``keep`` reads."""
+    used = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for f in keep.inputFiles()} if keep is not None and made else set()
+    for path in [x for x in made if x.rsplit("/", 1)[-1] not in used]:
+        _delete(spark, path)
+        made.remove(path)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark clean up shuffle files that no frame refers to any more; else they stay until the driver happens to collect garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
+def drop_files(*frames: DataFrame) -> None:
+    """Deletes the files of materialised frames whose results have been written."""
+    for df in frames:
+        for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            _delete(df.sparkSession, path)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a materialised frame whose results have been written, and shuffle files that are no longer needed."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    release(spark)
+    drop_files(df)
+    release(df.sparkSession)
 
 
 def width(df: DataFrame) -> Column:
