@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
 from tessera.llm.ngrams import carried
-from tessera.session import materialize, ship, small, tidy
+from tessera.session import drop_files, materialize, ship, small, tidy
 
 #: Counters of the document-frequency sketch, its parts when it is summed, and the number of least-token orders that draw copies together.
 SKETCH_BITS, PARTS, LEAST = 22, 64, 4
@@ -189,7 +189,9 @@ def verified(pairs: DataFrame, docs: DataFrame, n: int, percent: int, frequency)
     of = lambda c, *cols: sets.select(F.col("row").alias(c), *(F.col(x).alias(c + x) for x in cols))
     near = pairs.join(of("a", "p1", "p2"), "a").join(of("b", "p1", "p2"), "b").where(F.arrays_overlap("ap1", "bp1") & F.arrays_overlap("ap2", "bp2")).select("a", "b")
     both = near.join(of("a", "t"), "a").join(of("b", "t"), "b").select("a", "b", F.size("at").alias("na"), F.size("bt").alias("nb"), F.size(F.array_intersect("at", "bt")).alias("i"))
-    return both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b")
+    links = materialize(both.where(F.col("i") * 100 >= (F.col("na") + F.col("nb") - F.col("i")) * percent).select("a", "b"), "links")
+    drop_files(pairs, ids, sets)
+    return links
 
 
 def pairs_of_runs(token, rep, comp, n, pos, percent: int):
@@ -285,15 +287,16 @@ def _numbered(docs: DataFrame, carry: list[str]) -> DataFrame:
 
 
 def _classes(docs: DataFrame, n: int):
-    """The sketch, the classes of equal sets (rep: a row, copies, and the row of the least id: z, d, r) and each row's class."""
+    """The sketch, the classes of equal sets (rep: the row of the least id; z, d: whether that is null, and it; copies) and each row's class."""
     rows = materialize(signed(docs, n), "signed")
     frequency = docs.sparkSession.sparkContext.broadcast(document_frequencies(rows))
-    rows = rows.where("part is null").drop("part", "counts")
+    signs, rows = rows, rows.where("part is null").drop("part", "counts")
     own = F.min(F.struct(F.isnull("doc_id").alias("z"), F.col("doc_id").alias("d"), F.col("row").alias("r"))).alias("own")
-    classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("row").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("least").alias("least"), own)
-    classes = materialize(classes.select("h1", "h2", "rep", "copies", "n", "least", "own.*"), "classes")
-    members = rows.select("row", "doc_id", "n", "h1", "h2").join(small(classes.select("h1", "h2", "rep", "copies", "d", "r")), ["h1", "h2"], "left")
-    members = materialize(members.select("row", "doc_id", "n", *(F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("rep", "copies", "d", "r"))), "members")
+    classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("least").alias("least"), own)
+    classes = materialize(classes.select("h1", "h2", F.col("own.r").alias("rep"), "copies", "n", "least", "own.z", "own.d"), "classes")
+    members = rows.select("row", "doc_id", "n", "h1", "h2").join(small(classes.select("h1", "h2", "rep", "copies", "d")), ["h1", "h2"], "left")
+    members = materialize(members.select("row", "doc_id", "n", *(F.when(F.col("n") > 0, F.col(c)).alias(c) for c in ("rep", "copies", "d"))), "members")
+    drop_files(signs)
     return frequency, classes, members
 
 
@@ -308,21 +311,22 @@ def _result(members: DataFrame, classes: DataFrame, links: DataFrame) -> DataFra
     """Components of classes mapped to the least id, and the row that has it, over all their rows."""
     comp = materialize(components(links), "comp")
     linked = comp.unionAll(comp.select(F.col("component").alias("node"), "component").distinct())
-    best = linked.join(classes.select(F.col("rep").alias("node"), "z", "d", "r"), "node").groupBy("component").agg(F.min(F.struct("z", "d", "r")).alias("m"))
-    best = materialize(best.select("component", F.col("m.d").alias("cd"), F.col("m.r").alias("cr")), "best")
+    best = linked.join(classes.select(F.col("rep").alias("node"), "z", "d"), "node").groupBy("component").agg(F.min(F.struct("z", "d", "node")).alias("m"))
+    best = materialize(best.select("component", F.col("m.d").alias("cd"), F.col("m.node").alias("cr")), "best")
     ends = materialize(linked.join(small(best), "component").select(F.col("node").alias("rep"), "cd", "cr"), "ends")
     out = members.join(small(ends), "rep", "left")
-    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), "rep", "copies", F.coalesce("cd", "d", "doc_id").alias("component_id"), (F.coalesce("cr", "r", "row") == F.col("row")).alias("kept"))
+    return out.select("row", "doc_id", F.col("n").alias("n_shingles"), "rep", "copies", F.coalesce("cd", "d", "doc_id").alias("component_id"), (F.coalesce("cr", "rep", "row") == F.col("row")).alias("kept"))
 
 
 def _grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     frequency, classes, members = _classes(docs, n)
-    # Near copies are drawn together: each class is compared with the least row among the holders of its least tokens.
-    least = materialize(classes.select("rep", "n", F.posexplode("least").alias("k", "token")), "least")
-    pivots = materialize(least.groupBy("k", "token").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("k", "token", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn")), "pivots")
+    # Near copies are drawn together: each class is compared with the least id among the holders of its least tokens, for an original usually comes before its copies.
+    least = materialize(classes.select("z", "d", "rep", "n", F.posexplode("least").alias("k", "token")), "least")
+    pivots = materialize(least.groupBy("k", "token").agg(F.min(F.struct("z", "d", "rep", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("k", "token", F.col("p.rep").alias("pivot"), F.col("p.n").alias("pn")), "pivots")
     drawn = least.join(small(pivots), ["k", "token"]).where((F.col("rep") != F.col("pivot")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(verified(drawn, docs, n, percent, frequency), "links")
+    links = verified(drawn, docs, n, percent, frequency)
     comp = materialize(components(links), "comp")
+    drop_files(least, pivots)
     more = verified(candidates(docs, _known(members, comp), n, percent, frequency), docs, n, percent, frequency)
     return _result(members, classes, comp.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
 
@@ -343,7 +347,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, n_links (other rows linked directly), component_id: every pair of different sets is made, none inside a group left out."""
     rows = _numbered(docs, [])
     frequency, classes, members = _classes(rows, n)
-    links = materialize(verified(candidates(rows, _known(members, None), n, percent, frequency), rows, n, percent, frequency), "links")
+    links = verified(candidates(rows, _known(members, None), n, percent, frequency), rows, n, percent, frequency)
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     copies = classes.select(F.col("rep").alias("b"), "copies")
     count = materialize(both.join(copies, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("more")), "counts")
