@@ -9,10 +9,13 @@ stays; repeated rows are copies there. Very long texts are taken whole. Empty ta
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, ngramjoin, packing, quality, suffixdedup
+from tessera.session import recorded, release, sweep
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A document goes when its quality score is under this. On the labelled held-out rows of sf0.1, 0.5 (the classifier's own border) drops more
@@ -20,22 +23,42 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_QUALITY = 0.3
 
 
+_MADE: list[str] = []
+
+
+def stage(decide):
+    """A stage begins when the one before it has been written: intermediate tables of earlier stages go then, unless ``docs`` still reads them."""
+
+    @functools.wraps(decide)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark, _MADE, docs)
+        release(spark)
+        with recorded(_MADE):
+            return decide(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows without a letter or outside the radius of every language."""
     return langid.identify(docs, langid.train(docs), COLUMNS).where(~F.col("rejected")).select(*COLUMNS)
 
 
+@stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows that the quality classifier scores under LEAST_QUALITY."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model, COLUMNS).where(F.col("score") >= LEAST_QUALITY).select(*COLUMNS)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group linked by five-word shingles at a similarity of 0.8: the first with the least id."""
     return ngramjoin.keep_one(docs, COLUMNS, 5, 80)
 
 
+@stage
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that a document with a smaller id has too; characters that a cut leaves in parts go, and rows left without a letter or digit go."""
     kept = suffixdedup.remove_repeats(docs.select(*COLUMNS), carry=["lang", "source"])
@@ -44,6 +67,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("text", whole).where(F.col("text").rlike(r"[\p{L}\p{N}]")).select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 4096 tokens: doc_id, start, length, ids, doc_tokens, sequence_id, offset."""
     return packing.pack_texts(docs)
