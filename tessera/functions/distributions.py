@@ -63,10 +63,43 @@ class Prior:
         """After rows with count n, sum and sum of outer products: statistics that merge in any order."""
         if n <= 0:
             return self
-        k = self.k + n
-        m = (self.k * self.mean + sums) / k
-        s = self.scatter + squares + self.k * np.outer(self.mean, self.mean) - k * np.outer(m, m)
-        return Prior(m, k, (s + s.T) / 2, self.dof + n)
+        mean = sums / n
+        return self.absorb(n, mean, squares - n * np.outer(mean, mean))
+
+    def absorb(self, n: float, mean: np.ndarray, scatter: np.ndarray) -> Prior:
+        """After rows with count n, mean and scatter around that mean: no raw moments are subtracted, so values far from zero lose no digits."""
+        if n <= 0:
+            return self
+        k, away = self.k + n, mean - self.mean
+        s = self.scatter + scatter + self.k * n / k * np.outer(away, away)
+        return Prior(self.mean + n / k * away, k, (s + s.T) / 2, self.dof + n)
+
+    def remove(self, row: np.ndarray) -> Prior:
+        """Before a row was absorbed."""
+        k = self.k - 1
+        mean = (self.k * self.mean - row) / k
+        away = row - mean
+        s = self.scatter - k / self.k * np.outer(away, away)
+        return Prior(mean, k, (s + s.T) / 2, self.dof - 1)
+
+    def merge(self, other: Prior, base: Prior) -> Prior:
+        """All rows of two that grew from one base, which counts once."""
+        n = other.k - base.k
+        if n <= 0:
+            return self
+        mean = (other.k * other.mean - base.k * base.mean) / n
+        away = mean - base.mean
+        return self.absorb(n, mean, other.scatter - base.scatter - base.k * n / other.k * np.outer(away, away))
+
+    def reweight(self, k: float, dof: float | None = None) -> Prior:
+        """The same mean and expected covariance with the weight of so many rows."""
+        dof = k if dof is None else dof
+        return Prior(self.mean.copy(), k, self.scatter * dof / self.dof, dof)
+
+    def safe(self, floor: float = 1e-12) -> Prior:
+        """A scatter matrix made positive definite by raising its eigenvalues."""
+        value, vector = np.linalg.eigh((self.scatter + self.scatter.T) / 2)
+        return Prior(self.mean, self.k, (vector * np.maximum(value, floor)) @ vector.T, max(self.dof, len(self.mean)))
 
     def predictive(self) -> tuple[float, np.ndarray, np.ndarray]:
         """(dof, location, scale) of the t of a new row."""

@@ -6,6 +6,7 @@ neighbouring cells by equality, so it shuffles and spills like any equi-join.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -15,9 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
+from tessera.session import width
 
 #: Rounds of a fit that runs until it rests; one that needs more raises.
 MOST_ROUNDS = 10_000
+#: Bytes of a model that is sent to every task.
+MODEL_BYTES = 32 << 20
 
 
 def range_join(left: DataFrame, right: DataFrame, dims: list[tuple[str, str]], radius: float) -> DataFrame:
@@ -34,6 +38,7 @@ def range_join(left: DataFrame, right: DataFrame, dims: list[tuple[str, str]], r
 
 def kde(queries: DataFrame, data: DataFrame, q: str, x: str, kernel: str, scale: float) -> DataFrame:
     """Density at each query (id, q) under data (x) with one-dimensional kernel and inverse bandwidth; queries without neighbours have 0."""
+    data = data.where(F.col(x).isNotNull())  # a null is no row of the density
     a = queries.select("id", (F.col(q) * scale).alias("_q"))
     b = data.select((F.col(x) * scale).alias("_x"))
     sums = range_join(a, b, [("_q", "_x")], kernels.RANGE[kernel]).groupBy("id").agg(F.sum(kernels.density(kernel, F.col("d"))).alias("s"))
@@ -44,6 +49,7 @@ def kde(queries: DataFrame, data: DataFrame, q: str, x: str, kernel: str, scale:
 
 def self_density(data: DataFrame, x: str, kernel: str, scale: float, leave_out: bool) -> DataFrame:
     """Density at each row (id, x) under all rows; with leave_out, the row itself does not count."""
+    data = data.where(F.col(x).isNotNull())
     a = data.select("id", (F.col(x) * scale).alias("_q"))
     b = data.select(F.col("id").alias("_id"), (F.col(x) * scale).alias("_x"))
     pairs = range_join(a, b, [("_q", "_x")], kernels.RANGE[kernel])
@@ -63,10 +69,19 @@ def density_entropy(data: DataFrame, x: str, kernel: str, scale: float) -> DataF
     return self_density(data, x, kernel, scale, False).agg((-F.avg(F.log("density"))).alias("entropy"))
 
 
+def model_row(model: DataFrame, columns: list[str]) -> DataFrame:
+    """A model as one row with one array of its parts (column `_model`), for joining to every row; a model beyond MODEL_BYTES is refused."""
+    n, held = model.agg(F.count("*"), F.sum(width(model.select(*columns)))).first()
+    if (held or 0) > MODEL_BYTES:
+        raise ValueError(f"a model of {n} parts and {held} bytes; the limit is {MODEL_BYTES}")
+    return model.agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_model"))
+
+
 def nearest_center(rows: DataFrame, centers: DataFrame, id_col: str, vector: str, keep: list[str] | None = None) -> DataFrame:
-    """Each row's nearest centre (center, v): the centres are a model, broadcast."""
-    d = kernels.squared_distance(F.col(vector), F.col("v"))
-    return rows.crossJoin(F.broadcast(centers)).groupBy(id_col, *(keep or [])).agg(F.min(F.struct(d.alias("d"), F.col("center"))).alias("best")).select(id_col, *(keep or []), F.col("best.center").alias("center"), F.col("best.d").alias("d2"))
+    """Each row's nearest centre (center, v), ties to the lower one; every row gives one, repeated ones too, by a projection alone. Rows without a vector or centres give none."""
+    near = F.array_min(F.transform("_model", lambda c: F.struct(kernels.squared_distance(F.col(vector), c["v"]).alias("d"), c["center"].alias("center"))))
+    got = rows.where(F.col(vector).isNotNull()).crossJoin(F.broadcast(model_row(centers, ["center", "v"]))).where(F.size("_model") > 0)
+    return got.select(id_col, *(keep or []), near.alias("best")).select(id_col, *(keep or []), F.col("best.center").alias("center"), F.col("best.d").alias("d2"))
 
 
 def nearest_rows(centers: DataFrame, rows: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
@@ -74,7 +89,8 @@ def nearest_rows(centers: DataFrame, rows: DataFrame, id_col: str, vector: str,
     from pyspark.sql import Window
 
     d = kernels.squared_distance(F.col(vector), F.col("v"))
-    pairs = rows.crossJoin(F.broadcast(centers)).select("center", id_col, d.alias("d2"))
+    parts = rows.crossJoin(F.broadcast(model_row(centers, ["center", "v"]))).select(id_col, vector, F.explode("_model").alias("c")).select(id_col, vector, "c.*")
+    pairs = parts.select("center", id_col, d.alias("d2"))
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("center").orderBy("d2", id_col))).where(F.col("rank") <= k)
 
 
@@ -84,11 +100,12 @@ def mean_vectors(rows: DataFrame, by: Column, vector: str) -> DataFrame:
     return parts.groupBy("center").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("v"))
 
 
-def kmeans(rows: DataFrame, k: int, id_col: str, vector: str, rounds: int | None = None) -> DataFrame:
+def kmeans(rows: DataFrame, k: int, id_col: str, vector: str, rounds: int | None = None, seed: int = 0) -> DataFrame:
     """(center, v) of Lloyd's algorithm from k rows spread by a hash of the id, until no row changes its centre; a bound of MOST_ROUNDS raises. A number of rounds given is done without that test. A centre without rows is dropped."""
     spark = rows.sparkSession
     data = rows.where(F.col(vector).isNotNull())
-    start = data.orderBy(F.xxhash64(id_col), id_col).limit(k).select(F.xxhash64(id_col).alias("center"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
+    spread = F.xxhash64(id_col, F.lit(seed)) if seed else F.xxhash64(id_col)
+    start = data.orderBy(spread, id_col).limit(k).select(F.xxhash64(id_col).alias("center"), F.transform(vector, lambda x: x.cast("double")).alias("v"))
     got = start.collect()  # k rows
     ids, v, before = np.array([r["center"] for r in got], np.int64), np.array([r["v"] for r in got], float), None
     for done in range(MOST_ROUNDS if rounds is None else rounds):
@@ -126,3 +143,46 @@ def _lloyd(data: DataFrame, ids: np.ndarray, v: np.ndarray, before: tuple[np.nda
     got = sorted(data.mapInArrow(step, "part int, n array<double>, s array<double>, moved long").collect())  # a row for each task
     sent.destroy()
     return np.sum([r["n"] for r in got], axis=0), np.sum([r["s"] for r in got], axis=0).reshape(v.shape), sum(r["moved"] for r in got)
+
+
+def best_scale(data: DataFrame, x: str, kernel: str, scales: list[float], limit: float = 1e-16) -> DataFrame:
+    """(scale, nll) of each inverse bandwidth: the negative log likelihood of every row under the others. All scales share one range join at the widest bandwidth's radius."""
+    data = data.where(F.col(x).isNotNull())
+    radius = kernels.RANGE[kernel] / min(scales)
+    rows = data.select("id", F.col(x).cast("double").alias("_q"))
+    pairs = range_join(rows, data.select(F.col("id").alias("_id"), F.col(x).cast("double").alias("_x")), [("_q", "_x")], radius).where(F.col("id") != F.col("_id"))
+    term = lambda s: F.when(F.col("d") * s < kernels.RANGE[kernel], kernels.density(kernel, F.col("d") * s) * (s / kernels.normaliser(kernel))).otherwise(0.0)
+    sums = pairs.groupBy("id").agg(F.array(*[F.sum(term(s)) for s in scales]).alias("sums"))
+    n = data.agg((F.count("*") - 1).alias("n"))
+    each = rows.join(sums, "id", "left").crossJoin(F.broadcast(n)).select(*[F.coalesce(F.element_at("sums", i + 1) / F.col("n"), F.lit(0.0)).alias(f"p{i}") for i in range(len(scales))])
+    nll = each.agg(*[F.sum(-F.log(F.greatest(f"p{i}", F.lit(limit)))).alias(f"p{i}") for i in range(len(scales))])
+    return nll.select(F.explode(F.array(*[F.struct(F.lit(float(s)).alias("scale"), F.col(f"p{i}").alias("nll")) for i, s in enumerate(scales)])).alias("r")).select("r.*")
+
+
+def kl_divergence(p: DataFrame, q: DataFrame, x: str, kernel: str, p_scale: float, q_scale: float, limit: float = 1e-16) -> DataFrame:
+    """Divergence of the density of q from that of p, taken over the rows of p; densities are floored."""
+    own = self_density(p, x, kernel, p_scale, False).select("id", F.col("density").alias("a"))
+    other = kde(p.where(F.col(x).isNotNull()), q, x, x, kernel, q_scale).select("id", F.col("density").alias("b"))
+    return own.join(other, "id").agg(F.avg(F.log(F.greatest("a", F.lit(limit))) - F.log(F.greatest("b", F.lit(limit)))).alias("kl"))
+
+
+def kmeans_nll(rows: DataFrame, centers: DataFrame, id_col: str, vector: str) -> DataFrame:
+    """(nll, var, n, k): rows under isotropic Gaussians of one variance at their nearest centres, that variance being all squared distances over rows less centres."""
+    at = nearest_center(rows, centers, id_col, vector, [vector])
+    d = F.first(F.size(vector)).cast("double")
+    per = at.groupBy("center").agg(F.count("*").cast("double").alias("c"), F.sum("d2").alias("s"), d.alias("d"))
+    s = per.agg(F.sum("c").alias("n"), F.count("*").alias("k"), F.sum("s").alias("s"), F.max("d").alias("d"), F.sum(F.col("c") * F.log("c")).alias("clc"))
+    var = F.greatest(F.col("s") / F.greatest(F.col("n") - F.col("k"), F.lit(1.0)), F.lit(1e-12))
+    nll = F.col("s") / (2 * var) + F.col("n") / 2 * F.col("d") * F.log(2 * math.pi * var) - (F.col("clc") - F.col("n") * F.log("n"))
+    return s.select(nll.alias("nll"), var.alias("var"), F.col("n").cast("long").alias("n"), "k")
+
+
+def kmeans_restarts(rows: DataFrame, k: int, id_col: str, vector: str, restarts: int = 8) -> DataFrame:
+    """(center, v) of the best of several k-means fits, each from k rows spread by another hash, by its likelihood."""
+    best = None
+    for r in range(restarts):
+        centers = kmeans(rows, k, id_col, vector, seed=r)
+        nll = kmeans_nll(rows, centers, id_col, vector).first()["nll"]
+        if nll is not None and (best is None or nll < best[0]):
+            best = nll, centers
+    return best[1] if best else kmeans(rows, k, id_col, vector)

@@ -21,8 +21,8 @@ def shift(points: DataFrame, data: DataFrame, dims: list[str], kernel: str) -> D
     return moved.select("id", *[F.when(F.col("_t") > 0, F.col(f"_s{c}") / F.col("_t")).otherwise(F.col(c)).alias(c) for c in dims])
 
 
-def modes(points: DataFrame, data: DataFrame, dims: list[str], kernel: str = "gaussian", epsilon: float = 1e-3, rounds: int = 100) -> DataFrame:
-    """(id, dims...): where each point comes to rest."""
+def modes(points: DataFrame, data: DataFrame, dims: list[str], kernel: str = "gaussian", epsilon: float = 1e-3, rounds: int = 1000) -> DataFrame:
+    """(id, dims...): where each point comes to rest; points that still move after so many rounds raise."""
     rest, moving = None, materialize(points.select("id", *[F.col(c).cast("double").alias(c) for c in dims]), "points")
     for _ in range(rounds):
         old = moving.select("id", *[F.col(c).alias(f"_o{c}") for c in dims])
@@ -33,10 +33,10 @@ def modes(points: DataFrame, data: DataFrame, dims: list[str], kernel: str = "ga
         moving = now.where("not still").select("id", *dims)
         if not moving.take(1):
             return rest
-    return rest.unionByName(moving)
+    raise RuntimeError(f"some points are not at rest after {rounds} rounds")
 
 
-def cluster(data: DataFrame, dims: list[str], kernel: str = "gaussian", merge_range: float = 0.5, epsilon: float = 1e-3, rounds: int = 100) -> DataFrame:
+def cluster(data: DataFrame, dims: list[str], kernel: str = "gaussian", merge_range: float = 0.5, epsilon: float = 1e-3, rounds: int = 1000) -> DataFrame:
     """(id, dims... of the mode, cluster: least id of the modes linked within the merge range). Modes are merged by grid cells first, so a cluster's points are not joined with each other."""
     at = materialize(modes(data, data, dims, kernel, epsilon, rounds), "modes")
     cells = [F.floor(F.col(c) / (merge_range / 4)).alias(f"_g{c}") for c in dims]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
-from tessera.operators.density import MOST_ROUNDS, mean_vectors, nearest_center
+from tessera.operators.density import MOST_ROUNDS, kmeans, mean_vectors, model_row, nearest_center
 
 FLOOR = 1e-6
 
@@ -71,17 +71,30 @@ def _em(data: DataFrame, model: tuple, before: tuple | None):
 
 
 def responsibilities(rows: DataFrame, model: DataFrame, id_col: str, vector: str, d: int) -> DataFrame:
-    """(id, vector, center, d2, r, norm): each row's share of each component, and its log likelihood."""
-    d2 = kernels.squared_distance(F.col(vector), F.col("v"))
-    log_p = F.log("weight") - d / 2 * (F.log("var") + math.log(2 * math.pi)) - F.col("d2") / (2 * F.col("var"))
-    scored = rows.select(id_col, vector).crossJoin(F.broadcast(model)).withColumn("d2", d2).withColumn("p", log_p)
-    top = scored.groupBy(id_col, vector).agg(F.max("p").alias("m"), F.collect_list(F.struct("center", "d2", "p")).alias("all"))
-    norm = F.col("m") + F.log(F.aggregate("all", F.lit(0.0), lambda s, x: s + F.exp(x["p"] - F.col("m"))))
-    return top.withColumn("norm", norm).select(id_col, vector, "norm", F.explode("all").alias("c")).select(id_col, vector, "c.center", "c.d2", F.exp(F.col("c.p") - F.col("norm")).alias("r"), "norm")
+    """(id, vector, center, d2, r, norm): each row's share of each component, and its log likelihood. Every row gives its own shares, repeated ones too, without a shuffle."""
+    parts = F.transform("_model", lambda c: F.struct(c["center"].alias("center"), c["var"].alias("var"), c["weight"].alias("weight"), kernels.squared_distance(F.col(vector), c["v"]).alias("d2")))
+    scored = rows.where(F.col(vector).isNotNull()).crossJoin(F.broadcast(model_row(model, ["center", "v", "var", "weight"]))).select(id_col, vector, parts.alias("parts"))
+    log_p = lambda c: F.log(c["weight"]) - d / 2 * (F.log(c["var"]) + math.log(2 * math.pi)) - c["d2"] / (2 * c["var"])
+    scored = scored.select(id_col, vector, F.transform("parts", lambda c: F.struct(c["center"].alias("center"), c["d2"].alias("d2"), log_p(c).alias("p"))).alias("parts"))
+    top = F.array_max(F.transform("parts", lambda c: c["p"]))
+    scored = scored.withColumn("m", top).withColumn("norm", F.col("m") + F.log(F.aggregate("parts", F.lit(0.0), lambda s, x: s + F.exp(x["p"] - F.col("m")))))
+    return scored.select(id_col, vector, "norm", F.explode("parts").alias("c")).select(id_col, vector, "c.center", "c.d2", F.exp(F.col("c.p") - F.col("norm")).alias("r"), "norm")
 
 
 def bic(log_likelihood: float, parameters: int, n: int) -> float:
     return parameters * math.log(n) - 2 * log_likelihood
 
 
-__all__ = ["bic", "fit_isotropic", "mean_vectors", "nearest_center", "responsibilities"]
+def best_count(rows: DataFrame, id_col: str, vector: str, counts: list[int]):
+    """(components, count, [(count, criterion)]): the isotropic mixture, started from k-means, with the least Bayesian information criterion."""
+    n, d = rows.where(F.col(vector).isNotNull()).agg(F.count("*"), F.max(F.size(vector))).first()
+    best, trace = None, []
+    for k in counts:
+        model, likelihood = fit_isotropic(rows, kmeans(rows, k, id_col, vector), id_col, vector)
+        trace.append((k, bic(likelihood[-1], k * (d + 2) - 1, n)))
+        if best is None or trace[-1][1] < best[1]:
+            best = model, trace[-1][1], k
+    return best[0], best[2], trace
+
+
+__all__ = ["best_count", "bic", "fit_isotropic", "mean_vectors", "nearest_center", "responsibilities"]

@@ -1,7 +1,7 @@
 """Weighted sufficient statistics, entropies, splits and scores as mergeable aggregations.
 
-Every window runs over values that have been aggregated first, partitioned by group, so no
-task holds a group's raw rows.
+Running sums go over values that have been aggregated first and are dealt to ranges, so no
+task holds a group's rows.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import materialize
+
 
 def histogram(df: DataFrame, label: str, weight: Column | None = None, by: list[str] | None = None) -> DataFrame:
     """Rows and weight of each class."""
@@ -22,10 +24,28 @@ def entropy(counts: DataFrame, by: list[str], weight: str = "w") -> DataFrame:
 
 
 def gaussian(df: DataFrame, by: list[str], x: Column, y: Column, w: Column) -> DataFrame:
-    """Weighted means, variances and covariance of two features, from sums that merge."""
-    s = df.groupBy(*by).agg(F.sum(w).alias("w"), F.sum(w * x).alias("sx"), F.sum(w * y).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * y * y).alias("syy"), F.sum(w * x * y).alias("sxy"))
-    mx, my = F.col("sx") / F.col("w"), F.col("sy") / F.col("w")
-    return s.select(*by, "w", mx.alias("mean_x"), my.alias("mean_y"), (F.col("sxx") / F.col("w") - mx * mx).alias("var_x"), (F.col("syy") / F.col("w") - my * my).alias("var_y"), (F.col("sxy") / F.col("w") - mx * my).alias("cov"))
+    """Weighted means, variances and covariance of two features. Sums are taken of distances to the group's mean, so that values far from zero lose no digits; rows with a null feature or weight do not count."""
+    rows = df.select(*by, x.cast("double").alias("_x"), y.cast("double").alias("_y"), w.cast("double").alias("_w")).where("_x is not null and _y is not null and _w is not null")
+    mean = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_mx"), (F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_my"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    dx, dy, w = F.col("_x") - F.col("_mx"), F.col("_y") - F.col("_my"), F.col("_w")
+    joined = rows.join(mean, on) if by else rows.crossJoin(F.broadcast(mean))
+    s = joined.groupBy(*by).agg(F.sum(w).alias("w"), F.first("_mx").alias("mx"), F.first("_my").alias("my"), *(F.sum(w * v).alias(n) for n, v in (("sx", dx), ("sy", dy), ("sxx", dx * dx), ("syy", dy * dy), ("sxy", dx * dy))))
+    ex, ey = F.col("sx") / F.col("w"), F.col("sy") / F.col("w")
+    return s.select(*by, "w", (F.col("mx") + ex).alias("mean_x"), (F.col("my") + ey).alias("mean_y"), (F.col("sxx") / F.col("w") - ex * ex).alias("var_x"), (F.col("syy") / F.col("w") - ey * ey).alias("var_y"), (F.col("sxy") / F.col("w") - ex * ey).alias("cov"))
+
+
+def running(df: DataFrame, by: list[str], order: str, sums: list[str]) -> DataFrame:
+    """Adds `run_<c>`: the sum of c over the group's rows up to this one, in the order of distinct values. Rows are dealt to ranges, and what comes before a range is added from totals, of which there are as many as ranges and groups: no task sorts a whole group."""
+    rows = df.repartitionByRange(*by, order).sortWithinPartitions(*by, order).withColumn("_p", F.spark_partition_id())
+    rows = materialize(rows, "ranges")
+    totals = rows.groupBy("_p", *by).agg(*[F.sum(c).alias(f"_t{c}") for c in sums])
+    before = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_p", *[F.col(c).alias(f"_{c}") for c in by], *[F.coalesce(F.sum(f"_t{c}").over(before), F.lit(0.0)).alias(f"_b{c}") for c in sums])
+    own = Window.partitionBy("_p", *by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.select("*", *[F.sum(c).over(own).alias(f"_l{c}") for c in sums])
+    on = [local["_p"] == totals["_p"], *[local[c].eqNullSafe(totals[f"_{c}"]) for c in by]]
+    return local.join(totals, on).select(*[local[c] for c in df.columns], *[(F.col(f"_l{c}") + F.col(f"_b{c}")).alias(f"run_{c}") for c in sums])
 
 
 def split_entropy(total: Column, sums: Column) -> Column:
@@ -38,32 +58,38 @@ def xlogx(w: Column) -> Column:
 
 
 def sweep_split(df: DataFrame, value: str, label: str) -> DataFrame:
-    """For each threshold, the information gain of `value < threshold`: (threshold, gain). The feature's distinct values are bounded or binned first."""
-    counts = df.groupBy(value, label).agg(F.count("*").cast("double").alias("c"))
-    labels = counts.select(label).distinct()
-    grid = counts.select(value).distinct().join(F.broadcast(labels.limit(10_000)), how="cross").join(counts, [value, label], "left").fillna(0.0, ["c"])
-    below = grid.withColumn("lo", F.sum("c").over(Window.partitionBy(label).orderBy(value)) - F.col("c")).withColumn("all", F.sum("c").over(Window.partitionBy(label)))
-    lo, hi = F.col("lo"), F.col("all") - F.col("lo")
-    s = below.groupBy(value).agg(F.sum(lo).alias("l"), F.sum(hi).alias("h"), F.sum(xlogx(lo)).alias("ll"), F.sum(xlogx(hi)).alias("hh"), F.sum("all").alias("t"), F.sum(xlogx(F.col("all"))).alias("tt"))
-    gain = (split_entropy(F.col("t"), F.col("tt")) - split_entropy(F.col("l"), F.col("ll")) - split_entropy(F.col("h"), F.col("hh"))) / F.col("t")
-    return s.where("l > 0").select(F.col(value).alias("threshold"), gain.alias("gain"))
+    """For each threshold, the information gain of `value < threshold`: (threshold, gain). Any number of labels: a side's sum of w log w changes at a value only by the labels that occur there, so it is a running sum itself."""
+    counts = df.where(F.col(value).isNotNull() & F.col(label).isNotNull()).groupBy(value, label).agg(F.count("*").cast("double").alias("c"))
+    totals = counts.groupBy(F.col(label).alias("_label")).agg(F.sum("c").alias("all"))
+    at = running(counts, [label], value, ["c"]).join(totals, F.col(label) == F.col("_label"))
+    after, before = F.col("run_c"), F.col("run_c") - F.col("c")
+    steps = at.groupBy(value).agg(F.sum("c").alias("c"), F.sum(xlogx(after) - xlogx(before)).alias("lo"), F.sum(xlogx(F.col("all") - after) - xlogx(F.col("all") - before)).alias("hi"))
+    s = running(steps, [], value, ["c", "lo", "hi"]).select(value, *[(F.col(f"run_{c}") - F.col(c)).alias(c) for c in ("c", "lo", "hi")])
+    whole = totals.agg(F.sum("all").alias("t"), F.sum(xlogx(F.col("all"))).alias("tt"))
+    t, left = F.col("t"), F.col("c")
+    gain = (split_entropy(t, F.col("tt")) - split_entropy(left, F.col("lo")) - split_entropy(t - left, F.col("tt") + F.col("hi"))) / t
+    return s.crossJoin(F.broadcast(whole)).where("c > 0").select(F.col(value).alias("threshold"), gain.alias("gain"))
 
 
 def category_split(df: DataFrame, category: str, label: str) -> DataFrame:
-    """Information gain of each category alone against the rest: (category, gain)."""
-    counts = df.groupBy(category, label).agg(F.count("*").cast("double").alias("c"))
-    totals = counts.groupBy(label).agg(F.sum("c").alias("all"))
-    pairs = counts.select(category).distinct().join(F.broadcast(totals.limit(10_000)), how="cross").join(counts, [category, label], "left").fillna(0.0, ["c"])
+    """Information gain of each category alone against the rest: (category, gain). Any number of labels: those that a category lacks stay whole on the other side."""
+    counts = df.where(F.col(category).isNotNull() & F.col(label).isNotNull()).groupBy(category, label).agg(F.count("*").cast("double").alias("c"))
+    totals = counts.groupBy(F.col(label).alias("_label")).agg(F.sum("c").alias("all"))
+    at = counts.join(totals, F.col(label) == F.col("_label"))
     own, rest = F.col("c"), F.col("all") - F.col("c")
-    s = pairs.groupBy(category).agg(F.sum(own).alias("l"), F.sum(rest).alias("h"), F.sum(xlogx(own)).alias("ll"), F.sum(xlogx(rest)).alias("hh"), F.sum("all").alias("t"), F.sum(xlogx(F.col("all"))).alias("tt"))
-    return s.select(F.col(category).alias("category"), ((split_entropy(F.col("t"), F.col("tt")) - split_entropy(F.col("l"), F.col("ll")) - split_entropy(F.col("h"), F.col("hh"))) / F.col("t")).alias("gain"))
+    s = at.groupBy(category).agg(F.sum(own).alias("l"), F.sum(xlogx(own)).alias("ll"), F.sum(xlogx(rest) - xlogx(F.col("all"))).alias("dh"))
+    whole = totals.agg(F.sum("all").alias("t"), F.sum(xlogx(F.col("all"))).alias("tt"))
+    t, left = F.col("t"), F.col("l")
+    gain = (split_entropy(t, F.col("tt")) - split_entropy(left, F.col("ll")) - split_entropy(t - left, F.col("tt") + F.col("dh"))) / t
+    return s.crossJoin(F.broadcast(whole)).select(F.col(category).alias("category"), gain.alias("gain"))
 
 
 def weighted_median(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
     """The least value at which the group's cumulative weight reaches one half."""
-    sums = df.groupBy(*by, value).agg(F.sum(F.col(weight).cast("double")).alias("w"))
-    at = sums.withColumn("c", F.sum("w").over(Window.partitionBy(*by).orderBy(value))).withColumn("t", F.sum("w").over(Window.partitionBy(*by)))
-    return at.where(F.col("c") >= F.col("t") / 2).groupBy(*by).agg(F.min(value).alias("median"))
+    sums = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(F.col(weight).cast("double")).alias("w"))
+    total = sums.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sum("w").alias("t"))
+    at = running(sums, by, value, ["w"]).join(total, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return at.where(F.col("run_w") >= F.col("t") / 2).groupBy(*by).agg(F.min(value).alias("median"))
 
 
 def bandwidth(df: DataFrame, by: list[str], x: Column, rule: str, dims: int = 1) -> DataFrame:

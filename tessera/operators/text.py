@@ -13,9 +13,8 @@ def letter_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def bigram_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adjacent pairs of ASCII letters and spaces inside a text; no pair crosses texts."""
-    chars = F.split(F.coalesce(F.col(text), F.lit("")), "")
-    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.greatest(F.size(chars) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    return docs.select(F.explode(pairs).alias("pair")).where(F.col("pair").rlike("^[A-Za-z ]{2}$")).groupBy(F.substring("pair", 1, 1).alias("a"), F.substring("pair", 2, 1).alias("b")).agg(F.count("*").alias("n"))
+    pairs = F.regexp_extract_all(F.col(text), F.lit("(?=([A-Za-z ]{2}))"), F.lit(1))  # one look ahead from every place
+    return docs.select(F.explode(pairs).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).select(F.substring("pair", 1, 1).alias("a"), F.substring("pair", 2, 1).alias("b"), "n")
 
 
 def metrics(text: Column) -> list[Column]:
@@ -57,7 +56,7 @@ def topic_words(bags: DataFrame, topics: DataFrame, id_col: str, smooth: float)
     counts = bags.join(topics, id_col).groupBy("topic", "word").agg(F.sum("n").alias("c"))
     size = bags.agg(F.countDistinct("word").alias("v"))
     total = counts.groupBy("topic").agg(F.sum("c").alias("t"))
-    return counts.join(F.broadcast(total.limit(100_000)), "topic").crossJoin(F.broadcast(size)).select("topic", "word", ((F.col("c") + smooth) / (F.col("t") + F.col("v") * smooth)).alias("p"))
+    return counts.join(total, "topic").crossJoin(F.broadcast(size)).select("topic", "word", ((F.col("c") + smooth) / (F.col("t") + F.col("v") * smooth)).alias("p"))
 
 
 def topic_nll(bags: DataFrame, topics: DataFrame, words: DataFrame, id_col: str) -> DataFrame:

@@ -353,7 +353,7 @@ def lag_ratio(spark, sf_dir):
 
 
 @query("WITH c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT hour, event_type, n FROM c QUALIFY row_number() OVER (PARTITION BY hour ORDER BY n DESC, event_type) = 1")
-def five_word_vote(spark, sf_dir):
+def hourly_majority(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("hour", F.date_trunc("hour", "ts"))
     return events.majority(e, ["hour"], "event_type")
 
@@ -362,7 +362,7 @@ def five_word_vote(spark, sf_dir):
 
 
 @query("SELECT 'c' AS kind, c_custkey AS id, c_acctbal AS value FROM customer UNION ALL SELECT 's', s_suppkey, s_acctbal FROM supplier")
-def union_with_remap(spark, sf_dir):
+def union_all(spark, sf_dir):
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     return c.select(F.lit("c").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value")).unionAll(s.select(F.lit("s"), "s_suppkey", "s_acctbal"))
 
@@ -483,7 +483,7 @@ def flag_index(spark, sf_dir):
 
 
 @query("WITH c AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY 1, 2), p AS (SELECT source, lang, n::DOUBLE / sum(n) OVER (PARTITION BY source) AS p FROM c), q AS (SELECT lang, sum(n)::DOUBLE / (SELECT sum(n) FROM c) AS q FROM c GROUP BY 1) SELECT source, round(sum(p * ln(p / q)), 6) AS kl FROM p JOIN q USING (lang) GROUP BY 1")
-def kl_divergence(spark, sf_dir):
+def category_divergence(spark, sf_dir):
     c = table(spark, sf_dir, "documents").where("lang is not null and source is not null").groupBy("lang", "source").agg(F.count("*").alias("n"))
     p = c.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("source")))
     q = c.groupBy("lang").agg(F.sum("n").alias("q"))
@@ -491,6 +491,13 @@ def kl_divergence(spark, sf_dir):
     return rounded(p.join(q, "lang").crossJoin(F.broadcast(total)).groupBy("source").agg(F.sum(F.col("p") * F.log(F.col("p") * F.col("t") / F.col("q"))).alias("kl")), 6)
 
 
+@query("SELECT 'lang' AS kind, lang AS flag FROM documents WHERE lang IS NOT NULL UNION SELECT 'source', source FROM documents WHERE source IS NOT NULL")
+def merge_flag_sets(spark, sf_dir):
+    """The distinct union of two sets of flags."""
+    d = table(spark, sf_dir, "documents")
+    return d.where("lang is not null").select(F.lit("lang").alias("kind"), F.col("lang").alias("flag")).union(d.where("source is not null").select(F.lit("source"), "source")).distinct()
+
+
 # Models and solvers that SQL cannot express; tested against brute force and dense algebra.
 
 
