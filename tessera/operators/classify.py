@@ -57,14 +57,23 @@ def posterior_nll(scored: DataFrame, truth: DataFrame, id_col: str) -> DataFrame
     return own.agg(F.sum(-F.coalesce(F.col("score") - F.col("norm"), F.lit(math.log(1e-300)))).alias("nll"), F.count("*").alias("n"))
 
 
+def _draw(id_col: str, seed: int):
+    return F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(seed)))
+
+
+def subsample(rows: DataFrame, id_col: str, share: float, seed: int = 0) -> DataFrame:
+    """About this share of the rows, by a hash of the id: no row depends on another, so nothing is shuffled."""
+    return rows.where(F.conv(F.substring(_draw(id_col, seed), 1, 8), 16, 10).cast("double") < share * 2**32)
+
+
 def select_random(pool: DataFrame, id_col: str, seed: int = 0) -> DataFrame:
     """One row of the pool, by a hash of its id: the same one however the pool is dealt."""
-    return pool.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col).limit(1)
+    return pool.orderBy(_draw(id_col, seed), id_col).limit(1)
 
 
 def select_random_by_label(pool: DataFrame, id_col: str, label: str, seed: int = 0) -> DataFrame:
     """(label, id): one row of each label, by a hash of its id."""
-    return pool.groupBy(label).agg(F.min_by(id_col, F.struct(F.xxhash64(id_col, F.lit(seed)), id_col)).alias(id_col))
+    return pool.groupBy(label).agg(F.min_by(id_col, F.struct(_draw(id_col, seed), id_col)).alias(id_col))
 
 
 def select_outlier(scored: DataFrame, id_col: str, k: int = 1) -> DataFrame:

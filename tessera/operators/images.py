@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators import stats
+
 AT = ["frame", "y", "x"]
 
 
@@ -109,10 +111,11 @@ def flow_render(pixels: DataFrame, scale: float, asymptotic: bool = False) -> Da
 
 
 def background(pixels: DataFrame, channel: str, threshold: float) -> DataFrame:
-    """Foreground mask of each pixel against the running mean of its earlier frames; the first frame is background."""
-    w = Window.partitionBy("y", "x").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
-    mean = F.avg(channel).over(w)
-    return pixels.select(*AT, F.coalesce(F.abs(F.col(channel) - mean) > threshold, F.lit(False)).cast("int").alias("mask"))
+    """Foreground mask of each pixel against the running mean of its earlier frames, kept by running sums over ranges of frames; the first frame is background. A null value is background and not part of the mean."""
+    rows = pixels.select(*AT, F.col(channel).cast("double").alias("_v"), F.coalesce(F.col(channel).cast("double"), F.lit(0.0)).alias("v"), F.when(F.col(channel).isNotNull(), 1.0).otherwise(0.0).alias("n"))
+    run = stats.running(rows, ["y", "x"], "frame", ["v", "n"])
+    n, total = F.col("run_n") - F.col("n"), F.col("run_v") - F.col("v")
+    return run.select(*AT, F.coalesce(F.round(F.abs(F.col("_v") - F.when(n > 0, total / n)), 9) > threshold, F.lit(False)).cast("int").alias("mask"))
 
 
 def concat(streams: list[DataFrame], lengths: list[int]) -> DataFrame:

@@ -41,6 +41,47 @@ def chain_labels(costs: DataFrame, difference: float) -> DataFrame:
     return costs.groupBy("chain").applyInPandas(solve, "chain long, var long, state long, total double")
 
 
+def pair_different(states: int, different: float, same: float = 0.0, offset: int = 0) -> np.ndarray:
+    """Costs by whether the state before, moved by the offset, is the one after."""
+    a, b = np.indices((states, states))
+    return np.where(a == b + offset, same, different).astype(float)
+
+
+def pair_linear(states: int, mult: float, offset: float = 0.0, scale: float = 1.0, cap: float = np.inf) -> np.ndarray:
+    """Costs by the distance of the state before from a line in the one after, up to a cap."""
+    a, b = np.indices((states, states))
+    return np.minimum(cap, mult * np.abs(a - (b * scale + offset)))
+
+
+def pair_ordered(states: int, steps: list[float]) -> np.ndarray:
+    """States never go back; steps: the cost of staying, of going on by one, by two and so on, further being impossible."""
+    a, b = np.indices((states, states))
+    by = np.append(np.asarray(steps, float), np.inf)
+    return np.where(b < a, np.inf, by[np.clip(b - a, 0, len(steps))])
+
+
+def min_marginals(unary: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """For every variable and state, the cost of the best labelling that has it."""
+    ahead, back = [unary[0]], [np.zeros(unary.shape[1])]
+    for u in unary[1:]:
+        ahead.append((ahead[-1][:, None] + pair).min(axis=0) + u)
+    for u in unary[:0:-1]:
+        back.append((pair + (u + back[-1])[None, :]).min(axis=1))
+    return np.stack(ahead) + np.stack(back[::-1])
+
+
+def chain_min_marginals(costs: DataFrame, pair: np.ndarray) -> DataFrame:
+    """costs (chain, var, state, cost), states from 0: (chain, var, state, total) of the best labelling through each state, for any matrix of costs between neighbours."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        u = pdf.pivot_table(index="var", columns="state", values="cost", aggfunc="sum", fill_value=0.0).reindex(columns=range(len(pair)), fill_value=0.0)
+        _sized(len(u))
+        total = min_marginals(u.to_numpy(float), pair)
+        return pd.DataFrame({"chain": pdf["chain"].iloc[0], "var": np.repeat(u.index, len(pair)), "state": np.tile(np.arange(len(pair)), len(u)), "total": total.ravel()})
+
+    return costs.groupBy("chain").applyInPandas(solve, "chain long, var long, state long, total double")
+
+
 def gaussian_marginals(terms: DataFrame) -> DataFrame:
     """Means and variances of Gaussian graphs: terms (graph, a, b, precision, potential), a = b for a node's own term. Solved by belief propagation on trees, exactly by elimination where it does not settle."""
 

@@ -59,7 +59,8 @@ def xlogx(w: Column) -> Column:
 
 def sweep_split(df: DataFrame, value: str, label: str) -> DataFrame:
     """For each threshold, the information gain of `value < threshold`: (threshold, gain). Any number of labels: a side's sum of w log w changes at a value only by the labels that occur there, so it is a running sum itself."""
-    counts = df.where(F.col(value).isNotNull() & F.col(label).isNotNull()).groupBy(value, label).agg(F.count("*").cast("double").alias("c"))
+    counts = df.select(F.col(value).alias("_value"), F.col(label).alias("_own")).dropna().groupBy("_value", "_own").agg(F.count("*").cast("double").alias("c"))
+    value, label = "_value", "_own"
     totals = counts.groupBy(F.col(label).alias("_label")).agg(F.sum("c").alias("all"))
     at = running(counts, [label], value, ["c"]).join(totals, F.col(label) == F.col("_label"))
     after, before = F.col("run_c"), F.col("run_c") - F.col("c")
@@ -71,9 +72,24 @@ def sweep_split(df: DataFrame, value: str, label: str) -> DataFrame:
     return s.crossJoin(F.broadcast(whole)).where("c > 0").select(F.col(value).alias("threshold"), gain.alias("gain"))
 
 
+def gaussian_split(df: DataFrame, value: str, target: str, floor: float = 1e-6) -> DataFrame:
+    """For each threshold on a value, what `value < threshold` tells of a continuous target: the entropy of one Gaussian less those of the two sides, (threshold, gain). Sums are taken around the target's mean."""
+    rows = df.select(F.col(value).alias("_value"), F.col(target).cast("double").alias("_y")).dropna()
+    value = "_value"
+    mean = rows.agg(F.avg("_y").alias("_m"))
+    d = F.col("_y") - F.col("_m")
+    steps = rows.crossJoin(F.broadcast(mean)).groupBy(value).agg(F.count("*").cast("double").alias("n"), F.sum(d).alias("s"), F.sum(d * d).alias("q"))
+    whole = steps.agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("q").alias("tq"))
+    at = running(steps, [], value, ["n", "s", "q"]).select(value, *[(F.col(f"run_{c}") - F.col(c)).alias(c) for c in ("n", "s", "q")]).crossJoin(F.broadcast(whole)).where("n > 0")
+    part = lambda n, s, q: n * F.log(F.greatest(q / n - (s / n) * (s / n), F.lit(floor)))
+    n, s, q, tn, ts, tq = (F.col(c) for c in ("n", "s", "q", "tn", "ts", "tq"))
+    return at.select(F.col(value).alias("threshold"), ((part(tn, ts, tq) - part(n, s, q) - part(tn - n, ts - s, tq - q)) / 2 / tn).alias("gain"))
+
+
 def category_split(df: DataFrame, category: str, label: str) -> DataFrame:
     """Information gain of each category alone against the rest: (category, gain). Any number of labels: those that a category lacks stay whole on the other side."""
-    counts = df.where(F.col(category).isNotNull() & F.col(label).isNotNull()).groupBy(category, label).agg(F.count("*").cast("double").alias("c"))
+    counts = df.select(F.col(category).alias("_value"), F.col(label).alias("_own")).dropna().groupBy("_value", "_own").agg(F.count("*").cast("double").alias("c"))
+    category, label = "_value", "_own"
     totals = counts.groupBy(F.col(label).alias("_label")).agg(F.sum("c").alias("all"))
     at = counts.join(totals, F.col(label) == F.col("_label"))
     own, rest = F.col("c"), F.col("all") - F.col("c")

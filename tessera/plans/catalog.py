@@ -587,3 +587,5 @@ def mean_shift(spark, sf_dir):
 
 
 QUERIES |= {f.__name__: f for f in (chain_labels, gmm_isotropic, forest_classify, svm_one_against_one, topic_shares, mean_shift, dirichlet_mixture, kde_classes, background_model)}
+
+from tessera.plans import extra  # noqa: E402, F401  (adds its queries to the tables above)
