@@ -360,4 +360,15 @@ def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_ngram_join": op4_ngram_join}
-ORACLE_SQL: dict[str, str] = {}
+#: Sets, pairs that share a shingle, exact similarity, and the least id reachable.
+ORACLE_SQL = {
+    "op4_ngram_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM g), t AS (SELECT doc_id, md5_number_lower(unnest(g)) AS t FROM g),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM t a JOIN t b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS doc_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id WHERE r.root < e.b)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(min(r.root), n.doc_id)) AS component_id FROM n LEFT JOIN r USING (doc_id) GROUP BY n.doc_id, n.n""",
+}

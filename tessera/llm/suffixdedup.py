@@ -619,4 +619,17 @@ def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffix_dedup": op10_suffix_dedup}
-ORACLE_SQL: dict[str, str] = {}
+#: Every 50-byte string with its least document; runs of covered bytes; what lies between them.
+ORACLE_SQL = {
+    "op10_suffix_dedup": """
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents), s AS (SELECT doc_id, h, len(h) // 2 AS n FROM d),
+w AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM s WHERE n >= 50)),
+g AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY w) AS first FROM w) WHERE first < doc_id),
+b AS (SELECT doc_id, p, coalesce(p > max(p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 50, true) AS new FROM g),
+i AS (SELECT doc_id, p, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM b),
+r AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS z FROM i GROUP BY 1, 2),
+t AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM r GROUP BY 1),
+f AS (SELECT doc_id, a, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM r UNION ALL SELECT s.doc_id, n, coalesce(max(z), 0) FROM s LEFT JOIN r USING (doc_id) GROUP BY 1, 2),
+k AS (SELECT s.doc_id, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a, b) AS kept FROM s JOIN f USING (doc_id) GROUP BY 1)
+SELECT s.doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM s JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)""",
+}

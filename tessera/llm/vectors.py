@@ -476,4 +476,14 @@ def op9_nearest(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_embedding_dedup": op5_embedding_dedup, "op9_nearest": op9_nearest}
-ORACLE_SQL: dict[str, str] = {}
+#: All pairs of a label, and the least id reachable; the search is approximate, so it is held against brute force in the tests.
+ORACLE_SQL = {
+    "op5_embedding_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+p AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x != 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM p a JOIN p b ON a.label = b.label AND a.vec_id < b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS vec_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.vec_id WHERE r.root < e.b),
+c AS (SELECT vec_id, min(root) AS root FROM r GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, least(v.vec_id, coalesce(c.root, v.vec_id)) AS component_id, v.vec_id <= coalesce(c.root, v.vec_id) AS kept FROM v LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)""",
+}
