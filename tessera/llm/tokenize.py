@@ -27,7 +27,7 @@ SPACES = re.compile(f"[{SPACE}]+")
 #: str.split() also cuts at these, which are not white space here.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Words kept in a worker's cache before it is emptied, and characters taken at a time.
-CACHE_WORDS, SLICE_CHARS = 300_000, 2_000_000
+CACHE_WORDS, SLICE_CHARS = 600_000, 2_000_000
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -79,8 +79,8 @@ class WordCache(dict):
         return out
 
     def ids(self, words: list) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in one array, and how many each word has."""
-        n = self.numbers(words)
+        """The ids of all words in one array, and how many each word has; the words' numbers stay in .last."""
+        n = self.last = self.numbers(words)
         return gather(self.flat, self.start[n], self.length[n]), self.length[n]
 
 
@@ -217,7 +217,7 @@ class Words(ByteBPE):
             else:
                 parts += self.PARTS.findall(x.lower())
         ids, per = self.with_special(self.parts, parts, special)
-        ends = np.cumsum(per)[np.fromiter((p == "\n" for p in parts), bool, len(parts))]
+        ends = np.cumsum(per)[self.parts.last == self.parts["\n"]] if parts else per
         return ids, np.diff(ends, prepend=0)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
