@@ -23,7 +23,7 @@ from tessera.session import ship, tidy
 
 BUCKETS, ORDERS, SAMPLE, CENTROIDS = 4096, (2, 3), 3000, 4
 #: Size classes of texts; the share of a class's training texts that may lie outside its radius before the margin, and that margin.
-SIZES, QUANTILE, MARGIN = 13, 0.01, 0.8
+SIZES, QUANTILE, MARGIN = 13, 0.01, 0.7
 LETTER = regex.compile(r"\p{L}")
 
 
