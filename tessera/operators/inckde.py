@@ -64,6 +64,10 @@ class IncrementalKDE:
         return pd.DataFrame({"label": label, "w": self.w, "mean": list(self.mean), "cov": [c.ravel() for c in self.cov]})
 
 
+#: Parts that a class is fitted in before they are merged; fixed, so that the result does not depend on the cluster.
+BUCKETS = 64
+
+
 def fit(rows: DataFrame, label: str, vector: str, cov: np.ndarray, cap: int = 32) -> DataFrame:
     """(label, w, mean, cov): at most `cap` kernels of each class; rows without label or vector are left out."""
     data = rows.select(F.col(label).cast("long").alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where("label is not null and v is not null")
@@ -71,21 +75,27 @@ def fit(rows: DataFrame, label: str, vector: str, cov: np.ndarray, cap: int = 32
     d = len(cov)
 
     def partial(batches):
-        models = {}
+        """Rows come sorted by label, bucket and vector: one model at a time, the same however the table was dealt."""
+        key, m = None, None
         for pdf in batches:
-            for c, v in zip(pdf["label"], pdf["v"]):
-                models.setdefault(int(c), IncrementalKDE(cov, cap)).add(np.asarray(v))
-        for c, m in models.items():
-            yield m.rows(c)
+            for c, b, v in zip(pdf["label"], pdf["bucket"], pdf["v"]):
+                if (c, b) != key:
+                    if m is not None:
+                        yield m.rows(int(key[0]))
+                    key, m = (c, b), IncrementalKDE(cov, cap)
+                m.add(np.asarray(v))
+        if m is not None:
+            yield m.rows(int(key[0]))
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         m = IncrementalKDE(cov, cap)
-        order = np.argsort([tuple(v) for v in pdf["mean"]], axis=0)[:, 0]
+        order = sorted(range(len(pdf)), key=lambda i: (tuple(pdf["mean"].iloc[i]), pdf["w"].iloc[i], tuple(pdf["cov"].iloc[i])))
         for i in order:
             m.add(pdf["mean"].iloc[i], pdf["w"].iloc[i], np.reshape(pdf["cov"].iloc[i], (d, d)))
         return m.rows(int(pdf["label"].iloc[0]))
 
-    return data.mapInPandas(partial, schema).groupBy("label").applyInPandas(merge, schema)
+    dealt = data.withColumn("bucket", F.pmod(F.xxhash64("v"), F.lit(BUCKETS))).repartition("label", "bucket").sortWithinPartitions("label", "bucket", "v")
+    return dealt.mapInPandas(partial, schema).groupBy("label").applyInPandas(merge, schema)
 
 
 def classify(rows: DataFrame, model: DataFrame, id_col: str, vector: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
-from tessera.session import materialize, small
+from tessera.operators.density import MODEL_BYTES
+from tessera.session import materialize, width
 
 #: Rows of one pair of classes that a task may solve: its kernel matrix has this many rows squared.
 LIMIT = 8_000
@@ -47,8 +48,13 @@ def solve(k: np.ndarray, y: np.ndarray, c: float, balanced: bool = True, tol: fl
         grad += y * (k[:, i] - k[:, j]) * t
     f = -y * grad
     free = (alpha > LEAST_ALPHA) & (alpha < bound - 1e-6)
-    used = free if free.any() else alpha > LEAST_ALPHA
-    return alpha, float(f[used].mean()) if used.any() else 0.0
+    if free.any():
+        return alpha, float(f[free].mean())
+    up = ((y > 0) & (alpha < bound - 1e-12)) | ((y < 0) & (alpha > 1e-12))
+    low = ((y < 0) & (alpha < bound - 1e-12)) | ((y > 0) & (alpha > 1e-12))
+    # Without a free support vector any bias between these is right; the middle is taken.
+    ends = ([f[up].max()] if up.any() else []) + ([f[low].min()] if low.any() else [])
+    return alpha, float(np.mean(ends)) if ends else 0.0
 
 
 def train_pairs(rows: DataFrame, label: str, vector: str, kernel: str = "rbf", p1: float = 1.0, p2: float = 1.0, c: float = 10.0) -> DataFrame:
@@ -76,8 +82,11 @@ def decisions(rows: DataFrame, model: DataFrame, id_col: str, vector: str, kerne
     packed = model.groupBy("neg", "pos").agg(F.first("b").alias("b"), F.collect_list(F.struct("v", "ay")).alias("sv"))
     x = F.transform(vector, lambda e: e.cast("double"))
     terms = F.aggregate("sv", F.lit(0.0), lambda s, r: s + r["ay"] * kernels.svm(kernel, F.col("_x"), r["v"], p1, p2))
-    near = rows.select(F.col(id_col).alias("id"), x.alias("_x")).where("_x is not null").withColumn("_k", F.lit(1))
-    return near.join(small(materialize(packed.withColumn("_k", F.lit(1)), "pairs")), "_k").select("id", "neg", "pos", (terms + F.col("b")).alias("value"))
+    n, held = model.agg(F.count("*"), F.sum(width(model))).first()
+    if (held or 0) > MODEL_BYTES:
+        raise ValueError(f"a model of {n} support vectors and {held} bytes; the limit is {MODEL_BYTES}")
+    near = rows.select(F.col(id_col).alias("id"), x.alias("_x")).where("_x is not null")
+    return near.crossJoin(F.broadcast(materialize(packed, "pairs"))).select("id", "neg", "pos", (terms + F.col("b")).alias("value"))
 
 
 def vote(decided: DataFrame) -> DataFrame:
