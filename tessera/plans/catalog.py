@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import kernels
 from tessera.operators import classify, density, graph, images, stats, text
+from tessera.session import materialize
 from tessera.streaming import events
 
 QUERIES: dict = {}
@@ -183,7 +184,8 @@ def document_words(spark, sf_dir):
 @query(f"WITH {BOW}, t AS (SELECT lang AS topic, word, sum(n) AS c FROM b JOIN documents USING (doc_id) GROUP BY 1, 2), p AS (SELECT topic, word, (c + 0.1) / (sum(c) OVER (PARTITION BY topic) + (SELECT count(DISTINCT word) FROM b) * 0.1) AS p FROM t) SELECT doc_id, round(sum(-n * ln(p)), 2) AS nll FROM b JOIN documents USING (doc_id) JOIN p ON topic = lang AND p.word = b.word GROUP BY 1")
 def doc_nll_under_topics(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    bags, topics = text.bag_of_words(docs), docs.select("doc_id", F.col("lang").alias("topic"))
+    # The bags are read by three branches, so they are written once.
+    bags, topics = materialize(text.bag_of_words(docs), "bags"), docs.select("doc_id", F.col("lang").alias("topic"))
     return rounded(text.topic_nll(bags, topics, text.topic_words(bags, topics, "doc_id", 0.1), "doc_id"), 2)
 
 
