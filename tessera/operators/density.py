@@ -1,7 +1,8 @@
 """Range joins and kernel density over scaled features.
 
 A range join deals both sides to grid cells as wide as the radius and joins each row to the
-neighbouring cells by equality, so it shuffles and spills like any equi-join.
+neighbouring cells by equality, so it shuffles and spills like any equi-join. One-dimensional
+densities make no pairs, see `sums`.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
+from tessera.operators import sums
 from tessera.session import width
 
 #: Rounds of a fit that runs until it rests; one that needs more raises.
@@ -36,6 +38,11 @@ def range_join(left: DataFrame, right: DataFrame, dims: list[tuple[str, str]], r
     return l.join(r, names).withColumn("d", F.sqrt(d2)).where(F.col("d") < radius).drop(*names)
 
 
+def _under(queries: DataFrame, data: DataFrame, kernel: str, after: float) -> DataFrame:
+    """(q, s, same): kernel sums of each distinct query (q) over distinct values (x, n); differences are scaled by `after`."""
+    return sums.sums(queries, sums.sources(data, kernel, after), kernel, after)
+
+
 def kde(queries: DataFrame, data: DataFrame, q: str, x: str, kernel: str, scale: float) -> DataFrame:
     """Density at each query (id, q) under data (x) with one-dimensional kernel and inverse bandwidth; queries without neighbours have 0."""
     data = data.where(F.col(x).isNotNull())  # a null is no row of the density
@@ -47,6 +54,15 @@ def kde(queries: DataFrame, data: DataFrame, q: str, x: str, kernel: str, scale:
     return a.join(sums, "id", "left").crossJoin(F.broadcast(n)).select("id", (F.coalesce("s", F.lit(0.0)) * norm / F.col("n")).alias("density"))
 
 
+def self_values(data: DataFrame, x: str, kernel: str, scale: float, leave_out: bool) -> DataFrame:
+    """(x, n, density) of each distinct value under all rows, n its own rows; with leave_out, the row itself does not count."""
+    v = sums.values(data, x)
+    n = v.agg((F.sum("n") - int(leave_out)).alias("_n")).where("_n > 0")
+    got = _under(v.select(F.col("x").alias("q")), v, kernel, scale).withColumnRenamed("q", "x")
+    same = F.greatest(F.col("same") - sums.peak(kernel), F.lit(0.0)) if leave_out else F.col("same")
+    return v.join(got, "x").crossJoin(F.broadcast(n)).select("x", "n", ((F.col("s") + same) * (scale / kernels.normaliser(kernel)) / F.col("_n")).alias("density"))
+
+
 def self_density(data: DataFrame, x: str, kernel: str, scale: float, leave_out: bool) -> DataFrame:
     """Density at each row (id, x) under all rows; with leave_out, the row itself does not count."""
     data = data.where(F.col(x).isNotNull())
@@ -161,9 +177,13 @@ def best_scale(data: DataFrame, x: str, kernel: str, scales: list[float], limit:
 
 def kl_divergence(p: DataFrame, q: DataFrame, x: str, kernel: str, p_scale: float, q_scale: float, limit: float = 1e-16) -> DataFrame:
     """Divergence of the density of q from that of p, taken over the rows of p; densities are floored."""
-    own = self_density(p, x, kernel, p_scale, False).select("id", F.col("density").alias("a"))
-    other = kde(p.where(F.col(x).isNotNull()), q, x, x, kernel, q_scale).select("id", F.col("density").alias("b"))
-    return own.join(other, "id").agg(F.avg(F.log(F.greatest("a", F.lit(limit))) - F.log(F.greatest("b", F.lit(limit)))).alias("kl"))
+    own = self_values(p, x, kernel, p_scale, False).withColumnRenamed("density", "a")
+    data = sums.values(q, x)
+    n = data.agg(F.sum("n").alias("_n")).where("_n > 0")
+    under = _under(sums.values(p, x).select(F.col("x").alias("q")), data, kernel, q_scale).withColumnRenamed("q", "x")
+    other = under.crossJoin(F.broadcast(n)).select("x", ((F.col("s") + F.col("same")) * (q_scale / kernels.normaliser(kernel)) / F.col("_n")).alias("b"))
+    log = lambda c: F.log(F.greatest(c, F.lit(limit)))
+    return own.join(other, "x").agg((F.sum((log("a") - log("b")) * F.col("n")) / F.sum("n")).alias("kl"))
 
 
 def kmeans_nll(rows: DataFrame, centers: DataFrame, id_col: str, vector: str) -> DataFrame:
