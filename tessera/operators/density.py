@@ -77,8 +77,8 @@ def self_density(data: DataFrame, x: str, kernel: str, scale: float, leave_out:
 
 def loo_nll(data: DataFrame, x: str, kernel: str, scale: float, limit: float = 1e-16) -> DataFrame:
     """Negative log likelihood of each row under the others, densities floored, summed."""
-    p = self_density(data, x, kernel, scale, True)
-    return p.agg(F.sum(-F.log(F.greatest("density", F.lit(limit)))).alias("nll"))
+    p = self_values(data, x, kernel, scale, True)
+    return p.agg(F.sum(-F.log(F.greatest("density", F.lit(limit))) * F.col("n")).alias("nll"))
 
 
 def density_entropy(data: DataFrame, x: str, kernel: str, scale: float) -> DataFrame:

@@ -64,3 +64,9 @@ def test_divergence_makes_no_pairs(spark):
     p, q = crowded(), crowded(shift=0.2)
     got = within(spark, LONGEST, lambda: density.kl_divergence(frame(spark, p), frame(spark, q), "x", "gaussian", 1.0, 1.0).first().kl)
     assert got == pytest.approx(np.mean(np.log(crowded_sums(p, p)) - np.log(crowded_sums(p, q))), abs=1e-9)
+
+
+def test_loo_nll_makes_no_pairs(spark):
+    x = crowded()
+    got = within(spark, LONGEST, lambda: density.loo_nll(frame(spark, x), "x", "gaussian", 1.0).first().nll)
+    assert got == pytest.approx(-np.log((crowded_sums(x, x) - 1) / kernels.normaliser("gaussian") / (MANY - 1)).sum(), abs=1e-4)
