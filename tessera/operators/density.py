@@ -45,13 +45,11 @@ def _under(queries: DataFrame, data: DataFrame, kernel: str, after: float) -> Da
 
 def kde(queries: DataFrame, data: DataFrame, q: str, x: str, kernel: str, scale: float) -> DataFrame:
     """Density at each query (id, q) under data (x) with one-dimensional kernel and inverse bandwidth; queries without neighbours have 0."""
-    data = data.where(F.col(x).isNotNull())  # a null is no row of the density
-    a = queries.select("id", (F.col(q) * scale).alias("_q"))
-    b = data.select((F.col(x) * scale).alias("_x"))
-    sums = range_join(a, b, [("_q", "_x")], kernels.RANGE[kernel]).groupBy("id").agg(F.sum(kernels.density(kernel, F.col("d"))).alias("s"))
-    n = data.agg(F.count("*").alias("n"))
-    norm = scale / kernels.normaliser(kernel)
-    return a.join(sums, "id", "left").crossJoin(F.broadcast(n)).select("id", (F.coalesce("s", F.lit(0.0)) * norm / F.col("n")).alias("density"))
+    a = queries.select("id", (F.col(q) * scale).alias("q"))
+    b = sums.values(data.select((F.col(x) * scale).alias("x")), "x")  # a null is no row of the density
+    n = b.agg(F.sum("n").alias("n")).where("n > 0")
+    total = F.coalesce(F.col("s") + F.col("same"), F.lit(0.0))
+    return a.join(_under(a, b, kernel, 1.0), "q", "left").crossJoin(F.broadcast(n)).select("id", (total * (scale / kernels.normaliser(kernel)) / F.col("n")).alias("density"))
 
 
 def self_values(data: DataFrame, x: str, kernel: str, scale: float, leave_out: bool) -> DataFrame:

@@ -70,3 +70,15 @@ def test_loo_nll_makes_no_pairs(spark):
     x = crowded()
     got = within(spark, LONGEST, lambda: density.loo_nll(frame(spark, x), "x", "gaussian", 1.0).first().nll)
     assert got == pytest.approx(-np.log((crowded_sums(x, x) - 1) / kernels.normaliser("gaussian") / (MANY - 1)).sum(), abs=1e-4)
+
+
+def crowded_kde(spark, kernel):
+    x = crowded()
+    rows = frame(spark, x)
+    got = within(spark, LONGEST, lambda: {r.id: r.density for r in density.kde(rows, rows, "x", "x", kernel, 1.0).collect()})
+    some = range(0, MANY, 3000)
+    assert len(got) == MANY and np.allclose([got[i] for i in some], brute(x[::3000], x, kernel, 1.0) / kernels.normaliser(kernel) / MANY, rtol=1e-12)
+
+
+def test_gaussian_kde_makes_no_pairs(spark):
+    crowded_kde(spark, "gaussian")
