@@ -82,3 +82,7 @@ def crowded_kde(spark, kernel):
 
 def test_gaussian_kde_makes_no_pairs(spark):
     crowded_kde(spark, "gaussian")
+
+
+def test_cauchy_kde_makes_no_pairs(spark):
+    crowded_kde(spark, "cauchy")
