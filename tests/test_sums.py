@@ -86,3 +86,7 @@ def test_gaussian_kde_makes_no_pairs(spark):
 
 def test_cauchy_kde_makes_no_pairs(spark):
     crowded_kde(spark, "cauchy")
+
+
+def test_logistic_kde_makes_no_pairs(spark):
+    crowded_kde(spark, "logistic")
