@@ -63,14 +63,8 @@ def self_values(data: DataFrame, x: str, kernel: str, scale: float, leave_out: b
 
 def self_density(data: DataFrame, x: str, kernel: str, scale: float, leave_out: bool) -> DataFrame:
     """Density at each row (id, x) under all rows; with leave_out, the row itself does not count."""
-    data = data.where(F.col(x).isNotNull())
-    a = data.select("id", (F.col(x) * scale).alias("_q"))
-    b = data.select(F.col("id").alias("_id"), (F.col(x) * scale).alias("_x"))
-    pairs = range_join(a, b, [("_q", "_x")], kernels.RANGE[kernel])
-    pairs = pairs.where(F.col("id") != F.col("_id")) if leave_out else pairs
-    sums = pairs.groupBy("id").agg(F.sum(kernels.density(kernel, F.col("d"))).alias("s"))
-    n = data.agg((F.count("*") - int(leave_out)).alias("n"))
-    return a.join(sums, "id", "left").crossJoin(F.broadcast(n)).select("id", (F.coalesce("s", F.lit(0.0)) * (scale / kernels.normaliser(kernel)) / F.col("n")).alias("density"))
+    rows = data.select("id", F.col(x).cast("double").alias("x"))
+    return rows.join(self_values(data, x, kernel, scale, leave_out), "x").select("id", "density")
 
 
 def loo_nll(data: DataFrame, x: str, kernel: str, scale: float, limit: float = 1e-16) -> DataFrame:
@@ -80,7 +74,8 @@ def loo_nll(data: DataFrame, x: str, kernel: str, scale: float, limit: float = 1
 
 
 def density_entropy(data: DataFrame, x: str, kernel: str, scale: float) -> DataFrame:
-    return self_density(data, x, kernel, scale, False).agg((-F.avg(F.log("density"))).alias("entropy"))
+    p = self_values(data, x, kernel, scale, False)
+    return p.agg((-F.sum(F.log("density") * F.col("n")) / F.sum(F.when(F.col("density") > 0, F.col("n")))).alias("entropy"))
 
 
 def model_row(model: DataFrame, columns: list[str]) -> DataFrame:

@@ -90,3 +90,9 @@ def test_cauchy_kde_makes_no_pairs(spark):
 
 def test_logistic_kde_makes_no_pairs(spark):
     crowded_kde(spark, "logistic")
+
+
+def test_entropy_makes_no_pairs(spark):
+    x = crowded()
+    got = within(spark, LONGEST, lambda: density.density_entropy(frame(spark, x), "x", "gaussian", 1.0).first().entropy)
+    assert got == pytest.approx(-np.log(crowded_sums(x, x) / kernels.normaliser("gaussian") / MANY).mean(), abs=1e-9)
