@@ -155,17 +155,9 @@ def _lloyd(data: DataFrame, ids: np.ndarray, v: np.ndarray, before: tuple[np.nda
 
 
 def best_scale(data: DataFrame, x: str, kernel: str, scales: list[float], limit: float = 1e-16) -> DataFrame:
-    """(scale, nll) of each inverse bandwidth: the negative log likelihood of every row under the others. All scales share one range join at the widest bandwidth's radius."""
-    data = data.where(F.col(x).isNotNull())
-    radius = kernels.RANGE[kernel] / min(scales)
-    rows = data.select("id", F.col(x).cast("double").alias("_q"))
-    pairs = range_join(rows, data.select(F.col("id").alias("_id"), F.col(x).cast("double").alias("_x")), [("_q", "_x")], radius).where(F.col("id") != F.col("_id"))
-    term = lambda s: F.when(F.col("d") * s < kernels.RANGE[kernel], kernels.density(kernel, F.col("d") * s) * (s / kernels.normaliser(kernel))).otherwise(0.0)
-    sums = pairs.groupBy("id").agg(F.array(*[F.sum(term(s)) for s in scales]).alias("sums"))
-    n = data.agg((F.count("*") - 1).alias("n"))
-    each = rows.join(sums, "id", "left").crossJoin(F.broadcast(n)).select(*[F.coalesce(F.element_at("sums", i + 1) / F.col("n"), F.lit(0.0)).alias(f"p{i}") for i in range(len(scales))])
-    nll = each.agg(*[F.sum(-F.log(F.greatest(f"p{i}", F.lit(limit)))).alias(f"p{i}") for i in range(len(scales))])
-    return nll.select(F.explode(F.array(*[F.struct(F.lit(float(s)).alias("scale"), F.col(f"p{i}").alias("nll")) for i, s in enumerate(scales)])).alias("r")).select("r.*")
+    """(scale, nll) of each inverse bandwidth: the negative log likelihood of every row under the others."""
+    each = [loo_nll(data, x, kernel, s, limit).select(F.lit(float(s)).alias("scale"), "nll") for s in scales]
+    return reduce(DataFrame.unionAll, each)
 
 
 def kl_divergence(p: DataFrame, q: DataFrame, x: str, kernel: str, p_scale: float, q_scale: float, limit: float = 1e-16) -> DataFrame:

@@ -96,3 +96,9 @@ def test_entropy_makes_no_pairs(spark):
     x = crowded()
     got = within(spark, LONGEST, lambda: density.density_entropy(frame(spark, x), "x", "gaussian", 1.0).first().entropy)
     assert got == pytest.approx(-np.log(crowded_sums(x, x) / kernels.normaliser("gaussian") / MANY).mean(), abs=1e-9)
+
+
+def test_scale_grid_makes_no_pairs(spark):
+    x = crowded()
+    got = within(spark, LONGEST, lambda: {r.scale: r.nll for r in density.best_scale(frame(spark, x), "x", "gaussian", [0.5, 1.0]).collect()})
+    assert got[1.0] == pytest.approx(-np.log((crowded_sums(x, x) - 1) / kernels.normaliser("gaussian") / (MANY - 1)).sum(), abs=1e-4) and got[0.5] > got[1.0]
