@@ -138,3 +138,19 @@ def test_topics_need_no_vocabulary_limit(spark, monkeypatch):
     assert len(shares) == 51 and list(shares[99].topics) == [0.5, 0.5] and shares[99].nll == 0
     with pytest.raises(ValueError):
         topics.fit(bow, 2, rounds=1)
+
+
+def test_svm_of_any_size(spark, monkeypatch):
+    rows = clusters(spark, 150)
+    fresh = clusters(spark, 100, seed=1)
+    value = lambda model: {(r.id, r.neg, r.pos): r.value for r in svm.decisions(fresh, model, "id", "v", "rbf", 0.5).collect()}
+    want = value(svm.train_pairs(rows, "label", "v", "rbf", 0.5).localCheckpoint())
+    monkeypatch.setattr(svm, "MODEL_BYTES", 2_000)  # several blocks of support vectors
+    got = value(svm.train_pairs(rows, "label", "v", "rbf", 0.5).localCheckpoint())
+    assert len(want) == 300 and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    x = np.array([r.v for r in rows.collect()])
+    y = np.where(np.arange(150) % 3 > 0, 1.0, -1.0)
+    whole, b = svm.solve(svm.gram("rbf", x, x), y, 5.0)
+    monkeypatch.setattr(svm, "KEPT_BYTES", 8 * 150 * 10)  # ten rows of the kernel matrix
+    part, c = svm.solve(svm.Rows("rbf", x, 1.0, 1.0), y, 5.0)
+    assert np.allclose(whole, part, atol=1e-6) and abs(b - c) < 1e-6
