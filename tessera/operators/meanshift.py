@@ -1,4 +1,4 @@
-"""Mean-shift modes and clusters: every round moves the points that still travel by one range join against the data; modes closer than the merge range are one cluster."""
+"""Mean-shift modes and clusters: on a line by kernel sums without pairs, else every round moves the points that still travel by one range join against the data; modes closer than the merge range are one cluster."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
-from tessera.operators import density, graph
+from tessera.operators import density, graph, sums
 from tessera.session import materialize
 
 
@@ -23,6 +23,8 @@ def shift(points: DataFrame, data: DataFrame, dims: list[str], kernel: str) -> D
 
 def modes(points: DataFrame, data: DataFrame, dims: list[str], kernel: str = "gaussian", epsilon: float = 1e-3, rounds: int = 1000) -> DataFrame:
     """(id, dims...): where each point comes to rest; points that still move after so many rounds raise."""
+    if len(dims) == 1:
+        return _line_modes(points, data, dims[0], kernel, epsilon, rounds)
     rest, moving = None, materialize(points.select("id", *[F.col(c).cast("double").alias(c) for c in dims]), "points")
     for _ in range(rounds):
         old = moving.select("id", *[F.col(c).alias(f"_o{c}") for c in dims])
@@ -36,6 +38,22 @@ def modes(points: DataFrame, data: DataFrame, dims: list[str], kernel: str = "ga
     raise RuntimeError(f"some points are not at rest after {rounds} rounds")
 
 
+def _line_modes(points: DataFrame, data: DataFrame, dim: str, kernel: str, epsilon: float, rounds: int) -> DataFrame:
+    """`modes` of one dimension by kernel sums: distinct values travel once, and as far as a task's block of cells reaches in one job."""
+    source = materialize(sums.sources(sums.values(data, dim, F.col("weight") if "weight" in data.columns else None), kernel), "sources")
+    x = F.col(dim).cast("double")
+    rest, moving = None, points.where(x.isNotNull()).select(x.alias("start")).distinct().select("start", F.col("start").alias("q"), F.lit(0).cast("long").alias("steps"))
+    while True:
+        now = materialize(sums.walk(moving, source, kernel, epsilon, rounds), "points")
+        done = now.where("still").select("start", "q")
+        rest = done if rest is None else rest.unionByName(done)
+        moving = now.where("not still").select("start", "q", "steps")
+        if moving.where(F.col("steps") >= rounds).take(1):
+            raise RuntimeError(f"some points are not at rest after {rounds} rounds")
+        if not moving.take(1):
+            return points.select("id", x.alias("start")).join(rest, "start").select("id", F.col("q").alias(dim))
+
+
 def cluster(data: DataFrame, dims: list[str], kernel: str = "gaussian", merge_range: float = 0.5, epsilon: float = 1e-3, rounds: int = 1000) -> DataFrame:
     """(id, dims... of the mode, cluster: least id of the modes linked within the merge range). Modes are merged by grid cells first, so a cluster's points are not joined with each other."""
     at = materialize(modes(data, data, dims, kernel, epsilon, rounds), "modes")

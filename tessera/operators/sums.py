@@ -54,7 +54,7 @@ def peak(kernel: str) -> float:
 def values(data: DataFrame, x: str, weight: Column | None = None) -> DataFrame:
     """(x, n) distinct values that are not null with their rows, or with the sum of their weights."""
     x_ = F.col(x).cast("double")
-    return data.where(x_.isNotNull()).groupBy(x_.alias("x")).agg((F.count("*") if weight is None else F.sum(weight)).cast("double").alias("n"))
+    return data.where(x_.isNotNull()).groupBy(x_.alias("x")).agg((F.count("*") if weight is None else F.coalesce(F.sum(weight), F.lit(0.0))).cast("double").alias("n"))
 
 
 def _finite(c: Column) -> Column:
@@ -79,46 +79,56 @@ def sources(data: DataFrame, kernel: str, after: float = 1.0) -> DataFrame:
     return single.unionByName(far)
 
 
-def sums(queries: DataFrame, source: DataFrame, kernel: str, after: float = 1.0, shifts: bool = False) -> DataFrame:
-    """(q, s, same[, t]) of each query (q): s adds the kernel's weights of all data in range at other values, same those at q itself, t the weights times the way there. A pair is in range if abs(q - x) * after is below the kernel's; a query that is not finite has no data in range."""
-    ship(queries.sparkSession)
-    curve, limit, top = _CURVES[kernel], reach(kernel), peak(kernel)
-    wide = round(limit / CELL)
+class _Block:
+    """What the queries of one block need of the sources."""
 
-    def one(q: np.ndarray, cell: int, held: dict, cells: np.ndarray, m: np.ndarray) -> np.ndarray:
-        """Columns s, same and t of sorted queries in one cell."""
+    def __init__(self, src: pd.DataFrame, kernel: str, after: float):
+        self.curve, self.limit, self.top, self.after = _CURVES[kernel], reach(kernel), peak(kernel), after
+        self.wide = round(self.limit / CELL)
+        many = src["m"].notna().to_numpy()
+        self.cells, self.m = src["cell"].to_numpy(np.int64)[many], np.array(list(src["m"][many]), float).reshape(-1, NODES)
+        c, x, n = (src[k].to_numpy(t)[~many] for k, t in (("cell", np.int64), ("x", float), ("n", float)))
+        order = np.lexsort((x, c))
+        c, x, n, self.held = c[order], x[order], n[order], {}
+        for k, a, b in _runs(c):
+            u = (x[a:b] * after - (k + 0.5) * CELL) / HALF
+            each = (chebvander(u, NODES - 1) @ _TO_NODES.T) * n[a:b, None]
+            # The running sums keep more digits than the sums that their differences give.
+            self.held[k] = x[a:b], n[a:b], np.concatenate([np.zeros((1, NODES), np.longdouble), np.cumsum(each, 0, np.longdouble)])
+
+    def at(self, q: np.ndarray) -> np.ndarray:
+        """Columns s, same and t of sorted queries."""
+        out = np.zeros((len(q), 3))
+        for k, a, b in _runs(np.floor(q * self.after / CELL).astype(np.int64)):
+            for i in range(a, b, CHUNK):
+                j = min(b, i + CHUNK)
+                out[i:j] = self._one(q[i:j], int(k))
+        out[:, 2] /= self.after
+        return out
+
+    def _one(self, q: np.ndarray, cell: int) -> np.ndarray:
+        after, curve, wide = self.after, self.curve, self.wide
         out, local = np.zeros((len(q), 3)), q * after - (cell + 0.5) * CELL
-        # t is taken from the query, so that nothing cancels.
-        off = cells - cell
+        off = self.cells - cell
         use = (np.abs(off) >= 1) & (np.abs(off) <= wide - 2)
         if use.any():
             place = (off[use, None] * CELL + HALF * _U).ravel()
-            weight, side = (m[use] @ _TO_NODES.T).ravel(), np.repeat(np.sign(off[use]), NODES)
+            weight, side = (self.m[use] @ _TO_NODES.T).ravel(), np.repeat(np.sign(off[use]), NODES)
             way = place - (HALF * _U)[:, None]
             f = curve(way * side) * weight
             at = chebvander(local / HALF, NODES - 1) @ _TO_NODES.T
             out[:, 0] += at @ f.sum(1)
             out[:, 2] += at @ (f * way).sum(1)
         for o in sorted({0, *(s * (wide + e) for s in (-1, 1) for e in (-1, 0, 1))}):
-            if cell + o not in held:
+            if cell + o not in self.held:
                 continue
-            x, n, run = held[cell + o]
+            x, n, run = self.held[cell + o]
             if o:
-                near = lambda i: np.abs(q - x[np.clip(i, 0, len(x) - 1)]) * after < limit  # noqa: B023, E731
-                # From a first guess to the end that the comparison itself gives; up is whether the range ends upwards.
-                up = o > 0
-                end = np.searchsorted(x, q + (limit if up else -limit) / after)
-                while True:
-                    more = (end < len(x)) & near(end) if up else (end > 0) & near(end - 1)
-                    less = (end > 0) & ~near(end - 1) if up else (end < len(x)) & ~near(end)
-                    less &= ~more
-                    if not more.any() and not less.any():
-                        break
-                    end = end + np.where(more, 1, 0) * (1 if up else -1) - np.where(less, 1, 0) * (1 if up else -1)
+                end, up = self._end(q, x, o > 0), o > 0
                 parts = [(np.sign(o), run[end] if up else run[-1] - run[end])]
             else:
                 left, right = np.searchsorted(x, q), np.searchsorted(x, q, "right")
-                out[:, 1] = np.where(right > left, n[np.minimum(left, len(x) - 1)], 0) * top
+                out[:, 1] = np.where(right > left, n[np.minimum(left, len(x) - 1)], 0) * self.top
                 parts = [(-1, run[left]), (1, run[-1] - run[right])]
             way = o * CELL + HALF * _U - local[:, None]
             for side, weight in parts:
@@ -127,31 +137,64 @@ def sums(queries: DataFrame, source: DataFrame, kernel: str, after: float = 1.0,
                 out[:, 2] += (f * way).sum(1)
         return out
 
+    def _end(self, q: np.ndarray, x: np.ndarray, up: bool) -> np.ndarray:
+        """Where each query's range ends in sorted values above it, or begins in those below: a first guess, moved to where the comparison itself changes."""
+        near = lambda i: np.abs(q - x[np.clip(i, 0, len(x) - 1)]) * self.after < self.limit
+        one = 1 if up else -1
+        end = np.searchsorted(x, q + one * self.limit / self.after)
+        while True:
+            more = (end < len(x)) & near(end) if up else (end > 0) & near(end - 1)
+            less = ((end > 0) & ~near(end - 1) if up else (end < len(x)) & ~near(end)) & ~more
+            if not more.any() and not less.any():
+                return end
+            end = end + np.where(more, one, 0) - np.where(less, one, 0)
+
+
+def _runs(sorted_: np.ndarray):
+    """(value, first, end) of each run of equal values."""
+    u, first = np.unique(sorted_, return_index=True)
+    return zip(u, first, [*first[1:], len(sorted_)])
+
+
+def _finite_blocks(queries: DataFrame, after: float) -> DataFrame:
+    return queries.where(_finite(F.col("q"))).withColumn("block", F.floor(_cell(F.col("q"), after) / BLOCK))
+
+
+def sums(queries: DataFrame, source: DataFrame, kernel: str, after: float = 1.0, shifts: bool = False) -> DataFrame:
+    """(q, s, same[, t]) of each query (q): s adds the kernel's weights of all data in range at other values, same those at q itself, t the weights times the way there. A pair is in range if abs(q - x) * after is below the kernel's; a query that is not finite has no data in range."""
+    ship(queries.sparkSession)
+    names = ["s", "same", "t"] if shifts else ["s", "same"]
+
     def block(qs: pd.DataFrame, src: pd.DataFrame) -> pd.DataFrame:
-        if not len(qs):
-            return pd.DataFrame({"q": [], "s": [], "same": []} | ({"t": []} if shifts else {}))
         q = np.sort(qs["q"].to_numpy(float))
-        at = np.floor(q * after / CELL).astype(np.int64)
-        many = src["m"].notna().to_numpy()
-        cells, m = src["cell"].to_numpy(np.int64)[many], np.array(list(src["m"][many]), float).reshape(-1, NODES)
-        c, x, n = (src[k].to_numpy(t)[~many] for k, t in (("cell", np.int64), ("x", float), ("n", float)))
-        order = np.lexsort((x, c))
-        c, x, n, held = c[order], x[order], n[order], {}
-        for k, a, b in zip(*(lambda u, i: (u, i, [*i[1:], len(c)]))(*np.unique(c, return_index=True))):
-            u = (x[a:b] * after - (k + 0.5) * CELL) / HALF
-            each = (chebvander(u, NODES - 1) @ _TO_NODES.T) * n[a:b, None]
-            # The running sums keep more digits than the sums that their differences give.
-            held[k] = x[a:b], n[a:b], np.concatenate([np.zeros((1, NODES), np.longdouble), np.cumsum(each, 0, np.longdouble)])
-        out = np.zeros((len(q), 3))
-        for k, a, b in zip(*(lambda u, i: (u, i, [*i[1:], len(q)]))(*np.unique(at, return_index=True))):
-            for i in range(a, b, CHUNK):
-                j = min(b, i + CHUNK)
-                out[i:j] = one(q[i:j], int(k), held, cells, m)
-        return pd.DataFrame({"q": q, "s": out[:, 0], "same": out[:, 1]} | ({"t": out[:, 2] / after} if shifts else {}))
+        out = _Block(src, kernel, after).at(q) if len(q) else np.zeros((0, 3))
+        return pd.DataFrame({"q": q} | {c: out[:, i] for i, c in enumerate(names)})
 
     wanted = queries.select(F.col("q").cast("double").alias("q")).where(F.col("q").isNotNull()).distinct()
-    finite = wanted.where(_finite(F.col("q"))).withColumn("block", F.floor(_cell(F.col("q"), after) / BLOCK))
-    schema = "q double, s double, same double" + (", t double" if shifts else "")
-    got = finite.groupBy("block").cogroup(source.groupBy("block")).applyInPandas(block, schema)
-    none = wanted.where(~_finite(F.col("q"))).select("q", *[F.lit(0.0).alias(c) for c in ("s", "same", *(["t"] if shifts else []))])
-    return got.unionByName(none)
+    got = _finite_blocks(wanted, after).groupBy("block").cogroup(source.groupBy("block")).applyInPandas(block, ", ".join(f"{c} double" for c in ("q", *names)))
+    return got.unionByName(wanted.where(~_finite(F.col("q"))).select("q", *[F.lit(0.0).alias(c) for c in names]))
+
+
+def walk(points: DataFrame, source: DataFrame, kernel: str, epsilon: float, rounds: int) -> DataFrame:
+    """(start, q, steps, still) of points (start, q, steps): each goes to the weighted mean of the data in range until a step is below epsilon, or it leaves the block, or it has gone so many rounds. A point without data in range stays."""
+    ship(points.sparkSession)
+
+    def block(ps: pd.DataFrame, src: pd.DataFrame) -> pd.DataFrame:
+        start, q, steps = (ps[c].to_numpy(t) for c, t in (("start", float), ("q", float), ("steps", np.int64)))
+        still, q, steps = np.zeros(len(q), bool), q.copy(), steps.copy()
+        if len(q):
+            near, home = _Block(src, kernel, 1.0), int(ps["block"].iloc[0])
+        left = np.arange(len(q))
+        while len(left):
+            left = left[np.argsort(q[left], kind="stable")]
+            s = near.at(q[left])
+            total = s[:, 0] + s[:, 1]
+            step = np.where(total > 0, s[:, 2] / np.where(total > 0, total, 1), 0.0)
+            q[left] += step
+            steps[left] += 1
+            still[left] = np.abs(step) < epsilon
+            left = left[~still[left] & (np.floor(q[left] / (CELL * BLOCK)) == home) & (steps[left] < rounds)]
+        return pd.DataFrame({"start": start, "q": q, "steps": steps, "still": still})
+
+    got = _finite_blocks(points, 1.0).groupBy("block").cogroup(source.groupBy("block")).applyInPandas(block, "start double, q double, steps long, still boolean")
+    return got.unionByName(points.where(~_finite(F.col("q"))).select("start", "q", "steps", F.lit(True).alias("still")))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tessera.functions import kernels
-from tessera.operators import density, sums
+from tessera.operators import density, meanshift, sums
 
 MANY, LONGEST = 60_000, 120
 
@@ -102,3 +102,18 @@ def test_scale_grid_makes_no_pairs(spark):
     x = crowded()
     got = within(spark, LONGEST, lambda: {r.scale: r.nll for r in density.best_scale(frame(spark, x), "x", "gaussian", [0.5, 1.0]).collect()})
     assert got[1.0] == pytest.approx(-np.log((crowded_sums(x, x) - 1) / kernels.normaliser("gaussian") / (MANY - 1)).sum(), abs=1e-4) and got[0.5] > got[1.0]
+
+
+def test_mean_shift_makes_no_pairs(spark):
+    x = np.concatenate([crowded()[: MANY // 2] - 2, crowded()[MANY // 2 :] + 6])
+    got = within(spark, LONGEST, lambda: {r.id: r for r in meanshift.cluster(frame(spark, x), ["x"]).collect()})
+    assert len(got) == MANY and all(got[i].cluster == (0 if i < MANY // 2 else MANY // 2) for i in range(MANY))
+    for i in (0, 1, MANY - 1):
+        y = x[i]
+        for _ in range(100):
+            d = np.abs(y - x)
+            w = np.where(d < 3.5, np.exp(-0.5 * d * d), 0)
+            y, step = (w * x).sum() / w.sum(), y
+            if abs(y - step) < 1e-3:
+                break
+        assert got[i].x == pytest.approx(y, abs=1e-9)
