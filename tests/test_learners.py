@@ -154,3 +154,36 @@ def test_svm_of_any_size(spark, monkeypatch):
     monkeypatch.setattr(svm, "KEPT_BYTES", 8 * 150 * 10)  # ten rows of the kernel matrix
     part, c = svm.solve(svm.Rows("rbf", x, 1.0, 1.0), y, 5.0)
     assert np.allclose(whole, part, atol=1e-6) and abs(b - c) < 1e-6
+
+
+def test_svm_pairs_begin_near_the_optimum(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((700, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = np.where(rng.random(700) < 0.4, 1.0, -1.0)
+
+    class Counted(svm.Rows):
+        asked = 0
+
+        def __getitem__(self, i):
+            self.asked += 1
+            return super().__getitem__(i)
+
+    rows = Counted("rbf", x, 1.0, 1.0)
+    alpha, b = svm.solve(rows, y, 10.0, near=True)
+    assert rows.asked < 100
+    k, bound = svm.gram("rbf", x, x), 10 * np.where(y > 0, (y < 0).mean(), (y > 0).mean()) * 2
+    f = y - k @ (alpha * y)
+    up, low = np.where(y > 0, alpha < bound - 1e-12, alpha > 1e-12), np.where(y > 0, alpha > 1e-12, alpha < bound - 1e-12)
+    assert f[up].max() - f[low].min() < 1.1e-4 and abs(alpha @ y) < 1e-9 and alpha.min() >= 0 and (alpha <= bound).all()
+    want, c = svm.solve(k, y, 10.0)
+    assert abs(alpha @ y - want @ y) < 1e-9 and abs(b - c) < 1e-3 and np.abs(k @ ((alpha - want) * y)).max() < 1e-3
+    # Kernels without an inverse, single classes and rows of equal vectors end as well.
+    for name, p in (("linear", 1.0), ("poly", 3.0)):
+        few = svm.solve(svm.Rows(name, np.repeat(x[:60, :3], 2, 0), p, 1.0), np.repeat(np.where(x[:60, 0] + x[:60, 3] > 0, 1.0, -1.0), 2), 0.5, near=True)
+        assert np.isfinite(few[0]).all() and np.isfinite(few[1])
+    assert svm.solve(svm.Rows("rbf", x, 1.0, 1.0), np.ones(700), 10.0, near=True)[0].max() == 0
+    # A pair of classes is a task of its own.
+    model = svm.train_pairs(clusters(spark, 300, k=5, d=6), "label", "v", "rbf", 0.5)
+    pairs = model.select("neg", "pos", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len(pairs) == 10 and len({r.p for r in pairs}) == 10
