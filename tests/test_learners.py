@@ -187,3 +187,36 @@ def test_svm_pairs_begin_near_the_optimum(spark):
     model = svm.train_pairs(clusters(spark, 300, k=5, d=6), "label", "v", "rbf", 0.5)
     pairs = model.select("neg", "pos", F.spark_partition_id().alias("p")).distinct().collect()
     assert len(pairs) == 10 and len({r.p for r in pairs}) == 10
+
+
+def test_topics_go_on_from_the_round_before(spark, monkeypatch):
+    from tessera.functions import special
+
+    monkeypatch.setattr(topics, "BLOCK_PAIRS", 20)
+    monkeypatch.setattr(topics, "CHUNK_ROWS", 50)
+    bow, _ = corpus(spark)
+    bow = bow.unionAll(spark.createDataFrame([(3, None, 2), (4, "w9", 0), (70, "alone", 5)], bow.schema))
+    got = {r.word: np.array(r.p) for r in topics.fit_words(bow, 2, rounds=4).collect()}
+    rows = [r for r in bow.collect() if r.word is not None and r.n > 0]
+    docs, names = sorted({r.doc for r in rows}), sorted({r.word for r in rows})
+    n = np.zeros((len(docs), len(names)))
+    for r in rows:
+        n[docs.index(r.doc), names.index(r.word)] = r.n
+    u = [F.pmod(F.xxhash64("word", F.lit(k), F.lit(0)), F.lit(1 << 40)) / float(1 << 40) for k in range(2)]
+    start = {r.word: [r.a, r.b] for r in bow.select("word", u[0].alias("a"), u[1].alias("b")).where("word is not null").distinct().collect()}
+    b = np.array([[1 + 0.1 * 3**0.5 * (2 * x - 1) for x in start[w]] for w in names])
+    gamma = 0.1 + n.sum(1, keepdims=True) / 2 * np.ones(2)
+    for _ in range(4):
+        weights = np.exp(special.digamma(b + 0.01) - special.digamma(b.sum(0) + len(names) * 0.01))
+        b = np.zeros_like(b)
+        for i, counts in enumerate(n):
+            for _ in range(50):
+                e = np.exp(special.digamma(gamma[i]))
+                z = weights * e
+                z *= (counts / z.sum(1))[:, None]
+                before, gamma[i] = gamma[i].copy(), 0.1 + z.sum(0)
+                if np.abs(gamma[i] - before).max() < 1e-4:
+                    break
+            b += z
+    want = (b + 0.01) / (b.sum(0) + len(names) * 0.01)
+    assert sorted(got) == names and max(np.abs(got[w] - want[i]).max() for i, w in enumerate(names)) < 1e-9
